@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, source_mixing, url_rules, vector_dedup, vector_search
+from . import near_dedup, packing, quality, source_mixing, toxicity, url_rules, vector_dedup, vector_search
 from .common import read
 
 
@@ -21,10 +21,18 @@ def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_verdicts(read(spark, sf_dir, "pages"))
 
@@ -43,7 +51,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
+    "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_quality": op6_quality,
     "op7_url_rules": op7_url_rules,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
