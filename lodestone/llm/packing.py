@@ -12,6 +12,7 @@ an empty table gives an empty table; other columns are left alone. A document ov
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,42 +27,69 @@ from .common import materialise, text_slices, texts_of
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Ids of white-space-separated words as little-endian bytes. The tokenizer splits at white space, so a text's ids are its words' ids in order."""
+class WordIds:
+    """Ids of white-space-separated words as little-endian bytes. The tokenizer splits at white space, so a text's ids are its words' ids in order.
 
-    bound = 200_000
+    Words are kept in two generations: when the younger is full it becomes the elder, and what is then met again returns.
+    """
+
+    bound = 350_000
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def add(self, words: set[bytes]) -> None:
-        if len(self) > self.bound:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+    def encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             for w, e in zip(part, self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self.young[w] = np.array(e.ids, "<u4").tobytes()
+
+    def add(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all of ``words``, and of others."""
+        if len(self.young) > self.bound:
+            self.young, self.old = {}, self.young
+        young, old, new, marked = self.young, self.old, [], []
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            elif w[-1:] in (b".", b",") and w[-2:-1].isalpha():  # a lone mark after a letter is a token of its own
+                marked.append(w)
+            else:
+                new.append(w)
+        self.encode(new)
+        bare = {w[:-1] for w in marked} | {b".", b","}
+        for w in bare & old.keys():
+            young[w] = old[w]
+        self.encode(list(bare.difference(young)))
+        for w in marked:
+            young[w] = young[w[:-1]] + young[w[-1:]]
+        return young
+
+
+def lowered(text: bytes) -> bytes:
+    """The tokenizer lowers letters anyway; a text that may spell a special token keeps its case."""
+    return text if b"<|" in text else text.lower()
 
 
 _word_ids: dict[str, WordIds] = {}
 
 
 def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    ids = _word_ids.setdefault(tokenizer, None) or _word_ids.__setitem__(tokenizer, WordIds(tokenizer)) or _word_ids[tokenizer]
+    if tokenizer not in _word_ids:
+        _word_ids[tokenizer] = WordIds(tokenizer)
+    ids = _word_ids[tokenizer]
     end, most = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in text_slices(batches):
         rows: list[tuple] = []
-        split = [x.split() for x in texts_of(batch)]
-        ids.add(set().union(*split))
+        split = [lowered(x).split() for x in texts_of(batch)]
+        known = ids.add(set().union(*split))
         for doc_id, words in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-            whole = b"".join(map(ids.__getitem__, words)) + end
+            whole = b"".join(map(known.__getitem__, words)) + end
             for k, at in enumerate(range(0, len(whole), most)):
                 part = whole[at : at + most]
                 rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
