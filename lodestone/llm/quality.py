@@ -27,6 +27,8 @@ from .common import U64, flat, mix, remainder, text_slices, texts_of
 #: Labelled documents to learn from at most.
 SAMPLE = 6000
 SLOTS, DIM, NONZERO, HIDDEN = 1 << 16, 24, 4, 16
+#: Slots met fewer times in the sample have no vector.
+RARE = 5
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -114,7 +116,9 @@ def word_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(where):
             sums[where] += 2 * np.add.reduceat(shapes[w.shape[order]], first, axis=0)
     vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
-    return vectors.astype("f4"), (1 / np.sqrt(1 + n)).astype("f4")
+    rare = n < RARE  # as if unseen: else texts of the sample would look unlike all others
+    vectors[rare] = 0
+    return vectors.astype("f4"), np.where(rare, 1, 1 / np.sqrt(1 + n)).astype("f4")
 
 
 def pooled(w: Words, vectors: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -148,7 +152,7 @@ class Model:
     prior: float | None = None
 
     def logits(self, features: np.ndarray) -> np.ndarray:
-        x = (features - self.mean) / self.scale
+        x = np.clip((features - self.mean) / self.scale, -5, 5)
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -165,8 +169,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 60, seed: int =
         return Model(z, z, z, z, z, z, z, 0.0, 1.0, prior)
     vectors, rarity = word_vectors(texts)
     x = np.concatenate([pooled(encoded(texts[at : at + 200]), vectors, rarity) for at in range(0, len(texts), 200)])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x, y = (x - mean) / scale, labels.astype("f4")
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.01
+    x, y = np.clip((x - mean) / scale, -5, 5), labels.astype("f4")
     cut = max(1, len(x) // 5)  # the temperature is fitted on rows that the network has not seen
     order = rng.permutation(len(x))
     held, used = order[:cut], order[cut:]
@@ -179,7 +183,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 60, seed: int =
             h = np.tanh(x[i] @ p[0] + p[1])
             d = (1 / (1 + np.exp(-(h @ p[2] + p[3]))) - y[i]) / len(i)
             back = np.outer(d, p[2]) * (1 - h**2)
-            grads = [x[i].T @ back + 1e-4 * p[0], back.sum(axis=0), h.T @ d + 1e-4 * p[2], d.sum(keepdims=True)]
+            grads = [x[i].T @ back + 1e-3 * p[0], back.sum(axis=0), h.T @ d + 1e-3 * p[2], d.sum(keepdims=True)]
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
