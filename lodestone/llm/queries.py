@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, quality, source_mixing, substring_dedup, toxicity, url_rules, vector_dedup, vector_search
+from . import context_mixing, near_dedup, packing, quality, source_mixing, substring_dedup, toxicity, url_rules, vector_dedup, vector_search
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.text_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_table(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
+    "op2_context_mixing": op2_context_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
