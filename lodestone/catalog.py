@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import graph_plans, record_plans, text_plans
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and value by order priority."""
-    o, l = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    return o.join(l, o.o_orderkey == l.l_orderkey).groupBy("o_orderpriority").agg(F.count("*").alias("n_lines"))
-
-
-FLAGSHIP = "order_lines"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"order_lines": order_lines}
-ORACLES: dict[str, str] = {"order_lines": "SELECT o_orderpriority, count(*) AS n_lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"}
+_ALL = (text_plans.P, record_plans.P, graph_plans.P)
+FLAGSHIP = "search_topk"
+QUERIES = {name: q for p in _ALL for name, q in p.queries.items()}
+ORACLES = {name: sql for p in _ALL for name, sql in p.oracles.items()}

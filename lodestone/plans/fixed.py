@@ -1,0 +1,31 @@
+"""Fixed values that results depend on, stated as they are."""
+
+from __future__ import annotations
+
+# Words that are no keywords.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+
+# Ligatures and their letters.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+# Scripts as character classes.
+SCRIPTS = {"latin": "[A-Za-zÀ-ÖØ-öø-ÿ]", "devanagari": "[ऄ-हक़-ॡ]", "greek": "[Α-Ωα-ω]", "cyrillic": "[А-Яа-я]"}
+
+# Markers of steps, the first that is found names a line.
+STEP_MARKERS = (("step", r"(?i)\bstep [0-9]+"), ("given", r"(?i)\bgiven\b"), ("find", r"(?i)\bfind\b"), ("solution", r"(?i)\bsolution\b"), ("therefore", r"(?i)\b(therefore|hence|thus)\b"), ("substitute", r"(?i)\bsubstitut"), ("since", r"(?i)\b(since|because)\b"), ("check", r"(?i)\b(check|verify)\b"))
+
+# Constructs of program text.
+CODE_CONSTRUCTS = (("assignment", r"[A-Za-z_] ?= ?[^=]"), ("call", r"[a-z_]+\("), ("class", r"\bclass [A-Z]"), ("comment", r"(#|//)"), ("conditional", r"\bif\b"), ("function", r"\bdef [a-z_]+"), ("import", r"\bimport [a-z]"), ("loop", r"\b(for|while)\b"), ("print", r"\bprint\b"), ("return", r"\breturn\b"))
+
+# References to numbered parts.
+CROSS_REFERENCES = (("figure", r"(?i)\bfig(?:ure|\.)? ?([0-9]+(?:\.[0-9]+)*)"), ("table", r"(?i)\btable ([0-9]+(?:\.[0-9]+)*)"), ("equation", r"(?i)\beq(?:uation|\.)? ?\(?([0-9]+(?:\.[0-9]+)*)"), ("section", r"(?i)\bsection ([0-9]+(?:\.[0-9]+)*)"), ("chapter", r"(?i)\bchapter ([0-9]+)"))
+
+# Role pairs, the relationship that joins them, its direction and weight.
+ROLE_RULES = (
+    ("defines_concept", "illustrates_concept", "ILLUSTRATED_BY", "FORWARD", 0.9),
+    ("defines_concept", "applies_concept", "APPLIED_IN", "FORWARD", 0.85),
+    ("surfaces_misconception", "defines_concept", "CONTRASTS_WITH", "BIDIRECTIONAL", 0.88),
+    ("illustrates_concept", "assesses_concept", "ASSESSED_BY", "FORWARD", 0.8),
+    ("applies_concept", "assesses_concept", "REINFORCES", "FORWARD", 0.75),
+)
+FALLBACK_RULE = ("RELATED_TO", "BIDIRECTIONAL", 0.3)
