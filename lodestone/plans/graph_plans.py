@@ -38,7 +38,7 @@ _RULES = ", ".join(str(r) for r in ROLE_RULES)
 @P.add(f"""WITH an AS ({_ANCHORS}), ru(sr, tr, type, direction, w) AS (VALUES {_RULES}),
  pr AS (SELECT s.grp, s.anchor_id AS source_id, t.anchor_id AS target_id, coalesce(ru.type, 'RELATED_TO') AS type, coalesce(direction, 'BIDIRECTIONAL') AS direction, CAST(coalesce(w, 0.3) AS DOUBLE) AS w, ru.w IS NOT NULL AS hit, CAST(s.confidence AS DOUBLE) AS a, CAST(t.confidence AS DOUBLE) AS b
   FROM an s JOIN an t ON s.grp = t.grp AND s.anchor_id <> t.anchor_id LEFT JOIN ru ON ru.sr = s.role AND ru.tr = t.role)
- SELECT * FROM (SELECT grp, source_id, target_id, type, direction, round(least(1.0, greatest(0.0, (CASE WHEN hit THEN 0.4 ELSE 0.1 END + CASE WHEN (a + b) / 2 >= 0.5 THEN 0.3 ELSE 0.0 END + 0.3)::DOUBLE * w * (0.5 + 0.5 * (a + b) / 2))), 4) AS confidence FROM pr) WHERE confidence >= 0.1""")
+ SELECT * FROM (SELECT grp, source_id, target_id, type, direction, round(least(1.0, greatest(0.0, (CASE WHEN hit THEN 4 ELSE 1 END + CASE WHEN (a + b) / 2 >= 0.5 THEN 3 ELSE 0 END + 3) / 10 * w * (0.5 + 0.5 * (a + b) / 2))) + 1e-9, 4) AS confidence FROM pr) WHERE confidence >= 0.1""")
 def rule_relationships(t):
     """Role rules among the suppliers of a nation."""
     roles = F.array(*[F.lit(r) for r in ("defines_concept", "illustrates_concept", "applies_concept", "assesses_concept", "surfaces_misconception")])
