@@ -40,8 +40,8 @@ def best_edges(rows: DataFrame, keys: Sequence[str], confidence: str) -> DataFra
 
 
 def edge_confidence(weight: Column, a: Column, b: Column, evidence: Column) -> Column:
-    """evidence x weight x (0.5 + 0.5 x mean confidence), held to 0..1, four places."""
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), evidence * weight * (0.5 + 0.5 * (a + b) / 2))), 4)
+    """evidence x weight x (0.5 + 0.5 x mean confidence), held to 0..1, four places; a tie goes up, whatever its last bit."""
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), evidence * weight * (0.5 + 0.5 * (a + b) / 2))) + 1e-9, 4)
 
 
 def rule_relationships(anchors: DataFrame, rules: DataFrame, group: str, fallback: tuple[str, str, float], least: float = 0.1) -> DataFrame:
@@ -55,5 +55,5 @@ def rule_relationships(anchors: DataFrame, rules: DataFrame, group: str, fallbac
     kind, way, weight = fallback
     pairs = pairs.withColumns({"type": F.coalesce("type", F.lit(kind)), "direction": F.coalesce("direction", F.lit(way)), "matched": F.col("weight").isNotNull(), "weight": F.coalesce("weight", F.lit(weight))})
     mean = (F.col("source_confidence") + F.col("target_confidence")) / 2
-    evidence = F.when(F.col("matched"), 0.4).otherwise(0.1) + F.when(mean >= 0.5, 0.3).otherwise(0.0) + 0.3
+    evidence = (F.when(F.col("matched"), 4).otherwise(1) + F.when(mean >= 0.5, 3).otherwise(0) + 3) / 10
     return pairs.withColumn("confidence", edge_confidence(F.col("weight"), F.col("source_confidence"), F.col("target_confidence"), evidence)).where(F.col("confidence") >= least).select(group, "source_id", "target_id", "type", "direction", "confidence")
