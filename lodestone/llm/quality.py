@@ -161,7 +161,7 @@ class Model:
         return 1 / (1 + np.exp(-self.logits(pooled(encoded(texts), self.vectors, self.rarity)).astype("f8") / self.temperature))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 60, seed: int = 1) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     prior = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
@@ -176,6 +176,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 60, seed: int =
     held, used = order[:cut], order[cut:]
     p = [rng.normal(size=(x.shape[1], HIDDEN)).astype("f4") / np.sqrt(x.shape[1]), np.zeros(HIDDEN, "f4"), rng.normal(size=HIDDEN).astype("f4") / 4, np.zeros(1, "f4")]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
+    epochs = int(np.clip(3000 / (1 + len(used) // 64), 40, 400))  # more rounds over a small sample
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs)
         for at in range(0, len(used), 64):
