@@ -78,7 +78,7 @@ def source_cuts(sized: DataFrame, weights: Sequence[float], budget: float, max_e
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17, slices: int = 4096, quality: Column | None = None) -> DataFrame:
-    """``docs`` with the columns size, source_size, target and ``copies`` (how often the mix takes the document).
+    """``doc`` (a row of ``docs``) with mix_size, source_size, target and ``copies`` (how often the mix takes the document).
 
     ``weights`` go round the sources in their order; ``budget`` is the mix as a multiple of all words;
     ``quality`` (above 0) is a document's weight in the draw, ``prose_weight`` by default.
@@ -88,7 +88,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
     draw = draw_key(F.col("doc_id"), quality, seed)
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")), "sized")
     cuts = materialise(source_cuts(sized, weights, budget, max_epochs, slices), "cuts")
-    return with_copies(docs.withColumns({"mix_size": word_count(F.col("text")), "mix_draw": draw}), cuts, slices)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("mix_size"), draw.alias("mix_draw"))
+    return with_copies(rows, cuts, slices)
 
 
 def with_copies(rows: DataFrame, cuts: DataFrame, slices: int) -> DataFrame:
@@ -113,7 +114,7 @@ def mix_table(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: flo
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with the columns of ``docs``."""
-    return mix_sources(docs, **options).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mix_sources(docs, **options).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 #: DuckDB SQL for ``mix_table(documents)``.
