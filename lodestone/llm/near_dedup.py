@@ -8,8 +8,9 @@ signing costs little more than one hash a word.
 
 Documents with equal words are one class, signed once. Classes that share a band are linked to the smallest class of that
 band if their texts bear it out; bands whose classes are still in different components then have the pairs between
-components checked as well. A group of copies or near copies thus costs about one pair for each member, and no link that
-the bands show is lost.
+components checked as well: pair by pair where a band has few classes, else in tiles, whose tasks compare all texts of two
+tiles at once and give a forest of the links found. A group of copies or near copies thus makes about as many rows as it has
+members, and no link that the bands show is lost.
 
 Nulls and edges: a text of one to four words is one shingle; a text without words (null, empty, blank) links with nothing
 and is its own class; a null doc_id takes part, and is the class id only where there is no other; rows that repeat a doc_id
@@ -28,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, flat, gram_hashes, materialise, mix, text_slices, texts_of
+from .common import U64, WORD, WordHashes, flat, gram_hashes, materialise, mix, text_slices, texts_of
 from .components import components
 
 WORDS, COORDS, ROWS, SIMILAR = 5, 64, 4, 0.8
+#: Bands of more classes than ``FEW`` are compared in tiles of about ``TILE`` classes.
+FEW, TILE = 24, 384
 #: Pairs whose signatures agree in a smaller share are not compared: five deviations under 0.8.
 LEAST_AGREEING = 0.55
 SIGNED = "doc_id long, text_key long, key long, n long, sig binary, bands array<long>"
@@ -151,6 +154,49 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array([similarity(of(a[i], ta[i]), of(b[i], tb[i])) >= least - 1e-12 for i in range(len(a))], pa.bool_()))
 
 
+def shared_weights(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of texts what their multisets of shingles have in common, and the weight of each text."""
+    grams, doc = shingles([t.split() for t in texts])
+    e = strips(grams, doc)
+    kinds, column, n = np.unique(e, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(n > 1)
+    place = np.full(len(kinds), -1)
+    place[common] = np.arange(len(common))
+    at = place[column]
+    both = np.zeros((len(texts), len(texts)), "f4")
+    for lo in range(0, len(common), 2048):
+        use = (at >= lo) & (at < lo + 2048)
+        has = np.zeros((len(texts), min(2048, len(common) - lo)), "f4")
+        has[doc[use], at[use] - lo] = 1
+        both += has @ has.T
+    return both, np.bincount(doc, minlength=len(texts)).astype("f8")
+
+
+def met(table: pa.Table, least: float) -> pa.Table:
+    """Links (a, b) between components among the classes of one meeting of tiles: a forest of them."""
+    keys, part = table.column("key").to_numpy(), table.column("part").to_numpy()
+    both, weight = shared_weights([x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()])
+    linked = (both >= (least - 1e-12) * (weight[:, None] + weight[None] - both)) & (part[:, None] != part[None])
+    i, j = np.nonzero(linked)
+    root = np.arange(len(keys))
+    while len(i):
+        before, low = root.copy(), np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    at = np.flatnonzero(root != np.arange(len(keys)))
+    return pa.table({"a": keys[root[at]], "b": keys[at]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def tiled(open_rows: DataFrame) -> DataFrame:
+    """(meeting, key, part): the classes of each band dealt into tiles by hash, and each two tiles brought together."""
+    n = open_rows.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    t = open_rows.join(n, "band").withColumn("own", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", "band", F.least("own", o), F.greatest("own", o)))
+    return t.select("key", "part", F.explode(pair).alias("meeting"))
+
+
 def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, text_key, class_id (smallest doc_id with the same words), component_id (smallest doc_id linked, directly or not) and kept."""
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
@@ -177,10 +223,14 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     part = materialise(components(first), "parts")
     named = shared.join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part"))
     open_bands = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    still = materialise(named.join(open_bands, "band"), "open")
-    x, y = still.alias("x"), still.alias("y")
+    sizes = named.join(open_bands, "band").groupBy("band").agg(F.count("*").alias("members"))
+    still = materialise(named.join(sizes, "band"), "open")
+    few = still.where(F.col("members") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") < F.col("y.part"))).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     more = materialise(links(across.join(stars, ["a", "b"], "left_anti")), "more")
+    meetings = tiled(still.where(F.col("members") > FEW).select("band", "key", "part")).join(texts, "key")
+    more = more.union(materialise(meetings.groupBy("meeting").applyInArrow(lambda t: met(t, least), "a long, b long"), "met"))
     ends = {"a": "x", "b": "y"}
     hops = more
     for end, to in ends.items():
@@ -200,7 +250,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 def without_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group; its columns stay."""
     kept = near_classes(docs, least).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     joined = keyed.join(kept, (F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
-    return joined.withColumn("nth", nth).where((F.col("nth") == 1) | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)).select(*docs.columns)
+    return joined.withColumn("nth", nth).where((F.col("nth") == 1) | ~F.coalesce(F.col("doc.text"), F.lit("")).rlike(WORD)).select("doc.*")
