@@ -2,6 +2,7 @@
 
 A window is 35 consecutive words; a word is removed when a window that covers it also starts somewhere else.
 
+0. Of documents with the same words one goes on; all their words are removed, as each of their windows starts elsewhere too.
 1. Each window is stood for by its anchor, the 8-word gram with the least hash in it (equal windows have equal anchors).
    Anchors that stand at two places or more are recurring; the rest of the text cannot hold a repeated window.
 2. Windows with a recurring anchor are counted by hash. Those that come twice are confirmed, and the document with the least
@@ -235,18 +236,22 @@ def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all documents: doc_id, rid, n_words, sha; those that lose words: rid, n_removed, kept)."""
     keyed = docs.select("doc_id", "text", row_key().alias("rid"))
     scanned = materialise(keyed.mapInArrow(scan, SCANNED), "scanned")
+    classes = materialise(scanned.groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "classes")
     anchors = scanned.select("rid", F.inline(F.arrays_zip(F.col("anchors").alias("a"), F.col("starts").alias("i"), F.col("ends").alias("j"))))
-    recurring = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("rid").alias("owner")).where("n > 1").select("a", "owner")
-    runs = anchors.join(recurring, "a").groupBy("rid").agg(F.collect_list(F.struct("i", "j", "owner")).alias("runs"))
+    twice = anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # of the copies of a text one goes on, and what recurs is counted again without the others
+    shared = materialise(anchors.join(twice, "a").join(classes.select("rid"), "rid", "left_semi").distinct(), "shared")
+    recurring = shared.groupBy("a").agg(F.count("*").alias("n"), F.min("rid").alias("owner")).where("n > 1").select("a", "owner")
+    runs = shared.join(recurring, "a").groupBy("rid").agg(F.collect_list(F.struct("i", "j", "owner")).alias("runs")).join(classes.select("rid", "copies"), "rid")
     candidates = materialise(keyed.select("rid", "text").join(runs, "rid"), "candidates")
     windows = candidates.mapInArrow(candidate_hashes, "w long, rid long")
     confirmed = windows.groupBy("w").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n > 1")
     lent = materialise(confirmed.groupBy("rid").agg(F.collect_list("w").alias("lent")), "lent")
     size = candidates.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(max(32, size // (AUTOMATON_BYTES // 2)))
-    lenders = candidates.dropDuplicates(["rid"]).join(lent, "rid")
+    lenders = candidates.join(lent, "rid")
     patterns = materialise(lenders.mapInArrow(lambda x: passages(x, shards), "shard int, text string"), "passages")
-    sent = materialise(candidates.mapInArrow(lambda x: document_stretches(x, shards), "shard int, rid long, at int, text string"), "stretches")
+    sent = materialise(candidates.where("copies = 1").mapInArrow(lambda x: document_stretches(x, shards), "shard int, rid long, at int, text string"), "stretches")
     parts = patterns.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / AUTOMATON_BYTES).cast("int").alias("parts"))
     pieces = sent.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / STRETCH_BYTES).cast("int").alias("pieces"))
     plan = materialise(parts.join(pieces, "shard"), "plan")  # a row for each shard
@@ -255,23 +260,28 @@ def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = sent.join(plan, "shard").select("shard", each("parts").alias("part"), F.pmod(F.xxhash64("rid", "at"), "pieces").cast("int").alias("piece"), F.lit(1).alias("kind"), "rid", "at", "text")
     met = p.unionByName(s).repartition("shard", "part", "piece").sortWithinPartitions("shard", "part", "piece", "kind")
     spans = met.mapInArrow(locate, "rid long, a int, b int").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    lost = candidates.dropDuplicates(["rid"]).join(spans, "rid").mapInArrow(cut_out, "rid long, n_removed long, kept string")
-    return scanned.select("doc_id", "rid", "n_words", "sha"), lost
+    lost = candidates.join(spans, "rid").mapInArrow(cut_out, "rid long, n_removed long, kept string")
+    copied = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= WINDOW)
+    counted = scanned.select("doc_id", "rid", "n_words", "sha").join(classes.select("sha", "copies"), "sha").withColumn("copied", copied)
+    return counted, lost
 
 
 def removal_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of ``docs``."""
-    scanned, lost = repeated_words(docs)
-    lost = lost.select("rid", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
-    out = scanned.join(lost, "rid", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    counted, lost = repeated_words(docs)
+    out = counted.join(lost.select("rid", "n_removed", F.sha2("kept", 256).alias("kept_sha")), "rid", "left")
+    n_removed = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept_sha = F.when(F.col("copied"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha"))
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), kept_sha.alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what stays of their texts; a text that loses nothing keeps its white space, others get one space between words."""
-    _, lost = repeated_words(docs)
-    kept = lost.select(F.col("rid").alias("lost_rid"), "kept")
-    joined = docs.join(kept, row_key() == F.col("lost_rid"), "left")
-    text = F.coalesce("kept", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    counted, lost = repeated_words(docs)
+    whole = counted.where("copied").select("rid", F.lit("").alias("kept")).distinct()
+    kept = lost.select("rid", "kept").unionByName(whole).withColumnRenamed("rid", "lost_rid")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), row_key().alias("rid"))
+    doc = held.join(kept, F.col("rid") == F.col("lost_rid"), "left").select("doc", "kept").withColumn("doc", F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", F.col("kept"))))
+    if "n_chars" in docs.columns:
+        doc = doc.withColumn("doc", F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))))
+    return doc.select("doc.*")
