@@ -66,7 +66,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for at most ``bound`` words."""
 
-    bound = 250_000
+    bound = 150_000
 
     def __missing__(self, word: bytes) -> int:
         got = self[word] = xxhash.xxh64_intdigest(word)

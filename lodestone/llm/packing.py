@@ -33,7 +33,7 @@ class WordIds:
     Words are kept in two generations: when the younger is full it becomes the elder, and what is then met again returns.
     """
 
-    bound = 350_000
+    bound = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

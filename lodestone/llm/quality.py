@@ -44,7 +44,7 @@ def shape_of(word: bytes) -> tuple[str, str]:
 class WordSlots(dict):
     """word -> slot of its vector; the slot of a word is its hash."""
 
-    bound = 200_000
+    bound = 120_000
 
     def __missing__(self, word: bytes) -> int:
         got = self[word] = xxhash.xxh64_intdigest(word) % SLOTS
@@ -54,7 +54,7 @@ class WordSlots(dict):
 class WordShapes(dict):
     """word -> number of its shape, hashed."""
 
-    bound = 200_000
+    bound = 120_000
 
     def __missing__(self, word: bytes) -> int:
         case, tail = shape_of(word)
