@@ -29,6 +29,10 @@ WINDOW, STRIDE = 64, 48
 WORD_SLOTS, GRAM_SLOTS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 12, 8, 8
 GRAMS = (3, 4, 5)
 KEPT_WORDS = 100_000
+#: Slots that fewer texts of the sample have are as good as unseen.
+RARE = 4
+#: Words whose inputs are made at once.
+PART = 10_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,6 +65,12 @@ def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slot, g[order], np.bincount(o, minlength=len(bare))
 
 
+def all_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_keys`` of many words, some at a time."""
+    got = [[x.astype(np.int32) for x in word_keys(words[at : at + PART])] for at in range(0, len(words), PART)]
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(windows x WINDOW places in the flat list of words, -1 beyond a text's end; the text of each window)."""
     n = np.maximum(1, -(-(lens - WINDOW) // STRIDE) + 1)
@@ -85,6 +95,8 @@ class Net:
     bo: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
     prior: float | None = None
+    word_slots: np.ndarray | None = None  # slots that the sample met often enough; others are slot 0
+    gram_slots: np.ndarray | None = None
     known: dict = field(default_factory=dict)
     table: np.ndarray | None = None
 
@@ -95,10 +107,20 @@ class Net:
         chars = np.add.reduceat(self.gram[grams], np.cumsum(n) - n, axis=0) / n[:, None] if len(n) else np.zeros((0, DIM), "f4")
         return np.c_[self.word[slot], chars].astype("f4")
 
+    def known_keys(self, keys: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot, grams, n = keys
+        return self.word_slots[slot], self.gram_slots[grams], n
+
     def gates(self, x: np.ndarray) -> np.ndarray:
         """words x 2 x 3 hidden: what a word gives to the gates of either direction."""
         return (np.einsum("ni,dig->ndg", x, self.wx, optimize=True) + self.bx).astype("f4")
 
+    def all_gates(self, slot: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Gates of many words, some at a time, and of a place without a word."""
+        ends = np.r_[0, np.cumsum(n)]
+        made = [self.gates(self.inputs(slot[at : at + PART], grams[ends[at] : ends[min(at + PART, len(n))]], n[at : at + PART])) for at in range(0, len(n), PART)]
+        return np.concatenate([*made, silent()])
+
     def read(self, gates: np.ndarray, place: np.ndarray, keep: bool = False):
         """Logits of windows; ``gates`` has a last row for places without a word, which leave the state as it is."""
         b, h = len(place), HIDDEN
@@ -164,7 +186,7 @@ class Net:
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            made = [self.gates(self.inputs(*word_keys(new[at : at + 20_000]))) for at in range(0, len(new), 20_000)]
+            made = [self.gates(self.inputs(*self.known_keys(word_keys(new[at : at + PART])))) for at in range(0, len(new), PART)]
             self.table = np.concatenate([self.table, *made])
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         place, doc = windows(lens)
@@ -190,7 +212,7 @@ def fresh(rng: np.random.Generator) -> Net:
     return Net(g(WORD_SLOTS, DIM, k=0.1), g(GRAM_SLOTS, DIM, k=0.3), g(2, 2 * DIM, 3 * h, k=0.3), np.zeros((2, 3 * h), "f4"), g(2, h, 3 * h, k=0.3), g(2 * h, ATTEND, k=0.4), np.zeros(ATTEND, "f4"), g(ATTEND, k=0.4), g(2 * h, k=0.4), np.zeros(1, "f4"))
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8, seed: int = 2) -> Net:
+def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 2) -> Net:
     """``share``: of label 1 among all labelled rows, to which the odds are scaled."""
     rng = np.random.default_rng(seed)
     net = fresh(rng)
@@ -200,7 +222,12 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8,
     words, lens = flat([x.split() for x in texts])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-    slot, grams, n = word_keys(list(vocabulary))
+    del words
+    slot, grams, n = all_keys(list(vocabulary))
+    texts_with = np.bincount(np.unique(np.repeat(np.arange(len(lens)), lens) * len(n) + ids) % len(n), minlength=len(n))
+    often = lambda x, w, size: np.where(np.bincount(x, w, minlength=size) >= RARE, np.arange(size), 0).astype(np.int32)
+    net.word_slots, net.gram_slots = often(slot, texts_with, WORD_SLOTS), often(grams, np.repeat(texts_with, n), GRAM_SLOTS)
+    slot, grams, n = net.known_keys((slot, grams, n))
     first = np.cumsum(n) - n
     place, doc = windows(lens)
     place = np.r_[ids, -1][place]
@@ -208,9 +235,10 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8,
     params = net.params()
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     loudest = rng.permutation(len(place))
+    epochs = int(np.clip(300 / (1 + len(texts) // 80), 8, 80))  # more rounds over a small sample
     for epoch in range(epochs):
         if epoch:  # the window of each text that the network now finds most toxic
-            table = np.concatenate([net.gates(net.inputs(slot, grams, n)), silent()])
+            table = net.all_gates(slot, grams, n)
             logit = np.concatenate([net.read(table, place[at : at + 2048]) for at in range(0, len(place), 2048)])
             # most often the loudest; now and then another, so that all toxic places teach
             loudest = np.argsort(-logit - (rng.gumbel(size=len(logit)) if epoch < epochs // 2 else 0), kind="stable")
@@ -229,7 +257,8 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8,
             lengths = n[used]
             at_gram = np.repeat(first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             g = grams[at_gram]
-            x = net.inputs(slot[used], g, lengths)
+            word = np.where(rng.random(len(used)) < 0.2, 0, slot[used])  # now and then a word is known by its characters alone
+            x = net.inputs(word, g, lengths)
             gates = np.concatenate([net.gates(x), silent()])
             logit, kept = net.read(gates, local, keep=True)
             y = labels[doc[some]]
@@ -238,7 +267,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8,
             gx = gx[:-1]
             dx = np.einsum("ndg,dig->ni", gx, net.wx, optimize=True)
             g_word, g_gram = np.zeros_like(net.word), np.zeros_like(net.gram)
-            np.add.at(g_word, slot[used], dx[:, :DIM])
+            np.add.at(g_word, word, dx[:, :DIM])
             np.add.at(g_gram, g, np.repeat(dx[:, DIM:] / lengths[:, None], lengths, axis=0))
             grads = [g_word, g_gram, np.einsum("ni,ndg->dig", x, gx, optimize=True), gx.sum(axis=0), *rest]
             step += 1
@@ -247,7 +276,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 8,
                 m[k] += 0.1 * (gk - m[k])
                 v[k] += 0.001 * (gk * gk - v[k])
                 params[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    table = np.concatenate([net.gates(net.inputs(slot, grams, n)), silent()])
+    table = net.all_gates(slot, grams, n)
     logit = np.concatenate([net.read(table, place[at : at + 2048]) for at in range(0, len(place), 2048)])
     most = np.full(len(texts), -np.inf)
     np.maximum.at(most, doc, logit)
