@@ -141,13 +141,24 @@ def hierarchy_path(t):
     return G.paths(rows).select("node", F.array_join("path", "/").alias("path"))
 
 
+def bought(t, orders):
+    """Customer -> part, through ``orders``."""
+    l = t("lineitem")
+    return orders.join(l, orders.o_orderkey == l.l_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+
+
 @P.add("""WITH RECURSIVE m AS (SELECT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0),
  e AS (SELECT 'c' || a AS x, 'p' || b AS y FROM m UNION SELECT 'p' || b, 'c' || a FROM m), c AS (SELECT x AS node, x AS other FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.other = e.x) SELECT node, min(other) AS component FROM c GROUP BY 1""")
 def components(t):
     """Customers and parts linked through some of the orders."""
-    o, l = t("orders").where("o_orderkey % 97 = 0"), t("lineitem")
-    e = o.join(l, o.o_orderkey == l.l_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
-    return G.components(e)
+    return G.components(bought(t, t("orders").where("o_orderkey % 97 = 0")))
+
+
+@P.add("""WITH RECURSIVE m AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT a AS x, b AS y FROM m UNION ALL SELECT b, a FROM m),
+ c(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM e GROUP BY x UNION SELECT e.y, min(c.component) FROM c JOIN e ON c.node = e.x JOIN recurring.c AS r ON r.node = e.y WHERE c.component < r.component GROUP BY e.y) SELECT node, component FROM c""")
+def components_all(t):
+    """Customers and parts linked through all orders; ``components`` takes the orders that its SQL names."""
+    return G.components(bought(t, t("orders")))
 
 
 @P.add(_TREE.replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT DISTINCT source AS node FROM e WHERE target IN ('p1', 'p2', 's3') UNION SELECT e.source FROM c JOIN e ON c.node = e.target) SELECT node FROM c WHERE node NOT IN ('p1', 'p2', 's3')")
