@@ -113,25 +113,48 @@ def top_n_per_group(t):
 _TREE = """WITH e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1)"""
 
 
-def tree(t):
-    """region -> nation -> supplier -> part, as one edge table."""
+#: The tree of all lines.
+_WHOLE = _TREE.replace(" WHERE l_linenumber = 1", "").replace("WITH", "WITH RECURSIVE", 1)
+
+
+def tree(t, lines="l_linenumber = 1"):
+    """region -> nation -> supplier -> part, as one edge table; parts through the ``lines`` named."""
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"))
     s = e(t("supplier"), "n", "s_nationkey", "s", "s_suppkey")
-    p = e(t("lineitem").where("l_linenumber = 1"), "s", "l_suppkey", "p", "l_partkey").distinct()
+    p = e(t("lineitem").where(lines), "s", "l_suppkey", "p", "l_partkey").distinct()
     return e(t("nation"), "r", "n_regionkey", "n", "n_nationkey").unionByName(s).unionByName(p)
 
 
+def below(e):
+    return G.closure(e).groupBy("ancestor").agg(F.count("*").alias("n_below"), F.min("node").alias("first_below"))
+
+
 @P.add(_TREE.replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT source AS ancestor, target AS node FROM e UNION SELECT c.ancestor, e.target FROM c JOIN e ON c.node = e.source) SELECT ancestor, count(*) AS n_below, min(node) AS first_below FROM c GROUP BY 1")
 def transitive_prereqs(t):
     """How many nodes lie below each node, through any path."""
-    return G.closure(tree(t)).groupBy("ancestor").agg(F.count("*").alias("n_below"), F.min("node").alias("first_below"))
+    return below(tree(t))
+
+
+@P.add(_WHOLE + ", c AS (SELECT source AS ancestor, target AS node FROM e UNION SELECT c.ancestor, e.target FROM c JOIN e ON c.node = e.source) SELECT ancestor, count(*) AS n_below, min(node) AS first_below FROM c GROUP BY 1")
+def transitive_prereqs_all(t):
+    """As ``transitive_prereqs``, with the parts of all lines."""
+    return below(tree(t, "true"))
+
+
+def depths(e):
+    return G.levels(e, e.select(F.col("source").alias("node")).union(e.select("target")))
 
 
 @P.add(_TREE.replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT DISTINCT source AS node, 0 AS level FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target, c.level + 1 FROM c JOIN e ON c.node = e.source) SELECT node, max(level) AS level FROM c GROUP BY 1")
 def max_depth(t):
     """The longest path from a root to each node."""
-    e = tree(t)
-    return G.levels(e, e.select(F.col("source").alias("node")).union(e.select("target")))
+    return depths(tree(t))
+
+
+@P.add(_WHOLE + ", c AS (SELECT DISTINCT source AS node, 0 AS level FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target, c.level + 1 FROM c JOIN e ON c.node = e.source) SELECT node, max(level) AS level FROM c GROUP BY 1")
+def max_depth_all(t):
+    """As ``max_depth``, with the parts of all lines."""
+    return depths(tree(t, "true"))
 
 
 @P.add("SELECT 's' || s_suppkey AS node, 'r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey || '/n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region")
@@ -161,12 +184,21 @@ def components_all(t):
     return G.components(bought(t, t("orders")))
 
 
+def above_changed(e):
+    changed = e.sparkSession.createDataFrame([("p1",), ("p2",), ("s3",)], "node string")
+    return G.affected(e, changed)
+
+
 @P.add(_TREE.replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT DISTINCT source AS node FROM e WHERE target IN ('p1', 'p2', 's3') UNION SELECT e.source FROM c JOIN e ON c.node = e.target) SELECT node FROM c WHERE node NOT IN ('p1', 'p2', 's3')")
 def affected_closure(t):
     """What depends on three changed nodes."""
-    e = tree(t)
-    changed = e.sparkSession.createDataFrame([("p1",), ("p2",), ("s3",)], "node string")
-    return G.affected(e, changed)
+    return above_changed(tree(t))
+
+
+@P.add(_WHOLE + ", c AS (SELECT DISTINCT source AS node FROM e WHERE target IN ('p1', 'p2', 's3') UNION SELECT e.source FROM c JOIN e ON c.node = e.target) SELECT node FROM c WHERE node NOT IN ('p1', 'p2', 's3')")
+def affected_closure_all(t):
+    """As ``affected_closure``, with the parts of all lines."""
+    return above_changed(tree(t, "true"))
 
 
 _SNAP = "SELECT strftime(ts, '%Y-%m-%d') AS build_id, 'u' || user_id AS artifact, md5(CAST(count(*) // 3 AS VARCHAR)) AS fingerprint FROM events GROUP BY 1, 2"

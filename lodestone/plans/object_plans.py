@@ -54,11 +54,21 @@ def heading_kinds(t):
     return t("orders").select("o_orderkey", s.alias("s"), kind.alias("kind")).select("o_orderkey", "kind", level.alias("level"))
 
 
+def structural(lines):
+    score = 0.35 * F.least(F.lit(1.0), F.col("l_quantity") / 50) + 0.35 * (1 - F.col("l_discount")) + 0.20 * (1 - F.col("l_tax")) + F.when(F.col("l_linestatus") == "O", 0.10).otherwise(0.0)
+    return lines.select("l_orderkey", "l_linenumber", F.round(score, 4).alias("structural"))
+
+
 @P.add("""SELECT l_orderkey, l_linenumber, round(0.35 * least(1, l_quantity / 50) + 0.35 * (1 - l_discount) + 0.20 * (1 - l_tax) + CASE WHEN l_linestatus = 'O' THEN 0.10 ELSE 0 END, 4) AS structural FROM lineitem WHERE l_linenumber <= 2""")
 def structural_confidence(t):
     """Weighted evidence .35/.35/.20/.10."""
-    score = 0.35 * F.least(F.lit(1.0), F.col("l_quantity") / 50) + 0.35 * (1 - F.col("l_discount")) + 0.20 * (1 - F.col("l_tax")) + F.when(F.col("l_linestatus") == "O", 0.10).otherwise(0.0)
-    return t("lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.round(score, 4).alias("structural"))
+    return structural(t("lineitem").where("l_linenumber <= 2"))
+
+
+@P.add("""SELECT l_orderkey, l_linenumber, round(0.35 * least(1, l_quantity / 50) + 0.35 * (1 - l_discount) + 0.20 * (1 - l_tax) + CASE WHEN l_linestatus = 'O' THEN 0.10 ELSE 0 END, 4) AS structural FROM lineitem""")
+def structural_confidence_all(t):
+    """As ``structural_confidence``, of all lines."""
+    return structural(t("lineitem"))
 
 
 @P.add("""SELECT o_orderpriority, o_orderstatus, count(*) AS n_items, array_to_string(list_sort(list(o_orderkey))[:5], ',') AS first_items FROM orders GROUP BY 1, 2""")
@@ -138,8 +148,18 @@ def assessment_minutes(t):
     return n.withColumn("minutes", F.col("n_total") * F.when(F.col("event_type") == "purchase", 3).otherwise(2))
 
 
+def staged(lines):
+    q = F.col("l_quantity")
+    return lines.select("l_orderkey", "l_linenumber", *[F.round(share * q / 100, 2).alias(f"s{i}") for i, share in ((1, 15), (2, 25), (3, 30))])
+
+
 @P.add("SELECT l_orderkey, l_linenumber, round(15 * l_quantity / 100, 2) AS s1, round(25 * l_quantity / 100, 2) AS s2, round(30 * l_quantity / 100, 2) AS s3 FROM lineitem WHERE l_linenumber = 3")
 def stage_minutes(t):
     """Minutes split over stages."""
-    q = F.col("l_quantity")
-    return t("lineitem").where("l_linenumber = 3").select("l_orderkey", "l_linenumber", *[F.round(share * q / 100, 2).alias(f"s{i}") for i, share in ((1, 15), (2, 25), (3, 30))])
+    return staged(t("lineitem").where("l_linenumber = 3"))
+
+
+@P.add("SELECT l_orderkey, l_linenumber, round(15 * l_quantity / 100, 2) AS s1, round(25 * l_quantity / 100, 2) AS s2, round(30 * l_quantity / 100, 2) AS s3 FROM lineitem")
+def stage_minutes_all(t):
+    """As ``stage_minutes``, of all lines."""
+    return staged(t("lineitem"))

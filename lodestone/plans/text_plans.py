@@ -129,10 +129,20 @@ def roman_numerals(t):
     return t("nation").where("n_nationkey < 6").select("n_nationkey", X.roman(s).alias("value"))
 
 
+def line_depths(lines):
+    s = F.concat_ws(".", "l_linenumber", "l_suppkey", "l_partkey")
+    return lines.select("l_orderkey", "l_linenumber", X.number_depth(s).alias("depth"))
+
+
 @P.add("SELECT l_orderkey, l_linenumber, 3 AS depth FROM lineitem WHERE l_linenumber = 1")
 def number_depth(t):
-    s = F.concat_ws(".", "l_linenumber", "l_suppkey", "l_partkey")
-    return t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", X.number_depth(s).alias("depth"))
+    return line_depths(t("lineitem").where("l_linenumber = 1"))
+
+
+@P.add("SELECT l_orderkey, l_linenumber, 3 AS depth FROM lineitem")
+def number_depth_all(t):
+    """As ``number_depth``, of all lines."""
+    return line_depths(t("lineitem"))
 
 
 @P.add()
