@@ -201,8 +201,8 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, text_key, class_id (smallest doc_id with the same words), component_id (smallest doc_id linked, directly or not) and kept."""
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     signed = materialise(keyed.mapInArrow(sign, SIGNED), "signed")
-    reps = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_key", "sig", "bands"), F.struct("doc_id", "text_key")).alias("rep"))
-    reps = materialise(reps.select("key", "class_id", "rep.*"), "classes")
+    reps = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.min_by(F.struct("doc_id", "text_key", "sig", "bands"), F.struct("doc_id", "text_key")).alias("rep"))
+    reps = materialise(reps.select("key", "class_id", "first", "rep.*"), "classes")
     bands = reps.select("key", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("band", "hub")
     shared = materialise(bands.join(hubs, "band"), "shared")
@@ -237,14 +237,16 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         hops = hops.join(part.select(F.col("node").alias(end), F.col("component").alias(to)), end, "left").withColumn(to, F.coalesce(to, end))
     joined = components(hops.select("x", "y"), "x", "y")
     part = part.withColumnRenamed("component", "part")
-    whole = reps.select("key", "class_id").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("key", "class_id", F.coalesce("component", "part").alias("part"))
+    whole = reps.select("key", "class_id", "first").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("key", "class_id", "first", F.coalesce("component", "part").alias("part"))
     whole = materialise(whole, "whole")
-    least_id = whole.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    named = signed.select("doc_id", "text_key", "key", "n").join(whole, "key", "left").join(least_id, "part", "left")
+    least_id = whole.groupBy("part").agg(F.min("class_id").alias("component_id"), F.min("first").alias("first"))
+    named = signed.select("doc_id", "text_key", "key", "n").join(whole.drop("first"), "key", "left").join(least_id, "part", "left")
     named = named.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "component_id").orderBy("text_key"))
-    return named.select("doc_id", "text_key", "class_id", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & ((nth == 1) | (F.col("n") == 0))).alias("kept"))
+    # of each component, whose name other components may share, the row of the smallest id (nulls last) and text; it may be repeated
+    nth = F.row_number().over(Window.partitionBy("part", "doc_id", "text_key").orderBy("n"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (nth == 1)
+    return named.select("doc_id", "text_key", "class_id", "component_id", ((F.col("n") == 0) | F.coalesce(first, F.lit(False))).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -86,6 +86,17 @@ def test_near_copies_in_tiles_chain(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_one_is_kept_of_each_component_under_shared_ids(spark):
+    """Unrelated texts with null ids or with one id twice; near and exact copies of some stand under other ids."""
+    text = lambda k, last="end": " ".join([f"t{k}x{i}" for i in range(60)] + [last])
+    rows = [(None, text(k)) for k in range(4)] + [(None, text(0))] + [(7, text(k)) for k in range(4, 8)] + [(7, text(4))]
+    rows += [(8 + k, text(k, "other")) for k in range(4, 8)] + [(20, text(3)), (None, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = collections.Counter([*((None, text(k)) for k in range(3)), (20, text(3)), *((7, text(k)) for k in range(4, 8)), (None, ""), (7, " ")])
+    assert collections.Counter(tuple(r) for r in near_dedup.without_near_copies(docs).collect()) == want
+    assert sum(r.kept for r in near_dedup.near_classes(docs).collect()) == sum(want.values())
+
+
 def test_without_near_copies_keeps_columns(docs, rows, no_docs):
     out = near_dedup.without_near_copies(docs)
     assert out.columns == docs.columns
