@@ -1,10 +1,12 @@
 """LM scoring by online logistic context mixing.
 
 A token is spelled as bits: first its class (its last two bytes, the frequent ones each a class) by a Huffman code. Each bit is
-predicted from several hashed contexts (the bit's node alone, with one and two classes before, with the token before); the
+predicted from several hashed contexts (the bit's node alone, with one to three classes before, with the token before); the
 predictions are mixed in the logistic domain by weights that the contexts' confidence selects (gates), and refined by an
-adaptive table over (node, prediction). The token's share of its class follows, or for a word that the training texts lack
-the class's share of new words and then its bytes, whose bits a second mixer predicts from one to four bytes before.
+adaptive table over (node, prediction). Then comes which known word of its class it is, by a Huffman code within the class whose
+bits a second mixer predicts from the classes and the token before; words outside ``HEAD`` share a leaf of their class and are told
+apart by their counts. For a word that the training texts lack the class's share of new words follows, and then its bytes, whose
+bits a third mixer predicts from one to four bytes before.
 
 Training is online in each task: bits are predicted from what the task has counted so far, then teach weights, table and
 counts; counts are added up over all tasks and weights averaged by bits. Scoring starts from that model and goes on adapting
@@ -138,14 +140,15 @@ def chunks(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cut[i].tobytes() for i in some], pa.binary())], ["chunk", "values"])
 
 
-def gathered(rows: DataFrame, into: Mixer) -> Mixer:
-    """The mixer from the summed chunks of all tasks; its size is fixed."""
+def gathered(rows: DataFrame, *into: Mixer) -> list[Mixer]:
+    """The mixers from the summed chunks of all tasks; their size is fixed."""
     summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(added_up, ADDED).collect()
-    values = np.zeros(len(into.packed(0)))
+    sizes = [len(m.packed(0)) for m in into]
+    values = np.zeros(sum(sizes))
     for r in summed:
         part = np.frombuffer(r["values"])
         values[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    return into.unpacked(values)
+    return [m.unpacked(v) for m, v in zip(into, np.split(values, np.cumsum(sizes)[:-1]), strict=True)]
 
 
 def huffman(weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +169,39 @@ def huffman(weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([n for n, _ in flat], np.int64), np.array([b for _, b in flat], np.int64), np.array([len(c) for c in walked], np.int64)
 
 
-#: Slots of the class mixer's contexts: node; 1 and 2 classes before; the token before.
-CLASS_SLOTS = (64, 64 * 65, 1 << 18, 1 << 18)
+def word_codes(group: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``huffman``, with a tree for each group of leaves; leaves of no weight have no code."""
+    parent, side, new = np.full(2 * len(group), -1, np.int64), np.zeros(2 * len(group), np.int8), len(group)
+    order = np.argsort(group, kind="stable")
+    order = order[weight[order] > 0]
+    for leaves in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        heap = list(zip(weight[leaves].tolist(), leaves.tolist(), strict=True))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (w0, a), (w1, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[a] = parent[b] = new
+            side[b] = 1
+            heapq.heappush(heap, (w0 + w1, new))
+            new += 1
+    depth, up = np.zeros(len(group), np.int64), parent[: len(group)]
+    while (up >= 0).any():
+        depth += up >= 0
+        up = np.where(up >= 0, parent[up], -1)
+    nodes, bits = np.zeros(int(depth.sum()), np.int32), np.zeros(int(depth.sum()), np.int8)
+    at, place = np.arange(len(group)), np.cumsum(depth) - 1
+    at, place = at[depth > 0], place[depth > 0]
+    while len(at):
+        nodes[place], bits[place] = parent[at] - len(group), side[at]
+        at, place = parent[at], place - 1
+        below = parent[at] >= 0
+        at, place = at[below], place[below]
+    return nodes, bits, depth
+
+
+#: Slots of the class mixer's contexts: node; 1, 2, 3 classes before; the token before.
+CLASS_SLOTS = (64, 64 * 65, 1 << 18, 1 << 18, 1 << 18)
+#: Those of the word mixer besides the node's own: 1, 2, 3 classes before; the token before.
+WORD_SLOTS = (1 << 18, 1 << 18, 1 << 18, 1 << 18)
 #: Those of the spelling mixer: 1 to 4 bytes before.
 SPELL_SLOTS = (1 << 16, 1 << 18, 1 << 18, 1 << 18)
 
@@ -185,7 +219,7 @@ class Tokens:
             count[k] += n
             singles[k] += once
         self.log_new = np.log10((singles + 1) / (count + singles + 2))  # of a word that training lacks
-        self.log_share = np.log10((count + 1) / (count + singles + 2)) - np.log10(np.maximum(count, 1))  # with log10 of a word's count
+        self.log_known = np.log10((count + 1) / (count + singles + 2))
         self.nodes, self.bits, self.depth = huffman((count + 1).tolist())
         self.first = np.cumsum(self.depth) - self.depth
         self.index = {w: i for i, (w, _) in enumerate(head)}
@@ -193,7 +227,13 @@ class Tokens:
         self.classes = np.array([self.class_of.get(w[-2:], self.other) for w, _ in head], np.int64)
         self.below = total + 0.1 * (kinds + 1)
         self.head_base = np.log10((n + 0.1) / self.below) if self.below > 0 else np.zeros(0)
-        self.head_score = np.log10(np.maximum(n, 1)) + (self.log_share[self.classes] if len(n) else 0)
+        tail = np.maximum(count - np.bincount(self.classes, n, minlength=len(count)), 0)
+        self.log_tail = self.log_known - np.log10(np.maximum(tail, 1))  # with log10 of a word's count, after the leaf of such words
+        self.word_nodes, self.word_bits, self.word_depth = word_codes(np.r_[self.classes, np.arange(len(count))], np.r_[n, tail])
+        self.word_first = np.cumsum(self.word_depth) - self.word_depth
+        self.word_slots = (max(64, len(head) + len(count)), *WORD_SLOTS)
+        #: A word's share of its class by the counts alone, without contexts.
+        self.head_score = np.log10(np.maximum(n, 1)) + (self.log_known - np.log10(np.maximum(count, 1)))[self.classes]
 
     def read(self, texts: list[bytes]):
         """(tokens' places in the head or -1, classes, tokens in each text, the words)."""
@@ -207,17 +247,17 @@ class Tokens:
         return ids, kind, lens, words
 
     def contexts(self, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
-        """Numbers of the contexts before each token: 1 and 2 classes, and the token."""
+        """Numbers of the contexts before each token: 1, 2, 3 classes and the token."""
         start = np.cumsum(lens) - lens
         token = np.where(ids < 0, HEAD + kind, ids)
         before, c = kind, []
         none = len(self.depth)
         at = np.arange(len(kind)) - np.repeat(start, lens)
-        for n in (1, 2):
+        for n in (1, 2, 3):
             before = np.r_[none, before[:-1]][: len(kind)]
             before = np.where(at < n, none, before)
             c.append(before)
-        out = [c[0], c[0] * 65 + c[1]]
+        out = [c[0], c[0] * 65 + c[1], (c[0] * 65 + c[1]) * 65 + c[2]]
         last = np.r_[0, token[:-1]][: len(kind)]
         return [*out, np.where(at < 1, HEAD + 100, last)]
 
@@ -232,6 +272,16 @@ class Tokens:
             at.append(slots_of(spread(c), of, node, CLASS_SLOTS[2 + k]))
         return at, node, bit, of
 
+    def word_bits_of(self, ids: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray]):
+        """(slots in each context, classes, bits, token of each bit) for the words within their classes."""
+        leaf = np.where(ids < 0, len(self.index) + kind, ids)
+        n = self.word_depth[leaf]
+        of = np.repeat(np.arange(len(leaf)), n)
+        place = np.arange(len(of)) + np.repeat(self.word_first[leaf] - (np.cumsum(n) - n), n)
+        node, bit = np.take(self.word_nodes, place).astype(np.int64), np.take(self.word_bits, place).astype(np.int64)
+        at = [node] + [slots_of(spread(c * 4 + k), of, node, WORD_SLOTS[k]) for k, c in enumerate(contexts)]
+        return at, kind[of], bit, of
+
 
 def spread(context: np.ndarray) -> np.ndarray:
     """30 hashed bits of each context."""
@@ -310,27 +360,33 @@ def spell_scores(mixer: Mixer, words: list[bytes], tokens: Tokens) -> np.ndarray
 
 
 def train_classes(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[pa.RecordBatch]:
-    mixer, n = Mixer.fresh(CLASS_SLOTS, 64), 0
+    """Both mixers of known words: of classes, and of words within them."""
+    mixer, worder, n, m = Mixer.fresh(CLASS_SLOTS, 64), Mixer.fresh(tokens.word_slots, 64), 0, 0
     for batch in text_slices(batches, limit=1 << 20):
         ids, kind, lens, _ = tokens.read(texts_of(batch))
-        at, node, bit, _ = tokens.bits_of(kind, tokens.contexts(ids, kind, lens))
+        contexts = tokens.contexts(ids, kind, lens)
+        at, node, bit, _ = tokens.bits_of(kind, contexts)
         mixer.learn(at, node, bit)
         n += len(bit)
+        at, node, bit, _ = tokens.word_bits_of(ids, kind, contexts)
+        worder.learn(at, node, bit)
+        m += len(bit)
     if n:
-        yield chunks(mixer.packed(n))
+        yield chunks(np.concatenate([mixer.packed(n), worder.packed(m)]))
 
 
-def class_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """log10 probability of the classes of each text; the weights adapt within a text from block to block."""
+def in_blocks(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of tokens by block, and the text and block of each in that order."""
     doc = np.repeat(np.arange(len(lens)), lens)
-    block = (np.arange(len(kind)) - np.repeat(np.cumsum(lens) - lens, lens)) // BLOCK
+    block = (np.arange(len(doc)) - np.repeat(np.cumsum(lens) - lens, lens)) // BLOCK
     order = np.argsort(block * len(lens) + doc, kind="stable")
-    contexts = [c[order] for c in tokens.contexts(ids, kind, lens)]
-    doc, block = doc[order], block[order]
-    at, node, bit, of = tokens.bits_of(kind[order], contexts)
-    bit_doc, bit_block = doc[of], block[of]
-    own, out = np.zeros((len(at) + 1, len(lens)), "f4"), np.zeros(len(lens))
-    ends = np.searchsorted(bit_block, np.arange(int(block[-1]) + 2)) if len(block) else [0]
+    return order, doc[order], block[order]
+
+
+def adapted(mixer: Mixer, at: list[np.ndarray], node: np.ndarray, bit: np.ndarray, bit_doc: np.ndarray, bit_block: np.ndarray, n: int) -> np.ndarray:
+    """log10 probability of each bit; the weights adapt within a text from block to block."""
+    own, out = np.zeros((len(at) + 1, n), "f4"), np.zeros(len(bit))
+    ends = np.searchsorted(bit_block, np.arange(int(bit_block[-1]) + 2)) if len(bit) else [0]
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         x, gate = mixer.inputs([y[a:b] for y in at])
         d, y = bit_doc[a:b], bit[a:b]
@@ -339,39 +395,59 @@ def class_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray
             for i in range(len(x)):
                 dot += np.take(own[i], d) * x[i]
         p, q, _ = mixer.final(dot, node[a:b])
-        out += np.bincount(d, np.log10(np.where(y == 1, q, 1 - q)), minlength=len(lens))
-        err, count = y - p, np.bincount(d, minlength=len(lens))
+        out[a:b] = np.log10(np.where(y == 1, q, 1 - q))
+        err, count = y - p, np.bincount(d, minlength=n)
         for i in range(len(x)):
-            own[i] += 0.1 * np.bincount(d, err * x[i], minlength=len(lens)) / np.maximum(count, 200)
+            own[i] += 0.1 * np.bincount(d, err * x[i], minlength=n) / np.maximum(count, 200)
+    return out
+
+
+def class_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """log10 probability of the classes of each text."""
+    order, doc, block = in_blocks(lens)
+    at, node, bit, of = tokens.bits_of(kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)])
+    return np.bincount(doc[of], adapted(mixer, at, node, bit, doc[of], block[of], len(lens)), minlength=len(lens))
+
+
+def word_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """log10 probability of each token within its class, if known; for one outside the head, that of being outside."""
+    order, doc, block = in_blocks(lens)
+    at, node, bit, of = tokens.word_bits_of(ids[order], kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)])
+    out = np.zeros(len(ids))
+    out[order] = np.bincount(of, adapted(mixer, at, node, bit, doc[of], block[of], len(lens)), minlength=len(ids))
     return out
 
 
-SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,tf:long>>"
+SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,tf:long,leaf:double>>"
 
 
-def score_texts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer) -> Iterator[pa.RecordBatch]:
-    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
+def score_texts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer, worder: Mixer) -> Iterator[pa.RecordBatch]:
+    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("leaf", pa.float64())]))
     for batch in text_slices(batches, limit=1 << 20):
         texts = texts_of(batch)
         ids, kind, lens, words = tokens.read(texts)
         doc, known = np.repeat(np.arange(len(lens)), lens), ids >= 0
         score = class_scores(tokens, mixer, ids, kind, lens)
         part = lambda w, v: np.bincount(doc[w], v, minlength=len(lens))
-        score += part(known, tokens.head_score[ids[known]]) + part(~known, tokens.log_share[kind[~known]])
+        within = word_scores(tokens, worder, ids, kind, lens)
+        score += part(known, within[known] + tokens.log_known[kind[known]])
+        within += tokens.log_tail[kind]
         base = part(known, tokens.head_base[ids[known]])
-        tails: list[Counter] = [Counter() for _ in texts]
+        tails: list[dict[bytes, dict]] = [{} for _ in texts]
         for i in np.flatnonzero(~known):
-            tails[doc[i]][words[i]] += 1
-        cols = [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array(lens), pa.array(np.bincount(doc[known], minlength=len(lens)), pa.int64()), pa.array(base), pa.array(score), pa.array([[{"token": w, "tf": n} for w, n in t.items()] for t in tails], tail_type)]
+            seen = tails[doc[i]].setdefault(words[i], {"token": words[i], "tf": 0, "leaf": 0.0})
+            seen["tf"] += 1
+            seen["leaf"] += float(within[i])
+        cols = [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array(lens), pa.array(np.bincount(doc[known], minlength=len(lens)), pa.int64()), pa.array(base), pa.array(score), pa.array([list(t.values()) for t in tails], tail_type)]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row", "n_bytes", "n_tokens", "n_head", "base", "score", "tail"])
 
 
 def new_words(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer) -> Iterator[pa.RecordBatch]:
-    """(row, tf, add): what a word that training lacks adds to a score beyond its class's usual share."""
+    """(row, tf, add): what a word that training lacks adds to a score."""
     for batch in batches:
         words = batch.column("token").to_pylist()
         kind = np.array([tokens.class_of.get(w[-2:], tokens.other) for w in words], np.int64)
-        add = tokens.log_new[kind] - tokens.log_share[kind] + spell_scores(mixer, words, tokens)
+        add = tokens.log_new[kind] + spell_scores(mixer, words, tokens)
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), pa.array(add, pa.float64())], ["row", "tf", "add"])
 
 
@@ -397,12 +473,12 @@ def text_scores(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = H
     del top
     tokens = Tokens(frequent, [(bytes(r["e"]), r["c"], r["once"]) for r in endings], total, kinds)
     shared = sc.broadcast(tokens)
-    mixer = sc.broadcast(gathered(training.mapInArrow(lambda x: train_classes(x, shared.value), ADDED), Mixer.fresh(CLASS_SLOTS, 64)))
-    speller = sc.broadcast(gathered(counts.select("token").mapInArrow(lambda x: train_spelling(x, shared.value), ADDED), Mixer.fresh(SPELL_SLOTS, 256)))
+    mixers = sc.broadcast(gathered(training.mapInArrow(lambda x: train_classes(x, shared.value), ADDED), Mixer.fresh(CLASS_SLOTS, 64), Mixer.fresh(tokens.word_slots, 64)))
+    speller = sc.broadcast(gathered(counts.select("token").mapInArrow(lambda x: train_spelling(x, shared.value), ADDED), Mixer.fresh(SPELL_SLOTS, 256))[0])
     rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    scored = materialise(rows.mapInArrow(lambda x: score_texts(x, shared.value, mixer.value), SCORED), "scored")
+    scored = materialise(rows.mapInArrow(lambda x: score_texts(x, shared.value, *mixers.value), SCORED), "scored")
     tail = scored.select("row", F.inline("tail")).join(counts, "token", "left")
-    known = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_tail"), F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / tokens.below)).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("tf") * F.log10("c")).otherwise(0.0)).alias("tail_score"))
+    known = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_tail"), F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / tokens.below)).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("leaf") + F.col("tf") * F.log10("c")).otherwise(0.0)).alias("tail_score"))
     fresh = tail.where("c is null").select("row", "token", "tf").mapInArrow(lambda x: new_words(x, shared.value, speller.value), "row long, tf long, add double")
     fresh = fresh.groupBy("row").agg(F.sum(F.col("tf") * F.col("add")).alias("new_score"))
     zero = lambda c: F.coalesce(c, F.lit(0))
