@@ -1,7 +1,7 @@
 """Closure, depth, paths, components and order of graphs given as edge tables.
 
 Each iteration writes its frontier to the folder in spark.checkpoint.dir, so that neither lineage nor memory grows with the
-rounds; the number of rounds is capped, so that a cycle ends.
+rounds. Rounds go on until nothing is new or moves, which finite graphs reach, with cycles too.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, node) for all paths of one edge or more; pairs that are known are not followed again.
 
     ``edges``: (source, target). A node on a cycle is its own ancestor.
@@ -29,7 +29,7 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     step = edges.select("source", "target").distinct()
     seen = kept(step.select(F.col("source").alias("ancestor"), F.col("target").alias("node")))
     frontier = seen
-    for _ in range(most):
+    while True:
         new = frontier.join(step, frontier["node"] == step["source"]).select("ancestor", F.col("target").alias("node")).distinct()
         frontier = kept(new.join(seen, ["ancestor", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -38,12 +38,12 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     return seen
 
 
-def affected(edges: DataFrame, changed: DataFrame, most: int = 32) -> DataFrame:
+def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Nodes from which a changed node is reached (source depends on target), without the changed ones."""
     step = edges.select("source", "target").distinct()
     start = changed.select("node").distinct()
     seen, frontier = kept(start), start
-    for _ in range(most):
+    while True:
         new = frontier.join(step, frontier["node"] == step["target"]).select(F.col("source").alias("node")).distinct()
         frontier = kept(new.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
@@ -52,7 +52,7 @@ def affected(edges: DataFrame, changed: DataFrame, most: int = 32) -> DataFrame:
     return seen.join(start, "node", "left_anti")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): the longest path from a node without incoming edges; null for nodes on or behind a cycle.
 
     Each round settles the nodes whose sources are all settled: an order that runs a level at a time.
@@ -60,7 +60,7 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
     e = edges.select("source", "target").distinct()
     todo = kept(nodes.select("node").distinct())
     done, level = None, 0
-    while level < most:
+    while True:
         waiting = e.join(todo.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         ready = kept(todo.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
@@ -72,12 +72,12 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
     return rest if done is None else done.union(rest)
 
 
-def components(edges: DataFrame, most: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is linked, directly or not. Labels jump to their label's label in each round."""
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("other")).union(edges.select(F.col("target"), F.col("source"))).distinct()
     both = kept(both)
     label = kept(both.select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(most):
+    while True:
         seen = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         low = label.join(seen, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = low.join(low.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"))
@@ -89,11 +89,11 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     return label
 
 
-def paths(parents: DataFrame, most: int = 16) -> DataFrame:
+def paths(parents: DataFrame) -> DataFrame:
     """(node, path) from the root down, for rows (node, parent); a repeated node ends the walk."""
     up = kept(parents.select("node", "parent"))
     walk = up.select("node", F.array("node").alias("path"), F.col("parent").alias("next"))
-    for _ in range(most):
+    while True:
         joined = walk.join(up.select(F.col("node").alias("next"), F.col("parent").alias("above")), "next", "left")
         fresh = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
         walk = kept(joined.select("node", F.when(fresh, F.concat(F.array("next"), "path")).otherwise(F.col("path")).alias("path"), F.when(fresh, F.col("above")).alias("next")))

@@ -38,6 +38,13 @@ def test_components_and_affected(spark):
     assert graph.components(edges(spark, [])).count() == 0
 
 
+def test_deep_paths_and_chains(spark):
+    up = spark.createDataFrame([(k, k - 1 if k else None) for k in range(24)], "node int, parent int")
+    assert {r.node: r.path for r in graph.paths(up).collect()} == {k: list(range(k + 1)) for k in range(24)}
+    e = edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(36)])
+    assert graph.affected(e, spark.createDataFrame([("n36",)], "node string")).count() == 36
+
+
 def test_diff(spark):
     old, new = (spark.createDataFrame(x, "artifact string, fingerprint string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9"), ("d", "4")]))
     assert {r.artifact: r.change for r in changes.diff(old, new).collect()} == {"a": "unchanged", "b": "modified", "c": "removed", "d": "added"}
