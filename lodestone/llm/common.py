@@ -44,6 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def skew_join(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "inner", hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table`` (written, one row a key), whose column ``n`` says how many of ``rows`` have the key.
+
+    Keys with over a ``hot``-th of all rows are fewer than ``hot``: their side of the table is broadcast, so that their rows
+    stay where they are. The others are joined by shuffling, and no task gets more than a ``hot``-th for one key.
+    """
+    limit = (table.agg(F.sum(n)).first()[0] or 0) // hot
+    heavy = F.broadcast(table.where(F.col(n) > limit))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key, how)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes at most; a row is never cut."""
     for batch in batches:

@@ -1,6 +1,7 @@
 """Connected components of links by alternating stars: in each round nodes hang themselves onto the smallest node they see.
 
-Only links and their minima are shuffled (aggregated before the shuffle); nothing comes to the driver but a count and a checksum.
+Only links and their minima are shuffled (aggregated before the shuffle; links of hubs stay where they are); nothing comes to the
+driver but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -8,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, skew_join
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    return skew_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialise(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = skew_join(e, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,6 +36,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        e = materialise(_small_star(_large_star(e)), "stars")
+        e = materialise(_small_star(materialise(_large_star(e), "large")), "stars")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

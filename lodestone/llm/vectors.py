@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 
 def sound(vectors: DataFrame, *more: str) -> DataFrame:
-    """vec_id, embedding and ``more`` of the rows that take part.
+    """vec_id, embedding, ``dim`` (its length) and ``more`` of the rows that take part.
 
-    A vector that is null, empty or zero, or holds a null or non-finite component, does not; nor does one without a vec_id,
-    or one whose dimension is not the most common one (the smallest of those, if several are).
+    A vector that is null, empty or zero, or holds a null or non-finite component, does not. Vectors of different lengths
+    have no product: operators compare those of one length.
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    usable = vectors.select("vec_id", "embedding", *more).where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda c: c != 0))
-    top = usable.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    return usable.where(F.size("embedding") == (top["dim"] if top else 0))
+    usable = vectors.select("vec_id", "embedding", *more).where(x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda c: c != 0))
+    return usable.withColumn("dim", F.size("embedding"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -23,28 +23,75 @@ def vector_rows(n=300, dim=16, seed=0):
     return rows, x
 
 
-@pytest.mark.parametrize(("tile", "axes"), [(512, 1), (7, 2)])
-def test_vector_classes(spark, tile, axes, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "axes_for", lambda most: axes)
-    rows, x = vector_rows()
-    got = {r.vec_id: r for r in vector_dedup.vector_classes(spark.createDataFrame(rows, VECTORS), tile=tile).collect()}
-    x = x.astype("f8")
+def links_of(x, label):
+    """Brute force: the number of links and the least linked place of each row."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.array([-i if r[2] is None else r[2] for i, r in enumerate(rows[: len(x)])])
     near = (u @ u.T >= 0.93) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
-    near[[i for i, r in enumerate(rows[: len(x)]) if r[2] is None]] = False
     low = np.arange(len(x))
     for _ in range(len(x)):
-        low = np.minimum(low, np.where(near, low[None], len(x)).min(axis=1))
+        now = np.minimum(low, np.where(near, low[None], len(x)).min(axis=1))
+        if (now == low).all():
+            break
+        low = now
+    return near.sum(axis=1), low
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_vector_classes(spark, tile):
+    rows, x = vector_rows()
+    got = {r.vec_id: r for r in vector_dedup.vector_classes(spark.createDataFrame(rows, VECTORS), tile=tile).collect()}
+    n, low = links_of(x.astype("f8"), np.array([-1 - i if r[2] is None else r[2] for i, r in enumerate(rows[: len(x)])]))
     for i in range(len(x)):
-        assert got[i].n_links == near[i].sum(), i
-        assert got[i].component_id == low[i] and got[i].kept == (low[i] == i)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (n[i], low[i], low[i] == i), i
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
     assert len(got) == len(rows)
     assert vector_dedup.vector_classes(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vector_classes_of_64_dimensions(spark):
+    """Links, copies, repeated and null ids, another length, and vectors in clumps that trees can cut."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 64)).astype("f4")
+    x[600:] = np.repeat(x[:12], 50, axis=0) + 0.25 * rng.normal(size=(600, 64))
+    x[100:140] = x[100]
+    x[200:260] = x[200] + 0.2 * rng.normal(size=(60, 64))
+    ids = [int(i) for i in range(1200)]
+    ids[101], ids[102], ids[205] = 100, None, None
+    rows = [(ids[i], v.tolist(), i % 2 if i < 50 else 0, "", "") for i, v in enumerate(x)] + [(2000, [1.0, 2.0], 0, "", ""), (2001, [2.0, 4.0], 0, "", ""), (2002, [1.0, 2.0], None, "", "")]
+    got = vector_dedup.vector_classes(spark.createDataFrame(rows, VECTORS).repartition(5), tile=64).collect()
+    n, low = links_of(x.astype("f8"), np.array([r[2] for r in rows[:1200]]))
+    assert n.sum() > 10_000
+    want = sorted((str(ids[i]), int(n[i]), int(low[i]), ids[i] == int(low[i])) for i in range(1200))
+    want += [("2000", 1, 2000, True), ("2001", 1, 2000, False), ("2002", 0, 2002, True)]
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == sorted(want)
+
+
+def test_few_unrelated_pairs_are_compared_in_full(spark):
+    """Of unstructured vectors a subspace's range join leaves next to nothing to verify."""
+    x = np.random.default_rng(9).normal(size=(1500, 64))
+    reps = spark.createDataFrame([(i, 0, 64, v.tolist()) for i, v in enumerate(x)], "row long, label int, dim int, embedding array<float>")
+    per = vector_dedup.candidates(reps, 0.93, 4, 512).groupBy("meeting").count().collect()
+    assert sum(r["count"] ** 2 for r in per) < 0.05 * 1500 * 1499 / 2
+
+
+def test_trees_cut_clumps(spark):
+    """In clumped data a row meets few others; pairs within reach are brought together once in each subspace's homes."""
+    rng = np.random.default_rng(2)
+    z = np.repeat(rng.normal(size=(64, 16)), 40, axis=0) * 0.5 + 0.01 * rng.normal(size=(2560, 16))
+    reach = 0.187
+    tree = vector_dedup.grown(z, reach)
+    homes, met = np.full(len(z), -1), 0
+    inside = {}
+    for cell, rows, home in vector_dedup.placed(tree, z, reach):
+        homes[rows[home]] = cell
+        inside[cell] = set(rows.tolist())
+        met += home.sum() * len(rows)
+    assert (homes >= 0).all() and met < 0.25 * len(z) ** 2
+    near = np.argwhere(((z[:400, None] - z[None, :400]) ** 2).sum(axis=2) <= reach**2)
+    assert all(j in inside[homes[i]] for i, j in near)
+
+
 def truth(rows, x, asked, k):
     x = x.astype("f8")
     out = {}
