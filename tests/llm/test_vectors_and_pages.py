@@ -120,6 +120,37 @@ def test_nearest(spark):
         assert all(abs(s - float(np.dot(x[q].astype("f8"), x[v].astype("f8")))) < 1e-9 for v, s in f.values())
 
 
+def test_nearest_of_64_unstructured_dimensions(spark):
+    """Recall of at least 0.9 over all queries; the share of vectors visited is fitted on true neighbours."""
+    x = np.random.default_rng(11).normal(size=(3000, 64)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = truth(None, x, list(range(0, 3000, 20)), 20)
+    assert sorted(got) == sorted(want)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_in_pieces_with_null_ids_and_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "PIECE", 3)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 8))
+    rows = [(None if i == 3 else i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 0.0]), (1020, [2.0, 0.0]), (None, [1.0, 0.0])]
+    rows[3] = (None, x[5].tolist())
+    got = {}
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, recall=1.0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert got[1000] == {1: 1020, 2: None} and got[1020] == {1: 1000, 2: None}
+    x[3] = x[5]
+    want = truth(None, x, list(range(0, 200, 20)), 20)
+    hit = 0
+    for q, w in want.items():
+        assert sorted(got[q]) == list(range(1, 21))
+        hit += len({-1 if v is None else v for v in got[q].values()} & {-1 if v == 3 else v for v in w})
+    assert hit >= 0.9 * 200
+
+
 def test_nearest_with_few_candidates(spark):
     rows, x = vector_rows(n=150)
     few = [rows[0], rows[20], rows[100], (500, rows[20][1], 0, "", ""), rows[0]]
