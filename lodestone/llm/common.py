@@ -52,6 +52,8 @@ def skew_join(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: st
     """
     limit = (table.agg(F.sum(n)).first()[0] or 0) // hot
     heavy = F.broadcast(table.where(F.col(n) > limit))
+    if heavy.isEmpty():
+        return rows.join(table, key, how)
     rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key, how)
     return rows.join(heavy, key).unionByName(rest)
 
@@ -80,8 +82,11 @@ class WordHashes(dict):
 
     bound = 150_000
 
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh64_intdigest(word)
+        got = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -10,11 +10,12 @@ Documents with equal words are one class, signed once. Classes that share a band
 band if their texts bear it out; bands whose classes are still in different components then have the pairs between
 components checked as well: pair by pair where a band has few classes, else in tiles, whose tasks compare all texts of two
 tiles at once and give a forest of the links found. A group of copies or near copies thus makes about as many rows as it has
-members, and no link that the bands show is lost.
+members, and no link that the bands show is lost: every pair is compared exactly unless the texts' lengths alone rule it out.
+Hot bands, large groups of copies and large components are joined where their rows are (``skew_join``).
 
 Nulls and edges: a text of one to four words is one shingle; a text without words (null, empty, blank) links with nothing
 and is its own class; a null doc_id takes part, and is the class id only where there is no other; rows that repeat a doc_id
-and text are copies, of which one is kept; an empty table gives an empty table; other columns are left alone.
+and text are copies, of which one is kept; texts are told apart by 128-bit hashes of their words; an empty table gives an empty table; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,18 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, WordHashes, flat, gram_hashes, materialise, mix, text_slices, texts_of
+from .common import U64, WORD, WordHashes, flat, gram_hashes, materialise, mix, skew_join, text_slices, texts_of
 from .components import components
 
 WORDS, COORDS, ROWS, SIMILAR = 5, 64, 4, 0.8
 #: Bands of more classes than ``FEW`` are compared in tiles of about ``TILE`` classes.
 FEW, TILE = 24, 384
-#: Pairs whose signatures agree in a smaller share are not compared: five deviations under 0.8.
-LEAST_AGREEING = 0.55
-SIGNED = "doc_id long, text_key long, key long, n long, sig binary, bands array<long>"
+SIGNED = "doc_id long, text_key long, row long, digest binary, n long, bands array<long>"
 _hashes = WordHashes()
 
 
@@ -113,18 +112,9 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * U64(31) + sig[:, r::ROWS])
         band = mix(band + np.arange(COORDS // ROWS, dtype=U64))
         n = np.bincount(doc, minlength=len(split))
-        keys = [xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) for w in split]
+        digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, band.shape[1]), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
-        short = (sig >> U64(8)).astype("<u2")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in short], pa.binary()), lists], ["doc_id", "text_key", "key", "n", "sig", "bands"])
-
-
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sig_a, sig_b) whose signatures agree often enough."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, COORDS) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREEING))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), batch.column("row"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "text_key", "row", "digest", "n", "bands"])
 
 
 def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -191,68 +181,77 @@ def met(table: pa.Table, least: float) -> pa.Table:
 
 def tiled(open_rows: DataFrame) -> DataFrame:
     """(meeting, key, part): the classes of each band dealt into tiles by hash, and each two tiles brought together."""
-    n = open_rows.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    t = open_rows.join(n, "band").withColumn("own", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+    t = open_rows.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("/", "band", F.least("own", o), F.greatest("own", o)))
     return t.select("key", "part", F.explode(pair).alias("meeting"))
 
 
-def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id, text_key, class_id (smallest doc_id with the same words), component_id (smallest doc_id linked, directly or not) and kept."""
+def classified(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, text_key, class_id, component_id, kept, and ``same``, an upper bound of the rows that have this doc_id and text_key."""
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    signed = materialise(keyed.mapInArrow(sign, SIGNED), "signed")
-    reps = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.min_by(F.struct("doc_id", "text_key", "sig", "bands"), F.struct("doc_id", "text_key")).alias("rep"))
-    reps = materialise(reps.select("key", "class_id", "first", "rep.*"), "classes")
-    bands = reps.select("key", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("band", "hub")
-    shared = materialise(bands.join(hubs, "band"), "shared")
-    needed = shared.select("key").distinct().join(reps.select("key", "doc_id", "text_key"), "key").alias("r")
+    signed = materialise(keyed.withColumn("row", F.monotonically_increasing_id()).mapInArrow(sign, SIGNED), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
+    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min(first).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    reps = materialise(reps.withColumn("key", F.col("first.row")), "classes")
+    bands = reps.select("key", "n", F.explode("bands").alias("band"))
+    hubs = bands.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.max("key").alias("last"), F.count("*").alias("members")).where("hub.key <> last")
+    shared = materialise(skew_join(bands, materialise(hubs.select("band", "hub", "members"), "hubs"), "band", "members"), "shared")
+    needed = shared.select("key").distinct().join(reps.select("key", "first.doc_id", "first.text_key"), "key").alias("r")
     t = keyed.alias("t")
     texts = materialise(t.join(needed, (F.col("t.text_key") == F.col("r.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("r.doc_id"))).select("key", F.col("t.text").alias("text")).dropDuplicates(["key"]), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        for end in "ab":
-            pairs = pairs.join(reps.select(F.col("key").alias(end), F.col("sig").alias(f"sig_{end}")), end)
-        pairs = pairs.mapInArrow(agreeing, "a long, b long")
+        """Of pairs (a, b, n_a, n_b) those that are similar; the lesser weight over the greater bounds the similarity."""
+        pairs = pairs.where(F.least("n_a", "n_b") >= (least - 1e-9) * F.greatest("n_a", "n_b")).select("a", "b").distinct()
         for end in "ab":
             pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("text").alias(f"text_{end}")), end)
         return pairs.mapInArrow(lambda x: similar(x, least), "a long, b long")
 
-    stars = materialise(shared.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-    first = materialise(links(stars), "links")
-    part = materialise(components(first), "parts")
-    named = shared.join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part"))
-    open_bands = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    sizes = named.join(open_bands, "band").groupBy("band").agg(F.count("*").alias("members"))
-    still = materialise(named.join(sizes, "band"), "open")
+    stars = shared.where("key <> hub.key").select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
+    stars = materialise(stars.distinct(), "stars")
+    part = materialise(components(materialise(links(stars), "links")), "parts")
+    named = shared.select("band", "key", "n").join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("part"))
+    sizes = named.groupBy("band").agg(F.count("*").alias("members"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    still = materialise(skew_join(named, materialise(sizes.select("band", "members"), "sizes"), "band", "members"), "open")
     few = still.where(F.col("members") <= FEW)
     x, y = few.alias("x"), few.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") < F.col("y.part"))).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = materialise(links(across.join(stars, ["a", "b"], "left_anti")), "more")
-    meetings = tiled(still.where(F.col("members") > FEW).select("band", "key", "part")).join(texts, "key")
+    end = lambda side, c: F.when((F.col("x.key") < F.col("y.key")) == F.lit(side == "a"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") < F.col("y.part"))).select(end("a", "key").alias("a"), end("b", "key").alias("b"), end("a", "n").alias("n_a"), end("b", "n").alias("n_b")).distinct()
+    more = materialise(links(across.join(stars.select("a", "b"), ["a", "b"], "left_anti")), "more")
+    meetings = tiled(still.where(F.col("members") > FEW).select("band", "key", "part", "members")).join(texts, "key")
     more = more.union(materialise(meetings.groupBy("meeting").applyInArrow(lambda t: met(t, least), "a long, b long"), "met"))
     ends = {"a": "x", "b": "y"}
     hops = more
-    for end, to in ends.items():
-        hops = hops.join(part.select(F.col("node").alias(end), F.col("component").alias(to)), end, "left").withColumn(to, F.coalesce(to, end))
+    for end_, to in ends.items():
+        hops = hops.join(part.select(F.col("node").alias(end_), F.col("component").alias(to)), end_, "left").withColumn(to, F.coalesce(to, end_))
     joined = components(hops.select("x", "y"), "x", "y")
     part = part.withColumnRenamed("component", "part")
-    whole = reps.select("key", "class_id", "first").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("key", "class_id", "first", F.coalesce("component", "part").alias("part"))
+    whole = reps.select("digest", "key", "class_id", "first", "copies").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("digest", "class_id", "first", "copies", F.coalesce("component", "part").alias("part"))
     whole = materialise(whole, "whole")
-    least_id = whole.groupBy("part").agg(F.min("class_id").alias("component_id"), F.min("first").alias("first"))
-    named = signed.select("doc_id", "text_key", "key", "n").join(whole.drop("first"), "key", "left").join(least_id, "part", "left")
-    named = named.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    # of each component, whose name other components may share, the row of the smallest id (nulls last) and text; it may be repeated
-    nth = F.row_number().over(Window.partitionBy("part", "doc_id", "text_key").orderBy("n"))
-    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (nth == 1)
-    return named.select("doc_id", "text_key", "class_id", "component_id", ((F.col("n") == 0) | F.coalesce(first, F.lit(False))).alias("kept"))
+    # of each component, whose name other components may share, the row of the smallest id (nulls last) and text is kept
+    least_id = materialise(whole.groupBy("part").agg(F.min("class_id").alias("component_id"), F.min("first").alias("kept_first"), F.count("*").alias("classes")), "least")
+    told = materialise(skew_join(whole, least_id, "part", "classes").select("digest", "class_id", "component_id", F.col("kept_first.row").alias("kept_row"), "copies"), "told")
+    out = skew_join(signed.where("n > 0").select("doc_id", "text_key", "row", "digest"), told, "digest", "copies")
+    out = out.select("doc_id", "text_key", "class_id", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"), F.col("copies").alias("same"))
+    blank = signed.where("n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("same"))
+    return out.unionByName(blank)
+
+
+def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, text_key, class_id (smallest doc_id with the same words), component_id (smallest doc_id linked, directly or not) and kept."""
+    return classified(docs, least).drop("same")
 
 
 def without_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each group; its columns stay."""
-    kept = near_classes(docs, least).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    joined = keyed.join(kept, (F.col("text_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
-    return joined.withColumn("nth", nth).where((F.col("nth") == 1) | ~F.coalesce(F.col("doc.text"), F.lit("")).rlike(WORD)).select("doc.*")
+    """``docs`` with one document of each group; its columns stay. Texts without words all stay."""
+    id_key = lambda text_key: F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_key.cast("string"))).alias("id_key")
+    kept = classified(docs, least).where("kept and same > 0").select(id_key(F.col("text_key")), F.col("same").alias("n"))
+    kept = materialise(kept, "kept")
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    keyed = docs.where(has_words).select(F.struct(*docs.columns).alias("doc"), id_key(F.xxhash64("text")))
+    found = skew_join(keyed, kept, "id_key")
+    # a row alone of its id and text passes; of rows that may repeat one is taken, the first that each task has and then of those
+    once = found.where("n = 1").select("doc")
+    repeated = found.where("n > 1").groupBy("id_key").agg(F.first("doc").alias("doc")).select("doc")
+    return once.unionByName(repeated).select("doc.*").unionByName(docs.where(~has_words))

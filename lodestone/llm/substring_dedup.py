@@ -13,7 +13,9 @@ A window is 35 consecutive words; a word is removed when a window that covers it
    Aho-Corasick automaton over words, and streams the stretches through it. A window around a find is removed if it is among
    the shard's confirmed windows. A shard with many passages or stretches is dealt out over several automata and tasks.
 
-Words are hashed to 64 bits; windows are compared by 64-bit hashes of those.
+Windows are equal if two independent 64-bit hashes over their words are, in the counts as in the automata; rows are numbered,
+and their texts found again by an md5 of doc_id and text. Anchors and texts that a large share of the rows have are joined
+where their rows are (``skew_join``).
 
 Nulls and edges: a null text has no words; texts under 35 words stay as they are; rows that repeat a doc_id are documents
 of their own, so that an exactly repeated row repeats each of its windows; a null doc_id is kept; an empty table gives an
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, flat, gram_hashes, materialise, mix, text_slices, texts_of
+from .common import WordHashes, flat, gram_hashes, materialise, mix, skew_join, text_slices, texts_of
 from .vectors import lists
 
 WINDOW, GRAM = 35, 8
@@ -39,12 +41,15 @@ PHRASE = (WINDOW + 1) // 2
 #: Bytes of passages in one automaton, and of stretches for one task.
 AUTOMATON_BYTES, STRETCH_BYTES = 2 << 20, 8 << 20
 LOW = np.uint64((1 << 24) - 1)
-SCANNED = "doc_id long, rid long, n_words long, sha string, anchors array<long>, starts array<int>, ends array<int>"
-_hashes = WordHashes()
+SCANNED = "doc_id long, rid long, key string, n_words long, sha string, anchors array<long>, starts array<int>, ends array<int>"
+#: Grams that are placed at once: their places must fit into ``LOW``.
+PLACED = 1 << 23
+_hashes, _other_hashes = WordHashes(), WordHashes(seed=1)
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """Tells rows apart by doc_id and text, null and empty ones too."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("-"))))
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -62,9 +67,13 @@ def window_anchors(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(h) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = mix(gram_hashes(h, GRAM))
-    # the place in the low bits breaks ties, the same way in equal windows
-    key = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
-    at = (sliding_least(key, WINDOW - GRAM + 1) & LOW).astype(np.int64)
+    reach, found = WINDOW - GRAM + 1, []
+    for first in range(0, len(grams) - reach + 1, PLACED):
+        some = grams[first : first + PLACED + reach - 1]
+        # the place in the low bits breaks ties, the same way in equal windows
+        key = (some & ~LOW) | np.arange(len(some), dtype=np.uint64)
+        found.append((sliding_least(key, reach) & LOW).astype(np.int64) + first)
+    at = np.concatenate(found)
     starts = np.arange(len(at))
     inside = starts + WINDOW <= ends[of[: len(at)]]
     return starts[inside], at[inside], grams
@@ -85,7 +94,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = np.split(grams[at[first]].view(np.int64) if len(first) else np.zeros(0, np.int64), cut)
         i, j = (np.split((starts[x] - base[doc]) if len(first) else x, cut) for x in (first, last))
         sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("rid"), pa.array(lens), pa.array(sha), lists(anchors, pa.int64()), lists(i, pa.int32()), lists(j, pa.int32())], ["doc_id", "rid", "n_words", "sha", "anchors", "starts", "ends"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("rid"), batch.column("key"), pa.array(lens), pa.array(sha), lists(anchors, pa.int64()), lists(i, pa.int32()), lists(j, pa.int32())], ["doc_id", "rid", "key", "n_words", "sha", "anchors", "starts", "ends"])
 
 
 def chosen_windows(runs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +115,8 @@ def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
                 yield rid, text.split(), *chosen_windows(runs), {c: v[k].as_py() for c, v in cols.items()}
 
 
-def window_hashes(words: list[bytes]) -> np.ndarray:
-    return mix(gram_hashes(_hashes.of(words), WINDOW)).view(np.int64)
+def window_hashes(words: list[bytes], hashes: WordHashes = _hashes) -> np.ndarray:
+    return mix(gram_hashes(hashes.of(words), WINDOW)).view(np.int64)
 
 
 def in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -123,8 +132,8 @@ def in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]
 
 def candidate_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rid, words, starts, _, _ in documents_of(batches):
-        w = window_hashes(words)[starts]
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(np.full(len(w), rid), pa.int64())], ["w", "rid"])
+        w, v = window_hashes(words)[starts], window_hashes(words, _other_hashes)[starts]
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(v, pa.int64()), pa.array(np.full(len(w), rid), pa.int64())], ["w", "v", "rid"])
 
 
 def stretches(starts: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -170,30 +179,39 @@ class Automaton:
 
     def __init__(self, texts: list[bytes]):
         self.found = ahocorasick.Automaton()
-        held = []
+        held = [np.zeros((2, 0), np.int64)]
         for text in texts:
             words = text.split()
-            h = _hashes.of(words)
-            signs = as_signs(h)
+            signs = as_signs(_hashes.of(words))
             for at in range(0, len(words) - PHRASE + 1, PHRASE):
                 self.found.add_word(signs[at : at + PHRASE], 1)
-            held.append(mix(gram_hashes(h, WINDOW)))
+            held.append(np.stack([window_hashes(words), window_hashes(words, _other_hashes)]))
         self.found.make_automaton()
-        self.windows = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        w, v = np.concatenate(held, axis=1)
+        order = np.lexsort((v, w))
+        new = np.r_[True, (np.diff(w[order]) != 0) | (np.diff(v[order]) != 0)][: len(order)]
+        self.windows, self.others = w[order][new], v[order][new]
+        self.deepest = int(np.unique(self.windows, return_counts=True)[1].max(initial=1))  # over 1 only where first hashes collide
+
+    def has(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        place, got = np.searchsorted(self.windows, w), np.zeros(len(w), bool)
+        for step in range(self.deepest):
+            at = np.minimum(place + step, len(self.windows) - 1)
+            got |= (self.windows[at] == w) & (self.others[at] == v)
+        return got
 
     def covered(self, text: bytes) -> list[tuple[int, int]]:
         """Stretches of words that confirmed windows cover."""
-        h = _hashes.of(text.split())
-        w = mix(gram_hashes(h, WINDOW))
-        if not len(self.found) or not len(w):
+        words = text.split()
+        if not len(self.found) or len(words) < WINDOW:
             return []
-        near = np.zeros(len(h) + 1, np.int32)
-        for end, _ in self.found.iter(as_signs(h)):
+        near = np.zeros(len(words) + 1, np.int32)
+        for end, _ in self.found.iter(as_signs(_hashes.of(words))):
             near[max(0, end + 1 - WINDOW)] += 1  # windows that hold the phrase start here ...
             near[end + 2 - PHRASE] -= 1  # ... up to the phrase's first word
-        at = np.flatnonzero(np.cumsum(near)[: len(w)] > 0)
-        place = np.minimum(np.searchsorted(self.windows, w[at]), len(self.windows) - 1)
-        at = at[self.windows[place] == w[at]]
+        at = np.flatnonzero(np.cumsum(near)[: len(words) - WINDOW + 1] > 0)
+        if len(at):
+            at = at[self.has(window_hashes(words)[at], window_hashes(words, _other_hashes)[at])]
         return [(a, b) for _, a, b in stretches(at, np.zeros(len(at), np.int64))]
 
 
@@ -234,18 +252,19 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all documents: doc_id, rid, n_words, sha; those that lose words: rid, n_removed, kept)."""
-    keyed = docs.select("doc_id", "text", row_key().alias("rid"))
-    scanned = materialise(keyed.mapInArrow(scan, SCANNED), "scanned")
-    classes = materialise(scanned.groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "classes")
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    scanned = materialise(keyed.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(scan, SCANNED), "scanned")
+    classes = scanned.groupBy("sha").agg(F.min(F.struct("rid", "key")).alias("first"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("sha", "first.*", "copies"), "classes")
     anchors = scanned.select("rid", F.inline(F.arrays_zip(F.col("anchors").alias("a"), F.col("starts").alias("i"), F.col("ends").alias("j"))))
-    twice = anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    twice = materialise(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     # of the copies of a text one goes on, and what recurs is counted again without the others
-    shared = materialise(anchors.join(twice, "a").join(classes.select("rid"), "rid", "left_semi").distinct(), "shared")
-    recurring = shared.groupBy("a").agg(F.count("*").alias("n"), F.min("rid").alias("owner")).where("n > 1").select("a", "owner")
-    runs = shared.join(recurring, "a").groupBy("rid").agg(F.collect_list(F.struct("i", "j", "owner")).alias("runs")).join(classes.select("rid", "copies"), "rid")
-    candidates = materialise(keyed.select("rid", "text").join(runs, "rid"), "candidates")
-    windows = candidates.mapInArrow(candidate_hashes, "w long, rid long")
-    confirmed = windows.groupBy("w").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n > 1")
+    shared = materialise(skew_join(anchors, twice, "a").drop("n").join(classes.select("rid"), "rid", "left_semi"), "shared")
+    recurring = shared.groupBy("a").agg(F.count("*").alias("n"), F.min("rid").alias("owner")).where("n > 1")
+    runs = skew_join(shared, materialise(recurring, "recurring"), "a").groupBy("rid").agg(F.collect_list(F.struct("i", "j", "owner")).alias("runs")).join(classes.select("rid", "key", "copies"), "rid")
+    candidates = materialise(keyed.select("key", "text").join(runs, "key").drop("key"), "candidates")
+    windows = candidates.mapInArrow(candidate_hashes, "w long, v long, rid long")
+    confirmed = windows.groupBy("w", "v").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n > 1")
     lent = materialise(confirmed.groupBy("rid").agg(F.collect_list("w").alias("lent")), "lent")
     size = candidates.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(max(32, size // (AUTOMATON_BYTES // 2)))
@@ -261,8 +280,8 @@ def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = p.unionByName(s).repartition("shard", "part", "piece").sortWithinPartitions("shard", "part", "piece", "kind")
     spans = met.mapInArrow(locate, "rid long, a int, b int").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     lost = candidates.join(spans, "rid").mapInArrow(cut_out, "rid long, n_removed long, kept string")
-    copied = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= WINDOW)
-    counted = scanned.select("doc_id", "rid", "n_words", "sha").join(classes.select("sha", "copies"), "sha").withColumn("copied", copied)
+    copied = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
+    counted = skew_join(scanned.select("doc_id", "rid", "key", "n_words", "sha"), classes.select("sha", "copies"), "sha", "copies").withColumn("copied", copied)
     return counted, lost
 
 
@@ -278,10 +297,11 @@ def removal_table(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what stays of their texts; a text that loses nothing keeps its white space, others get one space between words."""
     counted, lost = repeated_words(docs)
-    whole = counted.where("copied").select("rid", F.lit("").alias("kept")).distinct()
-    kept = lost.select("rid", "kept").unionByName(whole).withColumnRenamed("rid", "lost_rid")
-    held = docs.select(F.struct(*docs.columns).alias("doc"), row_key().alias("rid"))
-    doc = held.join(kept, F.col("rid") == F.col("lost_rid"), "left").select("doc", "kept").withColumn("doc", F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", F.col("kept"))))
+    whole = counted.where("copied").select("key", F.lit("").alias("kept"))
+    cut = lost.select("rid", "kept").join(counted.select("rid", "key"), "rid").select("key", "kept")
+    kept = materialise(cut.unionByName(whole).groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), row_key().alias("key"))
+    doc = skew_join(held, kept, "key", how="left").select("doc", "kept").withColumn("doc", F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", F.col("kept"))))
     if "n_chars" in docs.columns:
         doc = doc.withColumn("doc", F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))))
     return doc.select("doc.*")

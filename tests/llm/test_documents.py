@@ -319,3 +319,37 @@ def test_gradients_of_the_recurrence():
         down = net.read(gates, place) @ d
         array[at] = old
         assert abs((up - down) / 2e-2 - grad[at]) < 2e-2 * max(1, abs(grad[at]))
+
+
+def test_anchors_of_a_text_longer_than_places_reach(monkeypatch):
+    words = np.arange(5000, dtype=np.uint64) % np.uint64(1777)
+    whole = substring_dedup.window_anchors(substring_dedup.mix(words), np.array([3000, 2000]))
+    monkeypatch.setattr(substring_dedup, "PLACED", 100)
+    pieces = substring_dedup.window_anchors(substring_dedup.mix(words), np.array([3000, 2000]))
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
+def test_windows_are_told_apart_by_both_hashes(monkeypatch):
+    """Where first hashes collide, the second ones decide."""
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda words, hashes=None: np.array([5] * (len(words) - 34)) if hashes is None else substring_dedup.mix(substring_dedup.gram_hashes(hashes.of(words), 35)).view(np.int64))
+    text = lambda k: b" ".join(b"%s%d" % (k, i) for i in range(40))
+    machine = substring_dedup.Automaton([text(b"a"), text(b"b")])
+    assert machine.covered(text(b"a")) == [(0, 40)] and machine.covered(text(b"b")) == [(0, 40)]
+    assert machine.covered(text(b"a")[:-4] + b" x y z") == [(0, 39)]
+
+
+def test_hot_rows_everywhere(spark):
+    """A third of all rows are one text, with ids of their own, one id, or none; another third near copies of one text."""
+    base = [f"h{i}" for i in range(80)]
+    text = lambda k: " ".join([*base[:78], f"x{k}", f"y{k}"])
+    rows = [(i, " ".join(base)) for i in range(40)] + [(7, " ".join(base))] * 40 + [(None, " ".join(base))] * 40
+    rows += [(1000 + i, text(i)) for i in range(60)] + [(2000 + i, " ".join(f"c{i}x{k}" for k in range(70))) for i in range(60)] + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = near_dedup.near_classes(docs).collect()
+    assert sum(r.kept for r in got) == 1 + 60 + 30
+    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id < 2000} == {0}
+    assert near_dedup.without_near_copies(docs).count() == 91
+    want = sorted((str(i), n, hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, k in removed(rows))
+    assert sorted((str(r.doc_id), r.n_words, r.kept_sha256) for r in substring_dedup.removal_table(docs).collect()) == want
+    kept = collections.Counter(t for _, t in substring_dedup.without_repeats(docs).collect())
+    assert kept == collections.Counter(None if r[1] is None else " ".join(k) for r, (_, _, k) in zip(rows, removed(rows), strict=True))
