@@ -181,3 +181,29 @@ def test_url_verdicts(spark):
         assert got[i].verdict in ("allow", "block")
     assert got[100].verdict == "allow"  # the background is not blocked
     assert url_rules.url_verdicts(df.limit(0)).count() == 0
+
+
+def test_a_mined_rule_blocks(spark):
+    """A host word that nearly all its pages share with blocked ones blocks the page that no listed rule fits, by brute force over all sets."""
+    rng = np.random.default_rng(3)
+    urls = [f"https://spam{i % 2}-deal.example.com/en/{i % 500}" for i in range(60)] + [f"https://spam{i}-deal.example.org/en/{i}" for i in (0, 1)]
+    urls += [f"https://w{rng.integers(40)}.example.{rng.choice(['net', 'org'])}/en/{i}" for i in range(200)] + [f"https://w{i % 40}.example.{'org/es' if i % 2 else 'net/de'}/{i}" for i in range(60)]
+    urls += ["https://" + ".".join(f"l{i}" for i in range(60)) + f".example.org/x/{k}?" + "&".join(f"k{i}=1" for i in range(40)) for k in range(5)]  # very many tokens
+    urls += [urls[60]] * 2 + ["http://x/" + "y" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_rules.url_verdicts(df, min_support=0.01).collect()}
+    assert len(got) == len(urls)
+    for i in (60, 61, len(urls) - 3):
+        assert got[i].rule is None and got[i].verdict == "block" and "host:spam" in got[i].mined, got[i]
+    tokens = {i: set(t) for i, t in df.select("page_id", url_rules.url_tokens(F.col("url"), url_rules.url_host(F.col("url")), url_rules.url_path(F.col("url")))).collect()}
+    label = {i: got[i].verdict if got[i].rule else "allow" for i in got}
+    n = {v: sum(x == v for x in label.values()) for v in ("allow", "block")}
+    for r in got.values():
+        if r.mined:
+            needs = set(r.mined.split(" "))
+            assert needs <= tokens[r.page_id]
+            has = [i for i, t in tokens.items() if needs <= t]
+            rate = {v: sum(label[i] == v for i in has) / n[v] for v in n}
+            assert abs(rate[r.verdict] / sum(rate.values()) - r.mined_confidence) < 1e-6 and r.mined_confidence >= 0.8
+    blocked = [i for i in got if not got[i].rule and got[i].verdict == "block"]
+    assert all("spam" in urls[i] for i in blocked)
