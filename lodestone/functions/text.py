@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.fixed import CODE_CONSTRUCTS, CROSS_REFERENCES, LIGATURES, SCRIPTS, STEP_MARKERS, STOP_WORDS
+from .fixed import CODE_CONSTRUCTS, CODE_LANGUAGES, CROSS_REFERENCES, DEFINED_AFTER, DEFINED_BY_MEAN, DEFINED_DENOTES, DEFINED_FIRST, LIGATURES, ROMAN_3999, SCRIPTS, STEP_MARKER, STOP_WORDS, TERM_STOP_WORDS
 
 BLANKS = r"[ \t\r\n]+"
 
@@ -75,9 +75,10 @@ def tokens(c: Column) -> Column:
 
 
 def keywords(c: Column) -> Column:
-    """Sorted distinct tokens over one character that are no stop words."""
+    """Sorted distinct words over one character that are no stop words; other signs than letters, digits, blanks and _ are left out."""
+    words = F.split(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9 _]", ""), " +")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_sort(F.filter(tokens(c), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))))
 
 
 def cap_words(c: Column, n: int) -> Column:
@@ -109,8 +110,13 @@ def first_kind(c: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
-def step_marker(c: Column) -> Column:
-    return first_kind(c, STEP_MARKERS)
+def is_step(c: Column) -> Column:
+    """Whether a line begins as a step does."""
+    return F.coalesce(c.rlike(STEP_MARKER), F.lit(False))
+
+
+def code_language(c: Column) -> Column:
+    return F.coalesce(first_kind(c, CODE_LANGUAGES), F.lit("other"))
 
 
 def found_kinds(c: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
@@ -123,15 +129,20 @@ def code_constructs(c: Column) -> Column:
 
 
 def cross_references(c: Column) -> Column:
-    """All references in the order of the patterns, as ``kind number``."""
-    named = lambda kind: lambda number: F.concat(F.lit(f"{kind} "), number)
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), named(kind)) for kind, p in CROSS_REFERENCES]))
+    """All references in the order of the patterns, as ``kind: mention``."""
+    named = lambda kind: lambda mention: F.concat(F.lit(f"{kind}: "), F.trim(mention))
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), named(kind)) for kind, p in CROSS_REFERENCES]))
+
+
+def term_is_valid(c: Column) -> Column:
+    """Two characters or more, no digit first, no stop word, six words at most."""
+    return F.coalesce((F.length(c) >= 2) & ~c.rlike(r"^\d") & ~F.lower(c).isin(*TERM_STOP_WORDS) & (F.size(F.split(c, r"\s+")) <= 6), F.lit(False))
 
 
 def defined_term(c: Column) -> Column:
-    """The term of "X is defined as", "By X we mean" or "X denotes", if it is short."""
-    found = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"([A-Z][A-Za-z \-]{1,60}?) (?:is|are) defined as", r"[Bb]y ([A-Za-z \-]{1,60}?) we mean", r"([A-Z][A-Za-z \-]{1,60}?) denotes")])
-    return F.when(F.size(F.split(found, " ")) <= 6, found)
+    """The term that a sentence defines, by the first of the four forms that is found, if it is a valid one."""
+    found = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in (DEFINED_FIRST, DEFINED_AFTER, DEFINED_DENOTES, DEFINED_BY_MEAN)])
+    return F.when(term_is_valid(found), found)
 
 
 def roman(c: Column) -> Column:
@@ -144,9 +155,69 @@ def roman(c: Column) -> Column:
     return F.when(ok, (value - less).cast("int"))
 
 
+def roman_3999(c: Column) -> Column:
+    """As ``roman``, up to 3999."""
+    return F.when(F.trim(c).rlike(ROMAN_3999), roman(c))
+
+
+def to_roman(c: Column) -> Column:
+    """The Roman numeral of 1 to 3999, else null."""
+    out = F.lit("")
+    for base, one, five, ten in ((1000, "M", "", ""), (100, "C", "D", "M"), (10, "X", "L", "C"), (1, "I", "V", "X")):
+        d = F.floor(c / base) % 10
+        digits = F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)])
+        out = F.concat(out, F.element_at(digits, (d + 1).cast("int")))
+    return F.when(c.between(1, 3999), out)
+
+
 def devanagari(c: Column) -> Column:
-    """Value of a number in Devanagari digits, else null."""
-    return F.when(c.rlike("^[०-९]+$"), F.translate(c, "०१२३४५६७८९", "0123456789").cast("int"))
+    """Value of a number in Devanagari digits, else null; blanks around it do not matter."""
+    return F.when(F.trim(c).rlike("^[०-९]+$"), F.translate(F.trim(c), "०१२३४५६७८९", "0123456789").cast("int"))
+
+
+def is_arabic(c: Column) -> Column:
+    return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
+
+
+def is_devanagari_sign(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[\u0900-\u097F]$"), F.lit(False))
+
+
+def numeral(c: Column) -> Column:
+    """A number in ASCII or Devanagari digits, in ASCII digits; else null."""
+    return F.when(F.trim(c).rlike("^([0-9]+|[०-९]+)$"), F.translate(F.trim(c), "०१२३४५६७८९", "0123456789"))
+
+
+def marker_index(c: Column) -> Column:
+    """1 for ``a)``, ``(a)`` or ``A.``, and so on; else null."""
+    letter = F.regexp_extract(F.trim(c), r"^\(?([a-zA-Z])[).]$", 1)
+    return F.when(letter != "", F.ascii(F.lower(letter)) - 96)
+
+
+def segments(c: Column) -> Column:
+    """The parts of a number such as 1.2.3 or 2-1-a (two at least, none empty), else null."""
+    parts = F.split(F.trim(c), r"[.\-]")
+    return F.when((F.size(parts) >= 2) & ~F.exists(parts, lambda p: p == ""), parts)
+
+
+def compare_numbers(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for two such numbers: parts of digits as numbers, others as lower-case text, a shorter one first; null if either is none."""
+    x, y = segments(a), segments(b)
+    one = lambda p, q: F.when(p.isNull() | q.isNull() | (p == q), 0).when(p.rlike("^[0-9]+$") & q.rlike("^[0-9]+$"), F.when(p.cast("decimal(38,0)") < q.cast("decimal(38,0)"), -1).otherwise(1)).otherwise(F.when(F.lower(p) < F.lower(q), -1).otherwise(1))
+    first = F.element_at(F.filter(F.zip_with(x, y, one), lambda s: s != 0), 1)
+    both = F.size(F.filter(F.zip_with(x, y, one), lambda s: s != 0))
+    return F.when(x.isNull() | y.isNull(), F.lit(None).cast("int")).when(both > 0, first).otherwise(F.signum(F.size(x) - F.size(y)).cast("int"))
+
+
+def clamped(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def combined_confidence(base: Column, *scores: Column) -> Column:
+    """The product of the base and all scores, each held to 0..1."""
+    for s in scores:
+        base = base * clamped(s)
+    return clamped(base)
 
 
 def number_depth(c: Column) -> Column:

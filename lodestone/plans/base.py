@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def quoted(text: str) -> str:
+    """A text or pattern as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def quoted_list(texts) -> str:
+    return "[" + ", ".join(quoted(x) for x in texts) + "]"
+
+
+def kinds_sql(column: str, kinds) -> str:
+    """SQL for the names of all patterns that are found, in their order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {quoted(p)}) THEN {quoted(n)} END" for n, p in kinds) + "], lambda x: x IS NOT NULL)"
+
+
 class Plans:
     """Queries of one subject with their SQL; a query gets a function that reads a table by name."""
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import FALLBACK_RULE, ROLE_RULES
 from ..operators import analytics as A
 from ..operators import changes as C
 from ..operators import graph as G
 from ..operators import integrity as I
 from ..operators import relations as N
-from .base import Plans
-from .fixed import FALLBACK_RULE, ROLE_RULES
+from .base import Plans, quoted_list
 
 P = Plans()
 _EDGE = "regexp_replace(lower(concat_ws('_', type, source_type, source_id, target_type, target_id)), '[^a-z0-9]+', '-', 'g')"
@@ -31,8 +31,9 @@ def cooccurrence_pairs(t):
     return N.cooccurrence(t("lineitem"), "l_orderkey", "l_partkey")
 
 
-_ANCHORS = "SELECT s_nationkey AS grp, s_suppkey AS anchor_id, list_extract(['defines_concept','illustrates_concept','applies_concept','assesses_concept','surfaces_misconception'], CAST(s_suppkey % 5 + 1 AS INT)) AS role, (s_suppkey % 11) / 10.0 AS confidence FROM supplier"
-_RULES = ", ".join(str(r) for r in ROLE_RULES)
+ROLES = tuple(dict.fromkeys(r for rule in ROLE_RULES for r in rule[:2]))
+_ANCHORS = f"SELECT s_nationkey AS grp, s_suppkey AS anchor_id, list_extract({quoted_list(ROLES)}, CAST(s_suppkey % {len(ROLES)} + 1 AS INT)) AS role, (s_suppkey % 11) / 10.0 AS confidence FROM supplier"
+_RULES = ", ".join(str(r[:5]) for r in ROLE_RULES)
 
 
 @P.add(f"""WITH an AS ({_ANCHORS}), ru(sr, tr, type, direction, w) AS (VALUES {_RULES}),
@@ -41,9 +42,9 @@ _RULES = ", ".join(str(r) for r in ROLE_RULES)
  SELECT * FROM (SELECT grp, source_id, target_id, type, direction, round(least(1.0, greatest(0.0, (CASE WHEN hit THEN 4 ELSE 1 END + CASE WHEN (a + b) / 2 >= 0.5 THEN 3 ELSE 0 END + 3) / 10 * w * (0.5 + 0.5 * (a + b) / 2))) + 1e-9, 4) AS confidence FROM pr) WHERE confidence >= 0.1""")
 def rule_relationships(t):
     """Role rules among the suppliers of a nation."""
-    roles = F.array(*[F.lit(r) for r in ("defines_concept", "illustrates_concept", "applies_concept", "assesses_concept", "surfaces_misconception")])
-    s = t("supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("anchor_id"), F.element_at(roles, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("role"), ((F.col("s_suppkey") % 11) / 10.0).alias("confidence"))
-    rules = s.sparkSession.createDataFrame(list(ROLE_RULES), "source_role string, target_role string, type string, direction string, weight double")
+    roles = F.array(*[F.lit(r) for r in ROLES])
+    s = t("supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("anchor_id"), F.element_at(roles, (F.col("s_suppkey") % len(ROLES) + 1).cast("int")).alias("role"), ((F.col("s_suppkey") % 11) / 10.0).alias("confidence"))
+    rules = s.sparkSession.createDataFrame([r[:5] for r in ROLE_RULES], "source_role string, target_role string, type string, direction string, weight double")
     return N.rule_relationships(s, rules, "grp", FALLBACK_RULE)
 
 
@@ -102,7 +103,7 @@ def mode_weighted(t):
 def top_n_per_group(t):
     """The five customers with the largest balance of each region: five of each task first, then five of those."""
     n, c = t("nation"), t("customer")
-    rows = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("n_regionkey", "c_custkey", "c_acctbal")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).select("n_regionkey", "c_custkey", "c_acctbal")
     from pyspark.sql import Window
 
     w = lambda *k: Window.partitionBy(*k).orderBy(F.desc("c_acctbal"), "c_custkey")
@@ -110,18 +111,14 @@ def top_n_per_group(t):
     return some.withColumn("nth", F.row_number().over(w("n_regionkey"))).where("nth <= 5").select("n_regionkey", "c_custkey", "nth")
 
 
-_TREE = """WITH e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1)"""
+_TREE = """WITH e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
 
 
-#: The tree of all lines.
-_WHOLE = _TREE.replace(" WHERE l_linenumber = 1", "").replace("WITH", "WITH RECURSIVE", 1)
-
-
-def tree(t, lines="l_linenumber = 1"):
-    """region -> nation -> supplier -> part, as one edge table; parts through the ``lines`` named."""
+def tree(t):
+    """region -> nation -> supplier -> part, as one edge table."""
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"))
     s = e(t("supplier"), "n", "s_nationkey", "s", "s_suppkey")
-    p = e(t("lineitem").where(lines), "s", "l_suppkey", "p", "l_partkey").distinct()
+    p = e(t("lineitem"), "s", "l_suppkey", "p", "l_partkey").distinct()
     return e(t("nation"), "r", "n_regionkey", "n", "n_nationkey").unionByName(s).unionByName(p)
 
 
@@ -135,12 +132,6 @@ def transitive_prereqs(t):
     return below(tree(t))
 
 
-@P.add(_WHOLE + ", c AS (SELECT source AS ancestor, target AS node FROM e UNION SELECT c.ancestor, e.target FROM c JOIN e ON c.node = e.source) SELECT ancestor, count(*) AS n_below, min(node) AS first_below FROM c GROUP BY 1")
-def transitive_prereqs_all(t):
-    """As ``transitive_prereqs``, with the parts of all lines."""
-    return below(tree(t, "true"))
-
-
 def depths(e):
     return G.levels(e, e.select(F.col("source").alias("node")).union(e.select("target")))
 
@@ -151,12 +142,6 @@ def max_depth(t):
     return depths(tree(t))
 
 
-@P.add(_WHOLE + ", c AS (SELECT DISTINCT source AS node, 0 AS level FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target, c.level + 1 FROM c JOIN e ON c.node = e.source) SELECT node, max(level) AS level FROM c GROUP BY 1")
-def max_depth_all(t):
-    """As ``max_depth``, with the parts of all lines."""
-    return depths(tree(t, "true"))
-
-
 @P.add("SELECT 's' || s_suppkey AS node, 'r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey || '/n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region")
 def hierarchy_path(t):
     up = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("node"), (F.concat(F.lit(b), y) if b else F.lit(None).cast("string")).alias("parent"))
@@ -164,24 +149,17 @@ def hierarchy_path(t):
     return G.paths(rows).select("node", F.array_join("path", "/").alias("path"))
 
 
-def bought(t, orders):
-    """Customer -> part, through ``orders``."""
-    l = t("lineitem")
-    return orders.join(l, orders.o_orderkey == l.l_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
-
-
-@P.add("""WITH RECURSIVE m AS (SELECT o_custkey AS a, l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0),
- e AS (SELECT 'c' || a AS x, 'p' || b AS y FROM m UNION SELECT 'p' || b, 'c' || a FROM m), c AS (SELECT x AS node, x AS other FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.other = e.x) SELECT node, min(other) AS component FROM c GROUP BY 1""")
-def components(t):
-    """Customers and parts linked through some of the orders."""
-    return G.components(bought(t, t("orders").where("o_orderkey % 97 = 0")))
+def bought(t):
+    """Customer -> part, through all orders."""
+    o, l = t("orders"), t("lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
 
 
 @P.add("""WITH RECURSIVE m AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT a AS x, b AS y FROM m UNION ALL SELECT b, a FROM m),
  c(node, component) USING KEY (node) AS (SELECT x, min(least(x, y)) FROM e GROUP BY x UNION SELECT e.y, min(c.component) FROM c JOIN e ON c.node = e.x JOIN recurring.c AS r ON r.node = e.y WHERE c.component < r.component GROUP BY e.y) SELECT node, component FROM c""")
-def components_all(t):
-    """Customers and parts linked through all orders; ``components`` takes the orders that its SQL names."""
-    return G.components(bought(t, t("orders")))
+def components(t):
+    """Customers and parts linked through all orders."""
+    return G.components(bought(t))
 
 
 def above_changed(e):
@@ -195,12 +173,6 @@ def affected_closure(t):
     return above_changed(tree(t))
 
 
-@P.add(_WHOLE + ", c AS (SELECT DISTINCT source AS node FROM e WHERE target IN ('p1', 'p2', 's3') UNION SELECT e.source FROM c JOIN e ON c.node = e.target) SELECT node FROM c WHERE node NOT IN ('p1', 'p2', 's3')")
-def affected_closure_all(t):
-    """As ``affected_closure``, with the parts of all lines."""
-    return above_changed(tree(t, "true"))
-
-
 _SNAP = "SELECT strftime(ts, '%Y-%m-%d') AS build_id, 'u' || user_id AS artifact, md5(CAST(count(*) // 3 AS VARCHAR)) AS fingerprint FROM events GROUP BY 1, 2"
 
 

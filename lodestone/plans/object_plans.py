@@ -59,15 +59,9 @@ def structural(lines):
     return lines.select("l_orderkey", "l_linenumber", F.round(score, 4).alias("structural"))
 
 
-@P.add("""SELECT l_orderkey, l_linenumber, round(0.35 * least(1, l_quantity / 50) + 0.35 * (1 - l_discount) + 0.20 * (1 - l_tax) + CASE WHEN l_linestatus = 'O' THEN 0.10 ELSE 0 END, 4) AS structural FROM lineitem WHERE l_linenumber <= 2""")
+@P.add("""SELECT l_orderkey, l_linenumber, round(0.35 * least(1, l_quantity / 50) + 0.35 * (1 - l_discount) + 0.20 * (1 - l_tax) + CASE WHEN l_linestatus = 'O' THEN 0.10 ELSE 0 END, 4) AS structural FROM lineitem""")
 def structural_confidence(t):
     """Weighted evidence .35/.35/.20/.10."""
-    return structural(t("lineitem").where("l_linenumber <= 2"))
-
-
-@P.add("""SELECT l_orderkey, l_linenumber, round(0.35 * least(1, l_quantity / 50) + 0.35 * (1 - l_discount) + 0.20 * (1 - l_tax) + CASE WHEN l_linestatus = 'O' THEN 0.10 ELSE 0 END, 4) AS structural FROM lineitem""")
-def structural_confidence_all(t):
-    """As ``structural_confidence``, of all lines."""
     return structural(t("lineitem"))
 
 
@@ -125,7 +119,7 @@ def repeated_lines(t):
     d = t("documents")
     n = L.text_lines(d.select("doc_id", "text"), "doc_id", "text").join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", "line").agg(F.count_distinct("doc_id").alias("n"))
     k = d.where(F.length(F.trim("text")) > 0).groupBy("lang").agg(F.floor(F.count_distinct("doc_id") / 50).alias("k"))
-    return n.join(F.broadcast(k), "lang").where(F.col("n") >= F.greatest(F.lit(3), F.col("k"))).select("lang", "line", "n")
+    return n.join(k, "lang").where(F.col("n") >= F.greatest(F.lit(3), F.col("k"))).select("lang", "line", "n")
 
 
 @P.add("SELECT conv_id, count(*) AS n_turns, sum(length(text)) AS n_chars, count(*) FILTER (WHERE role = 'user') AS n_user, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -153,13 +147,7 @@ def staged(lines):
     return lines.select("l_orderkey", "l_linenumber", *[F.round(share * q / 100, 2).alias(f"s{i}") for i, share in ((1, 15), (2, 25), (3, 30))])
 
 
-@P.add("SELECT l_orderkey, l_linenumber, round(15 * l_quantity / 100, 2) AS s1, round(25 * l_quantity / 100, 2) AS s2, round(30 * l_quantity / 100, 2) AS s3 FROM lineitem WHERE l_linenumber = 3")
+@P.add("SELECT l_orderkey, l_linenumber, round(15 * l_quantity / 100, 2) AS s1, round(25 * l_quantity / 100, 2) AS s2, round(30 * l_quantity / 100, 2) AS s3 FROM lineitem")
 def stage_minutes(t):
     """Minutes split over stages."""
-    return staged(t("lineitem").where("l_linenumber = 3"))
-
-
-@P.add("SELECT l_orderkey, l_linenumber, round(15 * l_quantity / 100, 2) AS s1, round(25 * l_quantity / 100, 2) AS s2, round(30 * l_quantity / 100, 2) AS s3 FROM lineitem")
-def stage_minutes_all(t):
-    """As ``stage_minutes``, of all lines."""
     return staged(t("lineitem"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as V
 from ..functions import text as X
 from ..operators import search as S
-from .base import Plans
+from .base import Plans, kinds_sql, quoted, quoted_list
 
 P = Plans()
 QUERY = ["the", "and", "of"]
 _SCORED = """SELECT doc_id, len(list_intersect(['and','of','the'], t)) / greatest(3, len(t)) AS score
  FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents)"""
-_STOP = "'a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','with'"
+_STOP = ", ".join(quoted(w) for w in V.STOP_WORDS)
 
 
 @P.add(f"SELECT doc_id, score FROM ({_SCORED}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
@@ -27,7 +28,7 @@ def search_total(t):
 
 
 @P.add(f"""SELECT keyword, count(*) AS n_rows, min(conv_id) AS first_id, max(conv_id) AS last_id FROM (
- SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS keyword FROM conversations)
+ SELECT conv_id, turn, unnest(list_distinct(string_split_regex(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9 _]', '', 'g'), ' +'))) AS keyword FROM conversations)
  WHERE length(keyword) > 1 AND keyword NOT IN ({_STOP}) GROUP BY keyword""")
 def keyword_postings(t):
     return S.postings(t("conversations"), "conv_id", "text")
@@ -54,7 +55,7 @@ def slug_ids(t):
 @P.add("SELECT n_nationkey, 'urn:tpch:nation:' || replace(lower(r_name), ' ', '-') || ':' || replace(lower(n_name), '_', '-') AS urn FROM nation JOIN region ON n_regionkey = r_regionkey")
 def urns(t):
     n, r = t("nation"), t("region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", X.urn("tpch", "nation", F.col("r_name"), F.col("n_name")).alias("urn"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", X.urn("tpch", "nation", F.col("r_name"), F.col("n_name")).alias("urn"))
 
 
 @P.add(r"""SELECT doc_id, md5(nullif(regexp_replace(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '^[ .,;:!?''"()\-]+|[ .,;:!?''"()\-]+$', '', 'g'), '')) AS key_md5 FROM documents""")
@@ -94,58 +95,105 @@ def script_detect(t):
     return t("documents").select("doc_id", F.round(X.script_ratio(F.col("text"), "latin"), 4).alias("latin"), X.detect_script(F.col("text")).alias("script"))
 
 
-@P.add("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_name ELSE NULL END AS term FROM part""")
+#: Sentences in which {n} stands for a name; every row takes one by its key.
+DEFINING = ("By {n} we mean a thing.", "{N} is defined as a thing.", "It is called the {n}, and so on.", "{N} denotes a thing.", "No term in {n} here", "They are known as which.", "it is defined as {n}", "As {n} are referred to as 7 up", "{N} is defined as what is called a {n}; so it is")
+_NAMED = "upper(substr(p_name, 1, 1)) || substr(p_name, 2)"
+
+
+def filled(templates, key, **values):
+    """The template of each row's key, with the values put in."""
+    out = F.element_at(F.array(*[F.lit(x) for x in templates]), (key % len(templates) + 1).cast("int"))
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def filled_sql(templates, key, **values):
+    out = f"list_extract({quoted_list(templates)}, CAST({key} % {len(templates)} + 1 AS INT))"
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', CAST({value} AS VARCHAR))"
+    return out
+
+
+_FORMS = [V.DEFINED_FIRST, V.DEFINED_AFTER, V.DEFINED_DENOTES, V.DEFINED_BY_MEAN]
+
+
+@P.add(f"""SELECT p_partkey, CASE WHEN length(t) >= 2 AND NOT regexp_matches(t, '^\\d') AND lower(t) NOT IN ({", ".join(quoted(w) for w in V.TERM_STOP_WORDS)}) AND len(string_split_regex(t, '\\s+')) <= 6 THEN t END AS term
+ FROM (SELECT p_partkey, coalesce({", ".join(f"nullif(trim(regexp_extract(s, {quoted(f)}, 1)), '')" for f in _FORMS)}) AS t FROM (SELECT p_partkey, {filled_sql(DEFINING, "p_partkey", n="p_name", N=_NAMED)} AS s FROM part))""")
 def definition_terms(t):
     """Terms of definitions, from sentences made of part names."""
-    s = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("By "), "p_name", F.lit(" we mean a thing."))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("By "), "p_name", F.lit(" we mean it denotes."))).otherwise(F.concat(F.lit("no term in "), "p_name"))
-    return t("part").select("p_partkey", X.defined_term(s).alias("term"))
+    named = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    return t("part").select("p_partkey", X.defined_term(filled(DEFINING, F.col("p_partkey"), n=F.col("p_name"), N=named)).alias("term"))
+
 
+REFERRING = ("As shown in Table {p}, and see the figure {l}.{s}.", "Using the above formula for {p}; according to the previous definition.", "As discussed earlier, referring to figure {p}", "Table {p} and Fig. {s} say nothing", "from the  following equation, as explained above, see table", "see Figure {l} see figure {s}")
+_FOUND = ", ".join(f"list_transform(regexp_extract_all(s, {quoted(p)}), lambda x: {quoted(k + ': ')} || trim(x))" for k, p in V.CROSS_REFERENCES)
 
-@P.add("""SELECT l_orderkey, l_linenumber, 'figure ' || l_linenumber || '.' || l_suppkey || ',table ' || l_partkey || ',chapter ' || l_linenumber AS refs FROM lineitem""")
+
+@P.add(f"""SELECT l_orderkey, l_linenumber, array_to_string(flatten([{_FOUND}]), ',') AS refs FROM (SELECT l_orderkey, l_linenumber, {filled_sql(REFERRING, "l_suppkey", p="l_partkey", l="l_linenumber", s="l_suppkey")} AS s FROM lineitem)""")
 def cross_references(t):
-    s = F.concat_ws("", F.lit("Chapter "), "l_linenumber", F.lit(": see Table "), "l_partkey", F.lit(" and Fig. "), "l_linenumber", F.lit("."), "l_suppkey")
+    s = filled(REFERRING, F.col("l_suppkey"), p=F.col("l_partkey"), l=F.col("l_linenumber"), s=F.col("l_suppkey"))
     return t("lineitem").select("l_orderkey", "l_linenumber", F.array_join(X.cross_references(s), ",").alias("refs"))
 
 
-@P.add("""SELECT event_id, CASE event_type WHEN 'view' THEN 'given' WHEN 'click' THEN 'find' WHEN 'purchase' THEN 'step' WHEN 'signup' THEN 'check' END AS marker FROM events""")
+STEPS = ("Step {k}: heat it", "{k}. heat it", "b) heat it", "Firstly heat it", "then heat it", "Then, nothing", "finally it is done", "lastly {k}", "heat it next", "step it", "First-rate", "  next: {k}", "12 heat", "theneverything")
+
+
+@P.add(f"SELECT event_id, regexp_matches(s, {quoted(V.STEP_MARKER)}) AS is_step FROM (SELECT event_id, {filled_sql(STEPS, 'event_id', k='user_id')} AS s FROM events)")
 def step_markers(t):
-    said = {"view": "It is given here", "click": "Find the sum", "purchase": "Step 4, as given", "signup": "verify it"}
-    s = F.lit("nothing")
-    for k, v in said.items():
-        s = F.when(F.col("event_type") == k, v).otherwise(s)
-    return t("events").select("event_id", X.step_marker(s).alias("marker"))
+    return t("events").select("event_id", X.is_step(filled(STEPS, F.col("event_id"), k=F.col("user_id"))).alias("is_step"))
+
+
+CODE = ("if x == {k}:\n    return x", "def run{k}(x):\n  print(x)", "public static void main() {{ System.out.println({k}); }}", "const a = {k}; console.log(a)", "SELECT a FROM t WHERE b <> {k}", "#include <x.h>\nint y{k};", "begin\n repeat {k} end", "plain words {k}", "// a {k}\nclass A", "try { x = y } catch (e) { throw e }", "a <= {k} and b != 3", "import os\nfor i in x: do")
 
 
-@P.add("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'conditional,return' WHEN event_type = 'click' THEN 'call,function' ELSE '' END AS constructs FROM events""")
+@P.add(f"SELECT event_id, array_to_string(list_sort({kinds_sql('s', V.CODE_CONSTRUCTS)}), ',') AS constructs, coalesce(list_extract({kinds_sql('s', V.CODE_LANGUAGES)}, 1), 'other') AS code_language FROM (SELECT event_id, {filled_sql(CODE, 'event_id', k='user_id')} AS s FROM events)")
 def code_constructs(t):
-    s = F.when(F.col("event_type") == "view", "if x return y").when(F.col("event_type") == "click", "def run(x)").otherwise("plain text")
-    return t("events").select("event_id", F.array_join(X.code_constructs(s), ",").alias("constructs"))
+    """Constructs and the language of program text."""
+    s = filled(CODE, F.col("event_id"), k=F.col("user_id"))
+    return t("events").select("event_id", F.array_join(X.code_constructs(s), ",").alias("constructs"), X.code_language(s).alias("code_language"))
 
 
-@P.add("""SELECT n_nationkey, v.value FROM nation JOIN (VALUES (0, 14), (1, NULL), (2, 1999), (3, 4), (4, NULL), (5, 3888)) v(k, value) ON n_nationkey = v.k""")
+ROMANS = ("XIV", "IIX", "MCMXCIX", "iv", "", "MMMDCCCLXXXVIII", "MMMMCMXCIX", "VX", " xl ", "CDXLIV", "IIII", "D", "mmmm", "LXXX", "abc")
+_DIGITS = "map {'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100, 'D': 500, 'M': 1000}"
+_ROMAN = f"CAST(list_sum(list_transform(range(1, length(u) + 1), lambda i: {_DIGITS}[substr(u, i, 1)] * CASE WHEN coalesce({_DIGITS}[substr(u, i + 1, 1)], 0) > {_DIGITS}[substr(u, i, 1)] THEN -1 ELSE 1 END)) AS INT)"
+
+
+@P.add(f"""SELECT p_partkey, CASE WHEN u <> '' AND regexp_matches(u, '^M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$') THEN {_ROMAN} END AS value,
+ CASE WHEN u <> '' AND regexp_matches(u, {quoted(V.ROMAN_3999)}) THEN {_ROMAN} END AS value_3999 FROM (SELECT p_partkey, upper(trim({filled_sql(ROMANS, 'p_partkey')})) AS u FROM part)""")
 def roman_numerals(t):
-    """Strict Roman numerals; IIX and the empty text have no value."""
-    s = F.element_at(F.array(*[F.lit(x) for x in ("XIV", "IIX", "MCMXCIX", "iv", "", "MMMDCCCLXXXVIII")]), F.col("n_nationkey") + 1)
-    return t("nation").where("n_nationkey < 6").select("n_nationkey", X.roman(s).alias("value"))
+    """Strict Roman numerals up to 4999 and up to 3999; others have no value."""
+    s = filled(ROMANS, F.col("p_partkey"))
+    return t("part").select("p_partkey", X.roman(s).alias("value"), X.roman_3999(s).alias("value_3999"))
+
+
+NUMBERS = ("1.2.{k}", "12", " {k} ", "१२", "(b)", "C.", "a)", "1..2", "2-1-a", "IV", "1.2", "1.2.50.{k}", "", "1.10.{k}", "क", "1.A.2", "12a")
+_SEGMENTS = r"CASE WHEN len(p) >= 2 AND NOT list_contains(p, '') THEN p END"
+_COMPARED = """CASE WHEN x IS NULL THEN NULL ELSE coalesce(list_extract(list_filter(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: CASE WHEN x[i] = y[i] THEN 0 WHEN regexp_matches(x[i], '^[0-9]+$') AND regexp_matches(y[i], '^[0-9]+$') THEN CASE WHEN TRY_CAST(x[i] AS HUGEINT) < TRY_CAST(y[i] AS HUGEINT) THEN -1 ELSE 1 END WHEN lower(x[i]) < lower(y[i]) THEN -1 ELSE 1 END), lambda s: s <> 0), 1), sign(len(x) - len(y))) END"""
+_ROMAN_OF = " || ".join(f"list_extract({quoted_list(('', a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c))}, CAST(r // {n} % 10 + 1 AS INT))" for n, a, b, c in ((1000, "M", "", ""), (100, "C", "D", "M"), (10, "X", "L", "C"), (1, "I", "V", "X")))
 
 
-def line_depths(lines):
-    s = F.concat_ws(".", "l_linenumber", "l_suppkey", "l_partkey")
-    return lines.select("l_orderkey", "l_linenumber", X.number_depth(s).alias("depth"))
+@P.add(f"""SELECT o_orderkey, regexp_matches(trim(s), '^[0-9]+$') AS is_arabic, regexp_matches(s, '^[\\x{{0900}}-\\x{{097F}}]$') AS is_devanagari, CASE WHEN regexp_matches(trim(s), '^([0-9]+|[०-९]+)$') THEN translate(trim(s), '०१२३४५६७८९', '0123456789') END AS number,
+ CASE WHEN regexp_matches(trim(s), '^[०-९]+$') THEN CAST(translate(trim(s), '०१२३४५६७८९', '0123456789') AS INT) END AS devanagari, CASE WHEN regexp_matches(trim(s), '^\\(?([a-zA-Z])[).]$') THEN ascii(lower(regexp_extract(trim(s), '^\\(?([a-zA-Z])[).]$', 1))) - 96 END AS marker_index,
+ coalesce(len(x), -1) AS n_segments, CAST({_COMPARED} AS INT) AS compared, CASE WHEN r BETWEEN 1 AND 3999 THEN {_ROMAN_OF} END AS roman, round(0.9 * greatest(0.0, least(1.0, r / 4000)) * greatest(0.0, least(1.0, 1.5 - r / 8000)), 6) AS combined
+ FROM (SELECT *, {_SEGMENTS} AS x, ['1', '2', '50'] AS y FROM (SELECT o_orderkey, o_custkey % 4200 AS r, s, string_split_regex(trim(s), '[.\\-]') AS p FROM (SELECT *, {filled_sql(NUMBERS, 'o_orderkey', k='o_custkey')} AS s FROM orders)))""")
+def numerals(t):
+    """Numbers of headings: digits, markers, parts, their order, Roman numerals and combined confidence."""
+    s, r = filled(NUMBERS, F.col("o_orderkey"), k=F.col("o_custkey")), F.col("o_custkey") % 4200
+    combined = F.round(X.combined_confidence(F.lit(0.9), r / 4000, 1.5 - r / 8000), 6)
+    return t("orders").select("o_orderkey", X.is_arabic(s).alias("is_arabic"), X.is_devanagari_sign(s).alias("is_devanagari"), X.numeral(s).alias("number"), X.devanagari(s).alias("devanagari"), X.marker_index(s).alias("marker_index"), F.coalesce(F.size(X.segments(s)), F.lit(-1)).alias("n_segments"), X.compare_numbers(s, F.lit("1.2.50")).alias("compared"), X.to_roman(r).alias("roman"), combined.alias("combined"))
 
 
-@P.add("SELECT l_orderkey, l_linenumber, 3 AS depth FROM lineitem WHERE l_linenumber = 1")
+@P.add(f"SELECT l_orderkey, l_linenumber, CASE WHEN len(p) >= 2 AND NOT list_contains(p, '') THEN len(p) END AS depth FROM (SELECT l_orderkey, l_linenumber, string_split_regex(trim({filled_sql(NUMBERS, 'l_suppkey', k='l_partkey')}), '[.\\-]') AS p FROM lineitem)")
 def number_depth(t):
-    return line_depths(t("lineitem").where("l_linenumber = 1"))
+    """Parts of hierarchical numbers."""
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.size(X.segments(filled(NUMBERS, F.col("l_suppkey"), k=F.col("l_partkey")))).alias("depth"))
 
 
-@P.add("SELECT l_orderkey, l_linenumber, 3 AS depth FROM lineitem")
-def number_depth_all(t):
-    """As ``number_depth``, of all lines."""
-    return line_depths(t("lineitem"))
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n_name))"
 
 
-@P.add()
+@P.add(f"""SELECT n_nationkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || list_extract(['8', '9', 'a', 'b'], CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT n_nationkey, {_SHA} AS h FROM nation)""")
 def uuid5_ids(t):
     """Version 5 ids of nations."""
     return t("nation").select("n_nationkey", X.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("n_name")).alias("id"))

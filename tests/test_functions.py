@@ -28,8 +28,16 @@ CASES = [
     (lambda c: X.lookup_key(c), " .. ", None),
     (lambda c: X.expand_ligatures(c), "eﬃcient", "efficient"),
     (lambda c: X.cap_words(c, 2), "a b c", "a b..."),
-    (lambda c: X.cross_references(c), "see Fig. 2.1 and Table 3", ["figure 2.1", "table 3"]),
-    (lambda c: X.step_marker(c), "Step 3: find it", "step"),
+    (lambda c: X.cross_references(c), "see Figure 2.1 and Table 3, as shown in table 4", ["figure: see Figure 2.1", "table: as shown in table 4"]),
+    (lambda c: X.is_step(c), "Step 3: find it", True),
+    (lambda c: X.is_step(c), None, False),
+    (lambda c: X.devanagari(c), " १२ ", 12),
+    (lambda c: X.to_roman(c.cast("int")), "1994", "MCMXCIV"),
+    (lambda c: X.compare_numbers(c, F.lit("1.2.10")), "1.2.9", -1),
+    (lambda c: X.compare_numbers(c, F.lit("1.2.10")), "1.2", -1),
+    (lambda c: X.compare_numbers(c, F.lit("1.2.10")), "12", None),
+    (lambda c: X.marker_index(c), "(b)", 2),
+    (lambda c: X.defined_term(c), "It is called this.", None),
     (lambda c: X.detect_script(c), "अब यह", "devanagari"),
     (lambda c: X.detect_script(c), "123", None),
     (lambda c: X.confidence_band(c.cast("double")), "0.4", "medium"),

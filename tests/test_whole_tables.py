@@ -23,7 +23,7 @@ def test_components_of_all_orders(spark):
     for k, part in lines:
         a, b = sorted((find(f"c{customer[k]}"), find(f"p{part}")))
         root[b] = a
-    got = {r.node: r.component for r in graph_plans.components_all(frames.get).collect()}
+    got = {r.node: r.component for r in graph_plans.components(frames.get).collect()}
     assert got == {x: find(x) for x in list(root)} and len(set(got.values())) > 1
 
 
@@ -34,16 +34,16 @@ def test_edges_of_later_lines(spark):
         "supplier": spark.createDataFrame([(5, 7), (6, 7)], "s_suppkey long, s_nationkey long"),
         "lineitem": spark.createDataFrame([(1, 1, 5, 9), (1, 2, 6, 1), (2, 2, 6, 8)], "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long"),
     }
-    below = {r.ancestor: (r.n_below, r.first_below) for r in graph_plans.transitive_prereqs_all(frames.get).collect()}
+    below = {r.ancestor: (r.n_below, r.first_below) for r in graph_plans.transitive_prereqs(frames.get).collect()}
     assert below == {"r1": (6, "n7"), "n7": (5, "p1"), "s5": (1, "p9"), "s6": (2, "p1")}
-    assert {r.node: r.level for r in graph_plans.max_depth_all(frames.get).collect()} == {"r1": 0, "n7": 1, "s5": 2, "s6": 2, "p9": 3, "p1": 3, "p8": 3}
-    assert {r.node for r in graph_plans.affected_closure_all(frames.get).collect()} == {"s6", "n7", "r1"}
+    assert {r.node: r.level for r in graph_plans.max_depth(frames.get).collect()} == {"r1": 0, "n7": 1, "s5": 2, "s6": 2, "p9": 3, "p1": 3, "p8": 3}
+    assert {r.node for r in graph_plans.affected_closure(frames.get).collect()} == {"s6", "n7", "r1"}
 
 
 def test_formulas_of_all_lines(spark):
-    lines = spark.createDataFrame([(1, k, 5, 9, 50.0, 0.0, 0.0, "O") for k in range(1, 8)], "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_tax double, l_linestatus string")
+    lines = spark.createDataFrame([(1, k, 17, 9, 50.0, 0.0, 0.0, "O") for k in range(1, 8)], "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_tax double, l_linestatus string")
     t = {"lineitem": lines}.get
     each = {(1, k) for k in range(1, 8)}
-    assert {(r.l_orderkey, r.l_linenumber) for r in text_plans.number_depth_all(t).where("depth = 3").collect()} == each
-    assert {(r.l_orderkey, r.l_linenumber) for r in object_plans.structural_confidence_all(t).where("structural = 1").collect()} == each
-    assert {(r.l_orderkey, r.l_linenumber) for r in object_plans.stage_minutes_all(t).where("s1 = 7.5 and s2 = 12.5 and s3 = 15").collect()} == each
+    assert {(r.l_orderkey, r.l_linenumber) for r in text_plans.number_depth(t).where("depth = 3").collect()} == each
+    assert {(r.l_orderkey, r.l_linenumber) for r in object_plans.structural_confidence(t).where("structural = 1").collect()} == each
+    assert {(r.l_orderkey, r.l_linenumber) for r in object_plans.stage_minutes(t).where("s1 = 7.5 and s2 = 12.5 and s3 = 15").collect()} == each
