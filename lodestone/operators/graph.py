@@ -100,3 +100,32 @@ def paths(parents: DataFrame) -> DataFrame:
         if walk.where("next is not null").isEmpty():
             break
     return walk.select("node", "path")
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle. What has no edge in or no edge out is peeled off first, so that closure sees the cycles' core alone."""
+    core = kept(edges.select("source", "target").distinct())
+    while True:
+        ends = core.select(F.col("source").alias("node")).intersect(core.select("target"))
+        less = kept(core.join(ends.withColumnRenamed("node", "source"), "source", "left_semi").join(ends.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
+        same = less.count() == core.count()
+        core = less
+        if same:
+            break
+    return closure(core).where("ancestor = node").select("node")
+
+
+def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, path): of the shortest paths from any root (node) the least, as an array; nodes that none reaches are left out.
+
+    Breadth first: a level's paths of equal length are compared before the next one is looked at.
+    """
+    step = kept(edges.select("source", "target").distinct())
+    seen = kept(roots.select("node", F.array("node").alias("path")).distinct())
+    frontier = seen
+    while True:
+        new = frontier.join(step, frontier["node"] == step["source"]).select(F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
+        frontier = kept(new.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = kept(seen.union(frontier))

@@ -46,3 +46,12 @@ def until_next_label(rows: DataFrame, group: str, position: str, is_label, text:
     marked = rows.withColumn("label", is_label.cast("int")).withColumn("block", F.sum("label").over(w)).where("block > 0")
     inside = marked.withColumn("nth", F.row_number().over(Window.partitionBy(group, "block").orderBy(position))).where(F.col("nth") <= most + 1)
     return inside.groupBy(group, "block").agg(F.min(position).alias("label_at"), (F.count("*") - 1).alias("n_body"), F.sum(F.when(F.col("nth") > 1, F.length(text))).alias("body_chars"))
+
+
+def merged_runs(rows: DataFrame, group: str, position: str, text: str, continues) -> DataFrame:
+    """(group, block, first position, n_lines, text): each row that ``continues`` holds for joins the one before, whose text it may look at as ``before``."""
+    w = Window.partitionBy(group).orderBy(position)
+    seen = rows.withColumn("before", F.lag(text).over(w))
+    marked = seen.withColumn("block", F.sum(F.when(F.col("before").isNotNull() & F.coalesce(continues, F.lit(False)), 0).otherwise(1)).over(w))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t")))), lambda r: r["t"])
+    return marked.groupBy(group, "block").agg(F.min(position).alias("first_line"), F.count("*").alias("n_lines"), F.array_join(parts, " ").alias("text"))
