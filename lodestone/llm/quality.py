@@ -4,7 +4,7 @@ Random indexing gives each word a sparse signed index vector drawn from its hash
 vectors of its neighbours and of its own shape and ends, so that words of a kind lie together. Words share a fixed number of
 hash slots. A document is the mean of its word vectors, twice: plain, and weighted towards its rarer words, with the share of
 repeated words and of signs. Vectors, network and temperature are learned from a bounded sample of the labelled rows that are
-not held out (``SAMPLE`` documents, those with the least hashes; all of them where there are fewer); whole texts are scored.
+not held out (``SAMPLE`` documents and ``SAMPLE_BYTES`` of text, those with the least hashes; all where there are fewer); whole texts are scored.
 
 Nulls and edges: an empty or null text scores by the network's answer to zero features; rows with a null label teach nothing,
 a repeated label row teaches once for each; without labels of both kinds every text scores the share of 1 (0.5 without any),
@@ -19,13 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, flat, mix, remainder, text_slices, texts_of
 
 #: Labelled documents to learn from at most.
 SAMPLE = 6000
+#: Bytes of text that a sample may hold, whatever its rows.
+SAMPLE_BYTES = 64 << 20
 SLOTS, DIM, NONZERO, HIDDEN = 1 << 16, 24, 4, 16
 #: Slots met fewer times in the sample have no vector.
 RARE = 5
@@ -198,13 +200,27 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of ``most`` labelled rows that are not held out, those with the least hashes."""
-    known = labels.where(F.col(label).isNotNull() & (remainder("doc_id", modulus) != held)).select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
-    drawn = known.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "").encode() for r in rows], np.array([int(r["label"]) for r in rows])
+def texts_of_sample(docs: DataFrame, drawn: DataFrame, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of the rows that ``drawn`` (id, label; few) names: at most ``most`` different ones, and ``most_bytes`` of text.
+
+    Rows are taken in the order of a hash of id and text, so that reruns agree, also where an id stands on several texts.
+    Sizes are looked at first, and only the texts that are taken come to the driver.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
+    keyed = rows.select("id", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.xxhash64("id", "key"), F.col("id"), F.col("key"), F.col("label")]
+    some = keyed.select("id", "label", "key", F.octet_length("text").alias("bytes")).distinct().orderBy(*order).limit(most)
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # ``most`` rows
+    taken = some.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("id", "label", "key")
+    got = keyed.join(F.broadcast(taken), ["id", "label", "key"]).dropDuplicates(["id", "label", "key"]).collect()
+    got.sort(key=lambda r: (r["id"], r["text"], r["label"]))
+    return [r["text"].encode() for r in got], np.array([int(r["label"]) for r in got], np.int64)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of ``most`` rows labelled 0 or 1 that are not held out, those with the least hashes."""
+    known = labels.where(F.col(label).isin(0, 1) & (remainder("doc_id", modulus) != held)).select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
+    return texts_of_sample(docs, known.distinct().orderBy(F.xxhash64("id", F.lit(7)), "id", "label").limit(most), most, most_bytes)
 
 
 def scored(docs: DataFrame, model, modulus: int, held: int, threshold: float, limit: int = 1 << 20) -> DataFrame:

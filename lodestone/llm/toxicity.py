@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, flat, mix, remainder
-from .quality import MARKS, scored
+from .quality import MARKS, SAMPLE_BYTES, scored, texts_of_sample
 
 #: Labelled documents of each label to learn from at most.
 SAMPLE = 1500
@@ -297,11 +297,9 @@ def toxic_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, h
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = None
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most)
+        part = known.where(F.col("label") == value).distinct().orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").limit(4 * most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "").encode() for r in rows], np.array([r["label"] for r in rows], "i8"), total.get(1, 0) / max(1, sum(total.values()))
+    return *texts_of_sample(docs, drawn, 2 * most, SAMPLE_BYTES), total.get(1, 0) / max(1, sum(total.values()))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
