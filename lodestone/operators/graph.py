@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder; in a session that names none, in a new temporary folder (tests)."""
+    """``df`` checkpointed in the shared folder; a local session that names none gets a new temporary one (tests)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()
