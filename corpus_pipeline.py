@@ -5,6 +5,12 @@
 3. substring dedup: words of passages that repeat go from the texts;
 4. source mixing: documents come as often as the mix takes them;
 5. best-fit packing: what is left as pieces in sequences.
+
+Nulls and edges, in every stage: null and empty texts are documents without words, which the classifier scores as it does
+others, near-dedup and substring dedup keep as they are, mixing takes 0 times and packing gives the end token alone; a null
+doc_id or source is a value like another; rows that repeat an id are told apart by their text, and rows equal in both are
+copies, of which near-dedup keeps one; very long texts are read whole; ties are settled by hashes, so that reruns agree; an
+empty table gives an empty table; other columns are carried along untouched, but n_chars follows a text that is cut.
 """
 
 from __future__ import annotations
