@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 from .common import materialise, skew_join
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Up to so many links, all of them are a task's worth, and a hub's cannot be too many for one.
+ONE_TASK = 100_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    return skew_join(rows, materialise(least, "least"), "u") if hubs else rows.join(least, "u")
+
+
+def _large_star(e: DataFrame, hubs: bool) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-    return skew_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both, least, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = materialise(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    moved = skew_join(e, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, hubs: bool) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,6 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        e = materialise(_small_star(materialise(_large_star(e), "large")), "stars")
+        hubs = state[0] > ONE_TASK
+        large = _large_star(e, hubs)
+        e = materialise(_small_star(materialise(large, "large") if hubs else large, hubs), "stars")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

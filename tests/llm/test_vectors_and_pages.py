@@ -207,3 +207,13 @@ def test_a_mined_rule_blocks(spark):
             assert abs(own / (own + other) - r.mined_confidence) < 1e-6 and r.mined_confidence >= 0.9
     blocked = [i for i in got if not got[i].rule and got[i].verdict == "block"]
     assert all("spam" in urls[i] for i in blocked)
+
+
+@pytest.mark.parametrize("one_task", [100_000, 0])  # 0: hubs are split however few links there are
+def test_components_with_a_hub(spark, one_task, monkeypatch):
+    from lodestone.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    links = [(0, i) for i in range(10, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 7), (2000, 1990), (1990, 2000)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {0: 0, **{i: 0 for i in range(10, 300)}, **{i: 1000 for i in range(1000, 1041)}, 1990: 1990, 2000: 1990}
