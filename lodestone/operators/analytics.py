@@ -39,9 +39,22 @@ def mode_weighted(rows: DataFrame, group: str, value: str, weight: Column) -> Da
 
 
 def inverted_index(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """key -> sorted distinct items as one string, and their number."""
-    items = F.array_sort(F.collect_set(item))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(items.cast("array<string>"), ",").alias("items"), F.count_distinct(item).alias("n_items"))
+    """(key, item), each posting once as a row of its own, so that a frequent key is no large row; null keys and items give none."""
+    return rows.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item).distinct()
+
+
+def block_fingerprints(rows: DataFrame, group: str, order: str, text: Column, block: int = 4096) -> DataFrame:
+    """One sha256 for each group: over blocks of ``block`` neighbouring keys, over blocks of those, and over what is left.
+
+    ``order`` is a whole-number key that is unique within its group, so that no array is longer than ``block`` but the last,
+    which has a hash for each ``block`` x ``block`` keys.
+    """
+    at = F.col("_at")
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda r: r["_text"]), ";"), 256)
+    level = rows.select(group, F.col(order).alias("_at"), text.alias("_text"))
+    for _ in range(2):
+        level = level.groupBy(group, F.floor(at / block).alias("_next")).agg(joined().alias("_text")).withColumnRenamed("_next", "_at")
+    return level.groupBy(group).agg(joined().alias("fingerprint"))
 
 
 def by_confidence(rows: DataFrame, kind: str, confidence: str) -> DataFrame:

@@ -16,12 +16,14 @@ def duplicate_keys(table: DataFrame, key: Column) -> DataFrame:
 
 
 def first_by_key(table: DataFrame, keys: list[str], order: str, lineage: str) -> DataFrame:
-    """The first row of each key with the ids of all later ones, in order, as ``lineage``.
+    """One row for each row of ``table``: its keys, the first id of the key, its own id as ``lineage``, and ``n_copies`` of the key.
 
-    Aggregated, so that a key's rows meet only after partial aggregation.
+    Firsts are aggregated before they are shuffled, and a key's rows are never gathered into one: the join may split a hot key.
+    Null keys are a key like others; an empty table gives an empty one.
     """
-    firsts = table.groupBy(*keys).agg(F.min(order).alias(order), F.array_sort(F.collect_list(order)).alias("all"))
-    return firsts.select(*keys, order, F.slice(F.col("all"), 2, F.greatest(F.size("all"), F.lit(1))).alias(lineage), F.size("all").alias("n_copies"))
+    firsts = table.groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias("n_copies")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return table.join(firsts, same).select(*keys, F.col("_first").alias(order), F.col(order).alias(lineage), "n_copies")
 
 
 def unambiguous_lookup(names: DataFrame, key: str, target: str) -> DataFrame:
@@ -38,8 +40,8 @@ def resolve(rows: DataFrame, term: Column, lookup: DataFrame, key: str, target:
 
 
 def reverse_links(links: DataFrame, target: str, kind: str, source: str) -> DataFrame:
-    """For each target and kind the sorted distinct sources and their number."""
-    return links.groupBy(target, kind).agg(F.array_sort(F.collect_set(source)).alias("sources")).withColumn("n_sources", F.size("sources"))
+    """(target, kind, source), each once; a target's sources are rows, so that a target with very many is no large row. Null sources give none."""
+    return links.where(F.col(source).isNotNull()).select(target, kind, source).distinct()
 
 
 def union_counts(tables: dict[str, DataFrame], key: dict[str, str]) -> DataFrame:

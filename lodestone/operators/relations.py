@@ -45,15 +45,20 @@ def edge_confidence(weight: Column, a: Column, b: Column, evidence: Column) -> C
 
 
 def rule_relationships(anchors: DataFrame, rules: DataFrame, group: str, fallback: tuple[str, str, float], least: float = 0.1) -> DataFrame:
-    """Edges between anchors of a group by their roles, or by the fallback; edges below ``least`` go.
+    """Edges between the classes of a group's anchors by their roles, or by the fallback; edges below ``least`` go.
 
+    Anchors of one group, role and confidence are a class, and all of them have the same edges; ``n_edges`` says how many edges
+    between anchors a row stands for, and the anchors' own columns say which. So rows grow with the classes and not with the square
+    of the anchors. An anchor_id stands once in its group; an anchor has no edge to itself; null groups, roles or confidences give none.
     ``rules`` are few and broadcast. Evidence: 0.4 for a rule, 0.3 for a mean confidence of 0.5 or more, 0.3 for both known.
     """
-    s = anchors.select(F.col(group), F.col("anchor_id").alias("source_id"), F.col("role").alias("source_role"), F.col("confidence").alias("source_confidence"))
-    t = anchors.select(F.col(group), F.col("anchor_id").alias("target_id"), F.col("role").alias("target_role"), F.col("confidence").alias("target_confidence"))
-    pairs = s.join(t, group).where("source_id <> target_id").join(F.broadcast(rules), ["source_role", "target_role"], "left")
+    classes = anchors.where("role is not null and confidence is not null").groupBy(group, "role", "confidence").agg(F.count("anchor_id").alias("n"))
+    s, t = (classes.select(group, F.col("role").alias(f"{x}_role"), F.col("confidence").alias(f"{x}_confidence"), F.col("n").alias(f"{x}_n")) for x in ("source", "target"))
+    own = (F.col("source_role") == F.col("target_role")) & (F.col("source_confidence") == F.col("target_confidence"))
+    pairs = s.join(t, group).withColumn("n_edges", F.col("source_n") * (F.col("target_n") - own.cast("long"))).where("n_edges > 0")
+    pairs = pairs.join(F.broadcast(rules), ["source_role", "target_role"], "left")
     kind, way, weight = fallback
     pairs = pairs.withColumns({"type": F.coalesce("type", F.lit(kind)), "direction": F.coalesce("direction", F.lit(way)), "matched": F.col("weight").isNotNull(), "weight": F.coalesce("weight", F.lit(weight))})
     mean = (F.col("source_confidence") + F.col("target_confidence")) / 2
     evidence = (F.when(F.col("matched"), 4).otherwise(1) + F.when(mean >= 0.5, 3).otherwise(0) + 3) / 10
-    return pairs.withColumn("confidence", edge_confidence(F.col("weight"), F.col("source_confidence"), F.col("target_confidence"), evidence)).where(F.col("confidence") >= least).select(group, "source_id", "target_id", "type", "direction", "confidence")
+    return pairs.withColumn("confidence", edge_confidence(F.col("weight"), F.col("source_confidence"), F.col("target_confidence"), evidence)).where(F.col("confidence") >= least).select(group, "source_role", "source_confidence", "target_role", "target_confidence", "type", "direction", "confidence", "n_edges")

@@ -37,11 +37,11 @@ _RULES = ", ".join(str(r[:5]) for r in ROLE_RULES)
 
 
 @P.add(f"""WITH an AS ({_ANCHORS}), ru(sr, tr, type, direction, w) AS (VALUES {_RULES}),
- pr AS (SELECT s.grp, s.anchor_id AS source_id, t.anchor_id AS target_id, coalesce(ru.type, 'RELATED_TO') AS type, coalesce(direction, 'BIDIRECTIONAL') AS direction, CAST(coalesce(w, 0.3) AS DOUBLE) AS w, ru.w IS NOT NULL AS hit, CAST(s.confidence AS DOUBLE) AS a, CAST(t.confidence AS DOUBLE) AS b
+ pr AS (SELECT s.grp, s.role AS source_role, t.role AS target_role, coalesce(ru.type, 'RELATED_TO') AS type, coalesce(direction, 'BIDIRECTIONAL') AS direction, CAST(coalesce(w, 0.3) AS DOUBLE) AS w, ru.w IS NOT NULL AS hit, CAST(s.confidence AS DOUBLE) AS a, CAST(t.confidence AS DOUBLE) AS b
   FROM an s JOIN an t ON s.grp = t.grp AND s.anchor_id <> t.anchor_id LEFT JOIN ru ON ru.sr = s.role AND ru.tr = t.role)
- SELECT * FROM (SELECT grp, source_id, target_id, type, direction, round(least(1.0, greatest(0.0, (CASE WHEN hit THEN 4 ELSE 1 END + CASE WHEN (a + b) / 2 >= 0.5 THEN 3 ELSE 0 END + 3) / 10 * w * (0.5 + 0.5 * (a + b) / 2))) + 1e-9, 4) AS confidence FROM pr) WHERE confidence >= 0.1""")
+ SELECT grp, source_role, a AS source_confidence, target_role, b AS target_confidence, type, direction, confidence, count(*) AS n_edges FROM (SELECT grp, source_role, target_role, a, b, type, direction, round(least(1.0, greatest(0.0, (CASE WHEN hit THEN 4 ELSE 1 END + CASE WHEN (a + b) / 2 >= 0.5 THEN 3 ELSE 0 END + 3) / 10 * w * (0.5 + 0.5 * (a + b) / 2))) + 1e-9, 4) AS confidence FROM pr) WHERE confidence >= 0.1 GROUP BY ALL""")
 def rule_relationships(t):
-    """Role rules among the suppliers of a nation."""
+    """Role rules among the suppliers of a nation, by classes of suppliers; the SQL forms all pairs and counts them."""
     roles = F.array(*[F.lit(r) for r in ROLES])
     s = t("supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("anchor_id"), F.element_at(roles, (F.col("s_suppkey") % len(ROLES) + 1).cast("int")).alias("role"), ((F.col("s_suppkey") % 11) / 10.0).alias("confidence"))
     rules = s.sparkSession.createDataFrame([r[:5] for r in ROLE_RULES], "source_role string, target_role string, type string, direction string, weight double")
@@ -58,7 +58,7 @@ def graph_stats(t):
     return A.by_confidence(t("lineitem"), "l_returnflag", "l_discount")
 
 
-@P.add("SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS items, count(DISTINCT p_partkey) AS n_items FROM part WHERE p_brand IS NOT NULL GROUP BY 1")
+@P.add("SELECT DISTINCT p_brand, p_partkey FROM part WHERE p_brand IS NOT NULL AND p_partkey IS NOT NULL")
 def inverted_indexes(t):
     return A.inverted_index(t("part"), "p_brand", "p_partkey")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import analytics as A
 from ..sources import lines as L
 from .base import Plans
 
@@ -91,19 +92,18 @@ def tree_invariants(t):
     return s1.unionByName(s2).unionByName(b1)
 
 
-@P.add("SELECT p_brand, sha256(string_agg(CAST(p_partkey AS VARCHAR) || '|' || p_name, ';' ORDER BY p_partkey)) AS fingerprint FROM part GROUP BY 1")
+@P.add("""WITH a AS (SELECT p_brand, p_partkey // 4096 AS k, sha256(string_agg(CAST(p_partkey AS VARCHAR) || '|' || p_name, ';' ORDER BY p_partkey)) AS s FROM part GROUP BY 1, 2),
+ b AS (SELECT p_brand, k // 4096 AS k, sha256(string_agg(s, ';' ORDER BY k)) AS s FROM a GROUP BY p_brand, k // 4096) SELECT p_brand, sha256(string_agg(s, ';' ORDER BY k)) AS fingerprint FROM b GROUP BY 1""")
 def registry_fingerprints(t):
-    """One sha256 for the ordered rows of each registry."""
-    row = F.struct("p_partkey", F.concat_ws("|", "p_partkey", "p_name").alias("s"))
-    return t("part").groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["s"]), ";"), 256).alias("fingerprint"))
+    """One sha256 for the ordered rows of each registry, over blocks of keys."""
+    return A.block_fingerprints(t("part"), "p_brand", "p_partkey", F.concat_ws("|", "p_partkey", "p_name"))
 
 
-@P.add("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey % 7 AS b FROM lineitem WHERE l_suppkey <> l_suppkey % 7), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, array_to_string(list_sort(list(b)), ',') AS related FROM s GROUP BY 1""")
+@P.add("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey % 7 AS b FROM lineitem WHERE l_suppkey <> l_suppkey % 7), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, b AS related FROM s""")
 def related_backfill(t):
-    """Symmetric closure of related links."""
+    """Symmetric closure of related links, a row for each."""
     e = t("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") % 7).alias("b")).where("a <> b").distinct()
-    both = e.union(e.select("b", "a")).distinct()
-    return both.groupBy(F.col("a").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("b")).cast("array<string>"), ",").alias("related"))
+    return e.union(e.select("b", "a")).distinct().toDF("node", "related")
 
 
 @P.add("""SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'A') AS a_links, count(*) FILTER (WHERE l_returnflag = 'N') AS n_links, count(*) FILTER (WHERE l_returnflag = 'R') AS r_links FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem) GROUP BY 1""")

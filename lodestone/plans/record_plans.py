@@ -12,11 +12,11 @@ from .base import Plans
 P = Plans()
 
 
-@P.add("""SELECT md5(text) AS text_key, min(doc_id) AS doc_id, array_to_string(list_sort(list(doc_id))[2:], ',') AS lineage, count(*) AS n_copies FROM documents GROUP BY 1""")
+@P.add("""SELECT md5(text) AS text_key, min(doc_id) OVER w AS doc_id, doc_id AS lineage, count(*) OVER w AS n_copies FROM documents WINDOW w AS (PARTITION BY md5(text))""")
 def dedupe_first_lineage(t):
-    """The first of equal documents, with the ids of its copies."""
+    """Each document with the first of those equal to it."""
     d = t("documents").select("doc_id", F.md5("text").alias("text_key"))
-    return R.first_by_key(d, ["text_key"], "doc_id", "lineage").select("text_key", "doc_id", F.array_join(F.col("lineage").cast("array<string>"), ",").alias("lineage"), F.col("n_copies").cast("long").alias("n_copies"))
+    return R.first_by_key(d, ["text_key"], "doc_id", "lineage")
 
 
 @P.add("SELECT md5(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -42,13 +42,11 @@ def reference_resolve(t):
     return R.resolve(rows, F.col("term"), lookup, "name_key", "p_partkey").groupBy("status", "l_linenumber").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("n_targets"))
 
 
-@P.add("""SELECT nation, kind, array_to_string(list_sort(list(DISTINCT k)), ',') AS sources, count(DISTINCT k) AS n_sources FROM (
- SELECT s_nationkey AS nation, 'supplier' AS kind, s_suppkey AS k FROM supplier UNION ALL SELECT c_nationkey, 'customer', c_custkey FROM customer) GROUP BY 1, 2""")
+@P.add("""SELECT DISTINCT s_nationkey AS nation, 'supplier' AS kind, s_suppkey AS source FROM supplier UNION ALL SELECT DISTINCT c_nationkey, 'customer', c_custkey FROM customer""")
 def reverse_links(t):
-    s = t("supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"))
-    c = t("customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"))
-    out = R.reverse_links(s.unionByName(c), "nation", "kind", "k")
-    return out.select("nation", "kind", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.col("n_sources").cast("long").alias("n_sources"))
+    s = t("supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("source"))
+    c = t("customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("source"))
+    return R.reverse_links(s.unionByName(c), "nation", "kind", "source")
 
 
 _KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey"}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from lodestone.operators import changes, graph, linking, ordered, registry, relations
+from lodestone.operators import analytics, changes, graph, linking, ordered, registry, relations
 
 CONCEPTS = {"c1": [], "c2": ["c1"], "c3": ["c2"], "c4": ["c3"], "c5": ["c1"], "c6": ["c4", "c5"], "c7": ["c6"], "c8": ["c4"], "c9": ["c8"], "c10": ["c7"], "c11": ["c7"], "c12": ["c10", "c11"]}
 EDGES = [(p, c) for c, ps in CONCEPTS.items() for p in ps]
@@ -74,3 +77,28 @@ def test_budget_keeps_the_first(spark):
     rows = spark.createDataFrame([("a", 1, 99), ("a", 2, 1), ("b", 1, 4), ("b", 2, 4), ("b", 3, 4)], "g string, o int, cost int")
     got = {(r.g, r.o) for r in ordered.within_budget(rows, "g", [F.col("o")], "cost", 8).collect()}
     assert got == {("a", 1), ("b", 1), ("b", 2)}
+
+
+def test_copies_point_to_the_first(spark):
+    rows = spark.createDataFrame([("x", 3), ("x", 1), ("y", 2), (None, 5), (None, 4), ("x", 1)], "k string, id int")
+    got = sorted(tuple(r) for r in registry.first_by_key(rows, ["k"], "id", "copy").na.fill("-", ["k"]).collect())
+    assert got == [("-", 4, 4, 2), ("-", 4, 5, 2), ("x", 1, 1, 3), ("x", 1, 1, 3), ("x", 1, 3, 3), ("y", 2, 2, 1)]
+    assert registry.first_by_key(rows.limit(0), ["k"], "id", "copy").count() == 0
+
+
+def test_blocks_of_fingerprints(spark):
+    sha = lambda parts: hashlib.sha256(";".join(parts).encode()).hexdigest()
+    rows = spark.createDataFrame([(g, i, f"t{i}") for g, n in (("a", 9), ("b", 1)) for i in range(n)], "g string, i long, t string")
+    got = {r.g: r.fingerprint for r in analytics.block_fingerprints(rows, "g", "i", F.col("t"), block=2).collect()}
+    first = [sha([f"t{i}" for i in range(k, min(k + 2, 9))]) for k in range(0, 9, 2)]
+    assert got == {"a": sha([sha(first[k : k + 2]) for k in range(0, 5, 2)]), "b": sha([sha([sha(["t0"])])])}
+
+
+def test_rules_between_classes_stand_for_all_pairs(spark):
+    rows = [(i % 2, i, "xyz"[i % 3], (i % 4) / 4) for i in range(20)] + [(0, 90, None, 0.5), (0, 91, "x", None), (7, 92, "x", 0.9)]
+    rules = spark.createDataFrame([("x", "y", "leads", "FORWARD", 0.9)], "source_role string, target_role string, type string, direction string, weight double")
+    anchors = spark.createDataFrame(rows, "g int, anchor_id int, role string, confidence double")
+    got = relations.rule_relationships(anchors, rules, "g", ("near", "BIDIRECTIONAL", 0.3), 0.0).collect()
+    want = Counter((a[0], a[2], a[3], b[2], b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and None not in (a[2], a[3], b[2], b[3]))
+    assert {(r.g, r.source_role, r.source_confidence, r.target_role, r.target_confidence): r.n_edges for r in got} == want
+    assert {r.type for r in got if (r.source_role, r.target_role) == ("x", "y")} == {"leads"}
