@@ -8,6 +8,12 @@ bits a second mixer predicts from the classes and the token before; words outsid
 apart by their counts. For a word that the training texts lack the class's share of new words follows, and then its bytes, whose
 bits a third mixer predicts from one to four bytes before.
 
+Longer contexts are kept for the whole corpus, in tables that grow with it and are joined to what is scored: where the hash of
+``ORDER`` tokens says so (once in ``RATE``), the phrase up to the next such place is looked up among those that follow the same
+tokens in training texts. A fourth mixer predicts the bit whether it is one of them, from how many there are and from the bits
+before in the text; if so, its share of them is its probability, and its tokens need no bits of their own. A training text's
+own occurrence does not count there.
+
 Training is online in each task: bits are predicted from what the task has counted so far, then teach weights, table and
 counts; counts are added up over all tasks and weights averaged by bits. Scoring starts from that model and goes on adapting
 the weights within each text, block by block, so a text's probability is a product of conditional ones. All training texts
@@ -15,7 +21,7 @@ are counted. A bounded number of frequent tokens (``HEAD``) is known in every ta
 
 Nulls and edges: a null or empty text is the end token alone; a null doc_id hashes as the empty text; repeated rows are
 scored each for itself; without training texts counts are 0 and the base is the contract's formula at 0; an empty table gives
-an empty table; other columns are left alone.
+an empty table; texts of up to ``ORDER`` tokens have no phrases; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,23 +35,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remainder, text_slices, texts_of
+from .common import U64, gram_hashes, materialise, mix, remainder, skew_join, text_slices, texts_of
 
 HEAD, CLASSES = 1 << 18, 62
 #: The least count of a frequent token is looked up in a histogram whose steps are counts, and from here on thousandths of a logarithm.
 COMMON = 50_000
 BLOCK, BATCH = 96, 1 << 14
 BINS, GATES = 25, 16
+#: So many bits seen make a slot more confident, each time by one.
+SURE = (5, 31, 181)
 ADDED = "chunk int, values binary"
 CHUNK = 512
 END = b""
+#: Phrases start after ``ORDER`` tokens whose hash says so, once in ``RATE`` places (a power of two).
+ORDER, RATE = 4, 16
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
+def log10_of(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """log10 of the probability that each bit was given."""
+    return np.log(np.where(bit == 1, p, 1 - p)) * np.float32(1 / math.log(10))
 
 
 @dataclass
@@ -63,11 +79,12 @@ class Mixer:
         return cls([np.zeros((n, 2)) for n in slots], w, np.zeros((nodes, BINS, 2)))
 
     def ready(self) -> Mixer:
-        """Logits and confidence of each slot, from the counts."""
-        self.logit = [np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4)).astype("f4") for c in self.counts]
-        self.sure = [np.minimum(3, np.log2(1 + c.sum(axis=1)) / 2.5).astype("i1") for c in self.counts]
+        """Logits of each slot, and the confidence of the last two contexts' slots, from the counts."""
+        self.logit = [np.log((c[:, 1].astype("f4") + np.float32(0.4)) / (c[:, 0].astype("f4") + np.float32(0.4))) for c in self.counts]
+        seen = [c[:, 0] + c[:, 1] for c in self.counts[-2:]]
+        self.sure = [sum(((n >= least).view("i1") for least in SURE[1:]), (n >= SURE[0]).view("i1")) for n in seen]
         middle = squash((np.arange(BINS) - BINS // 2) / 1.5)
-        self.refined = (self.table[:, :, 1] + 32 * middle) / (self.table.sum(axis=2) + 32)
+        self.refined = ((self.table[:, :, 1] + 32 * middle) / (self.table.sum(axis=2) + 32)).astype("f4").reshape(-1)
         return self
 
     def inputs(self, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,37 +92,40 @@ class Mixer:
         for i, a in enumerate(at):
             np.take(self.logit[i], a, out=x[i], mode="clip")
         x[-1] = 0.3
-        return x, (np.take(self.sure[-1], at[-1]) * 4 + np.take(self.sure[-2], at[-2])).astype(np.intp)
+        return x, (np.take(self.sure[1], at[-1]) * 4 + np.take(self.sure[0], at[-2])).astype(np.intp)
 
     def dot(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The weighted sums of the inputs, by the gates' weights."""
-        w = np.ascontiguousarray(self.weights.T, "f4")
-        out = np.take(w[0], gate) * x[0]
-        for i in range(1, len(x)):
-            out += np.take(w[i], gate) * x[i]
+        """The weighted sums of the inputs, by the gates' weights: all gates' sums, of which each bit takes one."""
+        w, out = self.weights.astype("f4"), np.empty(len(gate), "f4")
+        for a in range(0, len(gate), BATCH):
+            sums, g = w @ x[:, a : a + BATCH], gate[a : a + BATCH]
+            np.take(sums.reshape(-1), g * len(g) + np.arange(len(g)), out=out[a : a + BATCH], mode="clip")
         return out
 
-    def final(self, dot: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mixed and refined probabilities of a 1, and the table's bin."""
+    def bins(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The table's cell of each bit."""
+        return node * BINS + np.clip(np.rint(dot * np.float32(1.5)) + BINS // 2, 0, BINS - 1).astype(np.int64)
+
+    def final(self, dot: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed and refined probabilities of a 1."""
         p = squash(dot)
-        k = np.clip(np.rint(dot * 1.5) + BINS // 2, 0, BINS - 1).astype(np.int64)
-        return p, np.clip((p + np.take(self.refined, node * BINS + k)) / 2, 1e-6, 1 - 1e-6), k
+        return p, np.clip((p + np.take(self.refined, self.bins(dot, node))) / 2, 1e-6, 1 - 1e-6)
 
     def learn(self, at: list[np.ndarray], node: np.ndarray, bit: np.ndarray) -> None:
         """Predict a run of bits, batch by batch, then let them teach weights, table and counts."""
         self.ready()
+        cells = np.empty(len(bit), np.int64)
         for a in range(0, len(bit), BATCH):
             part = slice(a, a + BATCH)
             x, gate = self.inputs([y[part] for y in at])
             dot = self.dot(x, gate)
-            err = bit[part] - squash(dot)
-            n = np.bincount(gate, minlength=GATES)
-            for i in range(len(x)):
-                self.weights[:, i] += 0.15 * np.bincount(gate, err * x[i], minlength=GATES) / np.maximum(n, 200)
-            k = np.clip(np.rint(dot * 1.5) + BINS // 2, 0, BINS - 1).astype(np.int64)
-            self.table += np.bincount((node[part] * BINS + k) * 2 + bit[part], minlength=self.table.size).reshape(self.table.shape)
+            errors = np.zeros((GATES, len(gate)), "f4")
+            errors.reshape(-1)[gate * len(gate) + np.arange(len(gate))] = bit[part] - squash(dot)
+            self.weights += 0.15 * (errors @ x.T) / np.maximum(np.bincount(gate, minlength=GATES), 200)[:, None]
+            cells[part] = self.bins(dot, node[part])
+        self.table += np.bincount(cells * 2 + bit, minlength=self.table.size).reshape(self.table.shape)
         for c, y in zip(self.counts, at, strict=True):
-            c += np.bincount(y.astype(np.int64) * 2 + bit, minlength=c.size).reshape(c.shape)
+            c += np.bincount(y * 2 + bit, minlength=c.size).reshape(c.shape)
 
     def packed(self, n: int) -> np.ndarray:
         return np.concatenate([*(c.reshape(-1) for c in self.counts), self.table.reshape(-1), self.weights.reshape(-1) * n, [n]])
@@ -224,6 +244,7 @@ class Tokens:
         self.first = np.cumsum(self.depth) - self.depth
         self.index = {w: i for i, (w, _) in enumerate(head)}
         n = np.array([c for _, c in head], "f8")
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w, _ in head], U64)
         self.classes = np.array([self.class_of.get(w[-2:], self.other) for w, _ in head], np.int64)
         self.below = total + 0.1 * (kinds + 1)
         self.head_base = np.log10((n + 0.1) / self.below) if self.below > 0 else np.zeros(0)
@@ -246,6 +267,21 @@ class Tokens:
             kind[i] = self.class_of.get(words[i][-2:], self.other)
         return ids, kind, lens, words
 
+    def phrases(self, ids: np.ndarray, lens: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places where phrases start, hashes of the tokens before, hashes of the phrases, which end where the next starts or the text ends)."""
+        h = self.hashes[ids] if len(self.hashes) else np.zeros(len(ids), U64)
+        rare = np.flatnonzero(ids < 0)
+        h[rare] = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in rare), U64, len(rare))
+        doc, ends = np.repeat(np.arange(len(lens)), lens), np.cumsum(lens)
+        before = mix(gram_hashes(h, ORDER))  # of the tokens from each place on; the phrase would start ORDER places later
+        at = np.flatnonzero(before & U64(RATE - 1) == 0)
+        at = at[at + ORDER < ends[doc[at]]]
+        start = at + ORDER
+        stop = np.minimum(np.r_[start[1:], len(h)][: len(start)], ends[doc[start]])
+        place = np.arange(len(h)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(h)]))
+        sums = np.r_[U64(0), np.cumsum(mix(h ^ mix(place.astype(U64))), dtype=U64)]
+        return start, before[at], sums[stop] - sums[start]
+
     def contexts(self, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
         """Numbers of the contexts before each token: 1, 2, 3 classes and the token."""
         start = np.cumsum(lens) - lens
@@ -267,9 +303,10 @@ class Tokens:
         of = np.repeat(np.arange(len(kind)), n)
         place = np.arange(len(of)) + np.repeat(self.first[kind] - (np.cumsum(n) - n), n)
         node, bit = np.take(self.nodes, place), np.take(self.bits, place)
+        moved = steps(node)
         at = [node, np.take(contexts[0] * 64, of) + node]
         for k, c in enumerate(contexts[1:]):
-            at.append(slots_of(spread(c), of, node, CLASS_SLOTS[2 + k]))
+            at.append(slots_of(spread(c), of, moved, CLASS_SLOTS[2 + k]))
         return at, node, bit, of
 
     def word_bits_of(self, ids: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray]):
@@ -279,8 +316,9 @@ class Tokens:
         of = np.repeat(np.arange(len(leaf)), n)
         place = np.arange(len(of)) + np.repeat(self.word_first[leaf] - (np.cumsum(n) - n), n)
         node, bit = np.take(self.word_nodes, place).astype(np.int64), np.take(self.word_bits, place).astype(np.int64)
-        at = [node] + [slots_of(spread(c * 4 + k), of, node, WORD_SLOTS[k]) for k, c in enumerate(contexts)]
-        return at, kind[of], bit, of
+        moved = steps(node)
+        at = [node] + [slots_of(spread(c * 4 + k), of, moved, WORD_SLOTS[k]) for k, c in enumerate(contexts)]
+        return at, np.take(kind, of), bit, of
 
 
 def spread(context: np.ndarray) -> np.ndarray:
@@ -288,9 +326,17 @@ def spread(context: np.ndarray) -> np.ndarray:
     return ((context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
 
 
-def slots_of(hashed: np.ndarray, of: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+def slots_of(hashed: np.ndarray, of: np.ndarray, moved: np.ndarray, size: int) -> np.ndarray:
     """The slots of bits: their context's hash, moved on by the node."""
-    return (np.take(hashed, of) + node * 40_503) & (size - 1)
+    out = np.take(hashed, of)
+    out += moved
+    out &= size - 1
+    return out
+
+
+def steps(node: np.ndarray) -> np.ndarray:
+    """How far nodes move their bits on."""
+    return node * 40_503
 
 
 def counted(batches: Iterator[pa.RecordBatch], most: int = 250_000) -> Iterator[pa.RecordBatch]:
@@ -331,7 +377,8 @@ def spelled(words: list[bytes], tokens: Tokens):
     shift = np.tile(np.arange(7, -1, -1), len(coded))
     bit = chars[of] >> shift & 1
     node = (chars[of] | 256) >> (shift + 1)
-    slots = [slots_of(spread(history[k] * 5 + k), of, node, SPELL_SLOTS[k]) for k in range(4)]
+    moved = steps(node)
+    slots = [slots_of(spread(history[k] * 5 + k), of, moved, SPELL_SLOTS[k]) for k in range(4)]
     return slots, node, bit, np.repeat(np.arange(len(words)), lens)[of]
 
 
@@ -354,8 +401,8 @@ def spell_scores(mixer: Mixer, words: list[bytes], tokens: Tokens) -> np.ndarray
         part = words[at : at + 4000]
         slots, node, bit, of = spelled(part, tokens)
         x, gate = mixer.inputs(slots)
-        _, p, _ = mixer.final(mixer.dot(x, gate), node)
-        out.append(np.bincount(of, np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(part)))
+        _, p = mixer.final(mixer.dot(x, gate), node)
+        out.append(np.bincount(of, log10_of(p, bit), minlength=len(part)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -394,61 +441,142 @@ def adapted(mixer: Mixer, at: list[np.ndarray], node: np.ndarray, bit: np.ndarra
         if a:
             for i in range(len(x)):
                 dot += np.take(own[i], d) * x[i]
-        p, q, _ = mixer.final(dot, node[a:b])
-        out[a:b] = np.log10(np.where(y == 1, q, 1 - q))
-        err, count = y - p, np.bincount(d, minlength=n)
-        for i in range(len(x)):
-            own[i] += 0.1 * np.bincount(d, err * x[i], minlength=n) / np.maximum(count, 200)
+        p, q = mixer.final(dot, node[a:b])
+        out[a:b] = log10_of(q, y)
+        x *= y - p
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        own[:, d[first]] += np.float32(0.1) * np.add.reduceat(x, first, axis=1) / np.maximum(np.diff(np.r_[first, len(d)]), 200).astype("f4")
+    return out
+
+
+def by_token(mixer: Mixer, bits: tuple, order: np.ndarray, doc: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """log10 probability of the bits of each token; ``bits`` and the texts and blocks are in the given order."""
+    at, node, bit, of = bits
+    out = np.zeros(len(order))
+    out[order] = np.bincount(of, adapted(mixer, at, node, bit, doc[of], block[of], n), minlength=len(order))
     return out
 
 
 def class_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """log10 probability of the classes of each text."""
+    """log10 probability of each token's class."""
     order, doc, block = in_blocks(lens)
-    at, node, bit, of = tokens.bits_of(kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)])
-    return np.bincount(doc[of], adapted(mixer, at, node, bit, doc[of], block[of], len(lens)), minlength=len(lens))
+    return by_token(mixer, tokens.bits_of(kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)]), order, doc, block, len(lens))
 
 
 def word_scores(tokens: Tokens, mixer: Mixer, ids: np.ndarray, kind: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """log10 probability of each token within its class, if known; for one outside the head, that of being outside."""
     order, doc, block = in_blocks(lens)
-    at, node, bit, of = tokens.word_bits_of(ids[order], kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)])
-    out = np.zeros(len(ids))
-    out[order] = np.bincount(of, adapted(mixer, at, node, bit, doc[of], block[of], len(lens)), minlength=len(ids))
-    return out
+    return by_token(mixer, tokens.word_bits_of(ids[order], kind[order], [c[order] for c in tokens.contexts(ids, kind, lens)]), order, doc, block, len(lens))
+
 
+def lists(of: np.ndarray, n: int, **fields: pa.Array) -> pa.ListArray:
+    """A list of structs for each of ``n`` texts; ``of`` names the text of each, in order."""
+    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
-SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,tf:long,leaf:double>>"
+
+SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,seg:int,tf:long,leaf:double>>, phrases array<struct<seg:int,key:long,phrase:long,own:double>>"
 
 
 def score_texts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer, worder: Mixer) -> Iterator[pa.RecordBatch]:
-    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("leaf", pa.float64())]))
-    for batch in text_slices(batches, limit=1 << 20):
+    """Scores without the tokens outside the head, which stand in ``tail``; ``seg`` numbers a text's phrases from 0, -1 is before them."""
+    names = [c.split()[0] for c in SCORED.split(", ")]
+    for batch in text_slices(batches, limit=1 << 18):
         texts = texts_of(batch)
         ids, kind, lens, words = tokens.read(texts)
-        doc, known = np.repeat(np.arange(len(lens)), lens), ids >= 0
-        score = class_scores(tokens, mixer, ids, kind, lens)
-        part = lambda w, v: np.bincount(doc[w], v, minlength=len(lens))
+        n, doc, known = len(lens), np.repeat(np.arange(len(lens)), lens), ids >= 0
         within = word_scores(tokens, worder, ids, kind, lens)
-        score += part(known, within[known] + tokens.log_known[kind[known]])
+        own = class_scores(tokens, mixer, ids, kind, lens) + np.where(known, within + tokens.log_known[kind], 0)
         within += tokens.log_tail[kind]
-        base = part(known, tokens.head_base[ids[known]])
-        tails: list[dict[bytes, dict]] = [{} for _ in texts]
-        for i in np.flatnonzero(~known):
-            seen = tails[doc[i]].setdefault(words[i], {"token": words[i], "tf": 0, "leaf": 0.0})
-            seen["tf"] += 1
-            seen["leaf"] += float(within[i])
-        cols = [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array(lens), pa.array(np.bincount(doc[known], minlength=len(lens)), pa.int64()), pa.array(base), pa.array(score), pa.array([list(t.values()) for t in tails], tail_type)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row", "n_bytes", "n_tokens", "n_head", "base", "score", "tail"])
+        start, key, phrase = tokens.phrases(ids, lens, words)
+        phrase_doc, first = doc[start], np.searchsorted(doc[start], np.arange(n))
+        number = np.arange(len(start)) - first[phrase_doc]
+        last = np.searchsorted(start, np.arange(len(ids)), side="right") - 1  # the phrase at or before each token
+        inside = np.where(last >= first[doc], last, -1)
+        seg = np.where(inside >= 0, last - first[doc], -1)
+        phrase_own = np.bincount(inside[inside >= 0], own[inside >= 0], minlength=len(start))
+        seen: dict[tuple[int, int, bytes], int] = {}
+        rare_words, rare_doc, rare_seg, tf, leaf = [], [], [], [], []
+        rare = np.flatnonzero(~known)
+        for i, d, g, v in zip(rare.tolist(), doc[rare].tolist(), seg[rare].tolist(), within[rare].tolist(), strict=True):
+            j = seen.setdefault((d, g, words[i]), len(tf))
+            if j == len(tf):
+                rare_words.append(words[i])
+                rare_doc.append(d)
+                rare_seg.append(g)
+                tf.append(1)
+                leaf.append(v)
+            else:
+                tf[j] += 1
+                leaf[j] += v
+        tails = lists(np.array(rare_doc, np.int64), n, token=pa.array(rare_words, pa.binary()), seg=pa.array(rare_seg, pa.int32()), tf=pa.array(tf, pa.int64()), leaf=pa.array(leaf, pa.float64()))
+        phrases = lists(phrase_doc, n, seg=pa.array(number, pa.int32()), key=pa.array(key.view(np.int64)), phrase=pa.array(phrase.view(np.int64)), own=pa.array(phrase_own, pa.float64()))
+        base = np.bincount(doc[known], tokens.head_base[ids[known]], minlength=n)
+        cols = [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array(lens), pa.array(np.bincount(doc[known], minlength=n), pa.int64()), pa.array(base), pa.array(np.bincount(doc, own, minlength=n)), tails, phrases]
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+
+PARTS = "row long, seg int, n_tail long, base double, score double"
 
 
 def new_words(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer) -> Iterator[pa.RecordBatch]:
-    """(row, tf, add): what a word that training lacks adds to a score."""
+    """What words that training lacks add to the scores of their texts and phrases."""
     for batch in batches:
-        words = batch.column("token").to_pylist()
+        words, tf = batch.column("token").to_pylist(), batch.column("tf").to_numpy()
         kind = np.array([tokens.class_of.get(w[-2:], tokens.other) for w in words], np.int64)
-        add = tokens.log_new[kind] + spell_scores(mixer, words, tokens)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), pa.array(add, pa.float64())], ["row", "tf", "add"])
+        add = tf * (tokens.log_new[kind] + spell_scores(mixer, words, tokens))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seg"), pa.array(np.zeros(len(tf), np.int64)), pa.array(tf * math.log10(0.1 / tokens.below)), pa.array(add, pa.float64())], [c.split()[0] for c in PARTS.split(", ")])
+
+
+#: Slots of the mixer of phrase bits: how many phrases are known (by powers of two); with the last bit of the text; with the last two.
+PHRASE_SLOTS = (16, 64, 256)
+
+
+def phrase_bits(batch: pa.RecordBatch):
+    """(slots in each context, nodes, bits, text of each bit) of the looked-up phrases of each text, and their columns."""
+    events = batch.column("events")
+    lens = np.diff(events.offsets.to_numpy())
+    of, flat = np.repeat(np.arange(len(lens)), lens), events.flatten()
+    n_key, n_phrase, own = (flat.field(f).to_numpy() for f in ("n_key", "n_phrase", "own"))
+    bit = (n_phrase > 0).astype(np.int64)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(lens) - lens, lens)
+    last = np.where(at < 1, 0, np.r_[0, bit[:-1] + 1][: len(bit)])
+    one_before = np.where(at < 2, 0, np.r_[0, 0, bit[:-2] + 1][: len(bit)])
+    node = np.minimum(15, np.log2(n_key)).astype(np.int64)
+    return [node, node * 4 + last, (node * 4 + last) * 4 + one_before], node, bit, of, n_key, n_phrase, own
+
+
+def train_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mixer, n = Mixer.fresh(PHRASE_SLOTS, 16), 0
+    for batch in batches:
+        slots, node, bit, *_ = phrase_bits(batch)
+        mixer.learn(slots, node, bit)
+        n += len(bit)
+    if n:
+        yield chunks(mixer.packed(n))
+
+
+def phrase_scores(batches: Iterator[pa.RecordBatch], mixer: Mixer) -> Iterator[pa.RecordBatch]:
+    """(row, add): what the looked-up phrases add to a text's score; a known one takes the place of its tokens."""
+    for batch in batches:
+        slots, node, bit, of, n_key, n_phrase, own = phrase_bits(batch)
+        x, gate = mixer.inputs(slots)
+        _, p = mixer.final(mixer.dot(x, gate), node)
+        add = log10_of(p, bit) + np.where(bit == 1, np.log10(np.maximum(n_phrase, 1) / n_key) - own, 0)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.bincount(of, add, minlength=batch.num_rows))], ["row", "add"])
+
+
+def looked_up(scored: DataFrame, parts: DataFrame) -> DataFrame:
+    """(row, held_out, events): the phrases of each text whose tokens before are in other training texts, in order, with their counts there."""
+    train = (~F.col("held_out")).cast("long")
+    phrases = scored.select("row", "held_out", F.inline("phrases"))
+    keys = materialise(phrases.groupBy("key").agg(F.count("*").alias("n"), F.sum(train).alias("n_key")).where("n > 1"), "keys")
+    met = skew_join(phrases, keys, "key").where(F.col("n_key") > train)
+    met = materialise(met.select("row", "held_out", "seg", "own", (F.col("n_key") - train).alias("n_key"), F.xxhash64("key", "phrase").alias("phrase")), "met")
+    known = materialise(met.groupBy("phrase").agg(F.count("*").alias("n"), F.sum(train).alias("n_phrase")), "known")
+    events = skew_join(met, known, "phrase").join(parts.select("row", "seg", F.col("score").alias("tail")), ["row", "seg"], "left")
+    event = F.struct("seg", "n_key", (F.col("n_phrase") - train).alias("n_phrase"), (F.col("own") + F.coalesce("tail", F.lit(0.0))).alias("own"))
+    return materialise(events.groupBy("row").agg(F.first("held_out").alias("held_out"), F.array_sort(F.collect_list(event)).alias("events")), "events")
 
 
 def text_scores(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = HEAD) -> DataFrame:
@@ -478,10 +606,14 @@ def text_scores(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = H
     rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
     scored = materialise(rows.mapInArrow(lambda x: score_texts(x, shared.value, *mixers.value), SCORED), "scored")
     tail = scored.select("row", F.inline("tail")).join(counts, "token", "left")
-    known = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_tail"), F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / tokens.below)).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("leaf") + F.col("tf") * F.log10("c")).otherwise(0.0)).alias("tail_score"))
-    fresh = tail.where("c is null").select("row", "token", "tf").mapInArrow(lambda x: new_words(x, shared.value, speller.value), "row long, tf long, add double")
-    fresh = fresh.groupBy("row").agg(F.sum(F.col("tf") * F.col("add")).alias("new_score"))
+    old = tail.where("c > 0").select("row", "seg", F.col("tf").alias("n_tail"), (F.col("tf") * F.log10((F.col("c") + 0.1) / tokens.below)).alias("base"), (F.col("leaf") + F.col("tf") * F.log10("c")).alias("score"))
+    new = tail.where("c is null").select("row", "seg", "token", "tf").mapInArrow(lambda x: new_words(x, shared.value, speller.value), PARTS)
+    parts = materialise(old.union(new).groupBy("row", "seg").agg(F.sum("n_tail").alias("n_tail"), F.sum("base").alias("base"), F.sum("score").alias("score")), "parts")
+    events = looked_up(scored, parts)
+    phraser = sc.broadcast(gathered(events.where("not held_out").select("events").mapInArrow(train_phrases, ADDED), Mixer.fresh(PHRASE_SLOTS, 16))[0])
+    added = events.select("row", "events").mapInArrow(lambda x: phrase_scores(x, phraser.value), "row long, add double")
+    tails = parts.groupBy("row").agg(F.sum("n_tail").alias("n_tail"), F.sum("base").alias("tail_base"), F.sum("score").alias("tail_score"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = scored.drop("tail").join(known, "row", "left").join(fresh, "row", "left")
-    score = F.col("score") + zero("tail_score") + zero("new_score")
+    out = scored.drop("tail", "phrases").join(tails, "row", "left").join(added, "row", "left")
+    score = F.col("score") + zero("tail_score") + zero("add")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + zero("n_tail")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero("tail_base")).alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -260,6 +260,49 @@ def test_the_words_before_tell_words_of_one_class(spark):
     assert got and np.mean(bits) < 9
 
 
+def test_phrases_end_where_the_next_starts():
+    """Against a loop over the tokens: places, tokens before and phrases agree wherever these have equal tokens, and only there."""
+    import random
+
+    rng = random.Random(4)
+    passage = [f"w{rng.randrange(50)}".encode() for _ in range(300)]
+    texts = [passage, passage[40:200], [b"one"], [], passage[100:] + [b"more"], [f"w{rng.randrange(9)}".encode() for _ in range(500)]]
+    words = [w for t in texts for w in (*t, b"")]
+    lens = np.array([len(t) + 1 for t in texts])
+    index = {f"w{2 * i}".encode(): i for i in range(25)}
+    tokens = context_mixing.Tokens([(w, 1) for w in index], [(b"w1", 5, 0)], 100, 60)
+    ids = np.array([index.get(w, -1) for w in words])
+    start, key, phrase = tokens.phrases(ids, lens, words)
+    ends = np.cumsum(lens)
+    of = np.searchsorted(ends, start, side="right")
+    assert len(start) > 30 and (start - (ends - lens)[of] >= context_mixing.ORDER).all()
+    stop = [min(s, ends[d]) for s, d in zip([*start[1:], len(words)], of, strict=True)]
+    before = [tuple(words[s - context_mixing.ORDER : s]) for s in start]
+    after = [tuple(words[a:b]) for a, b in zip(start, stop, strict=True)]
+    assert len(set(before)) == len(set(key)) == len(set(zip(before, key, strict=True)))
+    assert len(set(after)) == len(set(phrase)) == len(set(zip(after, phrase, strict=True)))
+    found = set(before)
+    for d, end in enumerate(ends):  # wherever these tokens come, a phrase starts
+        for s in range(end - lens[d] + context_mixing.ORDER, end):
+            assert (tuple(words[s - context_mixing.ORDER : s]) in found) == (s in start)
+
+
+def test_texts_that_occur_twice_are_told_apart(spark):
+    """What is known of phrases grows with the texts: copies, also of a part, score far better than clean texts, held out or not."""
+    import random
+
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    rows += [(2000 + i, " ".join(texts[50 + i][:90] + [f"w{rng.randrange(3000)}" for _ in range(60)])) for i in range(40)]
+    got = {r.doc_id: r.bits_per_byte for r in context_mixing.text_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clean = [got[i] for i in range(100, 300)]
+    copies = [got[i] for i in [*range(40), *range(1000, 1040)] if crc(i % 1000) % 10 and crc(1000 + i % 1000) % 10]
+    parts = [got[2000 + i] for i in range(40) if crc(50 + i) % 10]
+    assert max(copies) < 0.6 * min(clean) and np.mean(parts) < 0.85 * np.mean(clean)
+
+
 def labelled(spark, n=240):
     import random
 
