@@ -127,6 +127,11 @@ class Mixer:
         for c, y in zip(self.counts, at, strict=True):
             c += np.bincount(y * 2 + bit, minlength=c.size).reshape(c.shape)
 
+    def lean(self) -> Mixer:
+        """Without the counts, which scoring does not need."""
+        self.counts = []
+        return self
+
     def packed(self, n: int) -> np.ndarray:
         return np.concatenate([*(c.reshape(-1) for c in self.counts), self.table.reshape(-1), self.weights.reshape(-1) * n, [n]])
 
@@ -168,7 +173,7 @@ def gathered(rows: DataFrame, *into: Mixer) -> list[Mixer]:
     for r in summed:
         part = np.frombuffer(r["values"])
         values[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    return [m.unpacked(v) for m, v in zip(into, np.split(values, np.cumsum(sizes)[:-1]), strict=True)]
+    return [m.unpacked(v).lean() for m, v in zip(into, np.split(values, np.cumsum(sizes)[:-1]), strict=True)]
 
 
 def huffman(weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -475,7 +480,7 @@ def lists(of: np.ndarray, n: int, **fields: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,seg:int,tf:long,leaf:double>>, phrases array<struct<seg:int,key:long,phrase:long,own:double>>"
+SCORED = "doc_id long, held_out boolean, row long, n_bytes long, n_tokens long, n_head long, base double, score double, tail array<struct<token:binary,seg:int,tf:int,leaf:float>>, phrases array<struct<seg:int,key:long,phrase:long,own:float>>"
 
 
 def score_texts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer, worder: Mixer) -> Iterator[pa.RecordBatch]:
@@ -509,23 +514,29 @@ def score_texts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer,
             else:
                 tf[j] += 1
                 leaf[j] += v
-        tails = lists(np.array(rare_doc, np.int64), n, token=pa.array(rare_words, pa.binary()), seg=pa.array(rare_seg, pa.int32()), tf=pa.array(tf, pa.int64()), leaf=pa.array(leaf, pa.float64()))
-        phrases = lists(phrase_doc, n, seg=pa.array(number, pa.int32()), key=pa.array(key.view(np.int64)), phrase=pa.array(phrase.view(np.int64)), own=pa.array(phrase_own, pa.float64()))
+        tails = lists(np.array(rare_doc, np.int64), n, token=pa.array(rare_words, pa.binary()), seg=pa.array(rare_seg, pa.int32()), tf=pa.array(tf, pa.int32()), leaf=pa.array(leaf, pa.float32()))
+        phrases = lists(phrase_doc, n, seg=pa.array(number, pa.int32()), key=pa.array(key.view(np.int64)), phrase=pa.array(phrase.view(np.int64)), own=pa.array(phrase_own, pa.float32()))
         base = np.bincount(doc[known], tokens.head_base[ids[known]], minlength=n)
         cols = [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array(lens), pa.array(np.bincount(doc[known], minlength=n), pa.int64()), pa.array(base), pa.array(np.bincount(doc, own, minlength=n)), tails, phrases]
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
-PARTS = "row long, seg int, n_tail long, base double, score double"
+PARTS = "row long, seg int, n_tail int, base double, score float"
 
 
-def new_words(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer) -> Iterator[pa.RecordBatch]:
-    """What words that training lacks add to the scores of their texts and phrases."""
+def tail_parts(batches: Iterator[pa.RecordBatch], tokens: Tokens, mixer: Mixer) -> Iterator[pa.RecordBatch]:
+    """What tokens outside the head add to the scores of their texts and phrases: by their counts, or by their bytes if training lacks them."""
+    names = [c.split()[0] for c in PARTS.split(", ")]
     for batch in batches:
-        words, tf = batch.column("token").to_pylist(), batch.column("tf").to_numpy()
+        tf, c = batch.column("tf").to_numpy(), batch.column("c").fill_null(0).to_numpy()
+        score = batch.column("leaf").to_numpy() + tf * np.log10(np.maximum(c, 1))
+        new = np.flatnonzero(c == 0)
+        words = batch.column("token").take(pa.array(new)).to_pylist()
         kind = np.array([tokens.class_of.get(w[-2:], tokens.other) for w in words], np.int64)
-        add = tf * (tokens.log_new[kind] + spell_scores(mixer, words, tokens))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seg"), pa.array(np.zeros(len(tf), np.int64)), pa.array(tf * math.log10(0.1 / tokens.below)), pa.array(add, pa.float64())], [c.split()[0] for c in PARTS.split(", ")])
+        score[new] = tf[new] * (tokens.log_new[kind] + spell_scores(mixer, words, tokens))
+        base = tf * np.log10((c + 0.1) / tokens.below)
+        known = np.where(c > 0, tf, 0).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seg"), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float32())], names)
 
 
 #: Slots of the mixer of phrase bits: how many phrases are known (by powers of two); with the last bit of the text; with the last two.
@@ -606,9 +617,8 @@ def text_scores(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = H
     rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
     scored = materialise(rows.mapInArrow(lambda x: score_texts(x, shared.value, *mixers.value), SCORED), "scored")
     tail = scored.select("row", F.inline("tail")).join(counts, "token", "left")
-    old = tail.where("c > 0").select("row", "seg", F.col("tf").alias("n_tail"), (F.col("tf") * F.log10((F.col("c") + 0.1) / tokens.below)).alias("base"), (F.col("leaf") + F.col("tf") * F.log10("c")).alias("score"))
-    new = tail.where("c is null").select("row", "seg", "token", "tf").mapInArrow(lambda x: new_words(x, shared.value, speller.value), PARTS)
-    parts = materialise(old.union(new).groupBy("row", "seg").agg(F.sum("n_tail").alias("n_tail"), F.sum("base").alias("base"), F.sum("score").alias("score")), "parts")
+    parts = tail.select("row", "seg", "token", "tf", "leaf", "c").mapInArrow(lambda x: tail_parts(x, shared.value, speller.value), PARTS)
+    parts = materialise(parts.groupBy("row", "seg").agg(F.sum("n_tail").alias("n_tail"), F.sum("base").alias("base"), F.sum("score").alias("score")), "parts")
     events = looked_up(scored, parts)
     phraser = sc.broadcast(gathered(events.where("not held_out").select("events").mapInArrow(train_phrases, ADDED), Mixer.fresh(PHRASE_SLOTS, 16))[0])
     added = events.select("row", "events").mapInArrow(lambda x: phrase_scores(x, phraser.value), "row long, add double")
