@@ -440,6 +440,8 @@ def adapted(mixer: Mixer, at: list[np.ndarray], node: np.ndarray, bit: np.ndarra
     own, out = np.zeros((len(at) + 1, n), "f4"), np.zeros(len(bit))
     ends = np.searchsorted(bit_block, np.arange(int(bit_block[-1]) + 2)) if len(bit) else [0]
     for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a == b:  # none of the block's tokens has bits
+            continue
         x, gate = mixer.inputs([y[a:b] for y in at])
         d, y = bit_doc[a:b], bit[a:b]
         dot = mixer.dot(x, gate)

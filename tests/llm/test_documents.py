@@ -260,6 +260,17 @@ def test_the_words_before_tell_words_of_one_class(spark):
     assert got and np.mean(bits) < 9
 
 
+def test_blocks_whose_tokens_have_no_bits():
+    """The end token is the only word of its class: where it is alone in a block, words have no bits there."""
+    tokens = context_mixing.Tokens([(b"aaxx", 3), (b"bbxx", 2), (b"", 1)], [(b"xx", 5, 0), (b"", 1, 0)], 6, 3)
+    worder = context_mixing.Mixer.fresh(tokens.word_slots, 64).ready()
+    words = [b"aaxx", b"bbxx"] * (context_mixing.BLOCK // 2)
+    for texts in ([b" ".join(words)], [b" ".join(words), b"", b" ".join(words * 3)], [b""]):
+        ids, kind, lens, _ = tokens.read(texts)
+        got = context_mixing.word_scores(tokens, worder, ids, kind, lens)
+        assert len(got) == lens.sum() and (got[ids == 2] == 0).all() and (got[ids < 2] < 0).all()
+
+
 def test_phrases_end_where_the_next_starts():
     """Against a loop over the tokens: places, tokens before and phrases agree wherever these have equal tokens, and only there."""
     import random
