@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, near_dedup, packing, quality, source_mixing, substring_dedup, toxicity, url_rules, vector_dedup, vector_search
+from . import context_mixing, near_dedup, packing, quality, source_mixing, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, vector_search
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
     "op2_context_mixing": op2_context_mixing,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES: dict[str, str] = {"op10_source_mixing": source_mixing.MIX_SQL}
