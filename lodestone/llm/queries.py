@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, near_dedup, packing, quality, source_mixing, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, vector_search
+from . import context_mixing, hard_negatives, near_dedup, packing, quality, source_mixing, substring_dedup, token_counts, toxicity, url_rules, vector_dedup, vector_search, whitening
 from .common import read
 
 
@@ -61,6 +61,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_search": op1_vector_search,
     "op2_context_mixing": op2_context_mixing,
@@ -73,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
     "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op10_source_mixing": source_mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op10_source_mixing": source_mixing.MIX_SQL, "op13_hard_negatives": hard_negatives.MINED_SQL}
