@@ -1,11 +1,11 @@
 """Token counts of whole texts, as the tokenizer of a file gives them.
 
-Texts go through an Arrow function that returns lengths only. A batch for the encoder holds about ``batch_bytes`` of text
-whatever the number of rows: short texts fill it together, a text longer than ``piece_bytes`` is cut into pieces that go in as
-texts of their own. A cut is made only where the byte-level splitter starts a new word in any case, so that the pieces' counts
-add up to the text's count: before a blank or line break that follows a visible character, or, where a text has none within
-reach, between an ASCII letter and an ASCII digit or between a letter of a common script and a full stop or comma; never
-inside the spelling of an added token. A stretch without such a place stays whole.
+Texts go through an Arrow function that returns lengths only. They are cut where the byte-level splitter starts a new word in
+any case, so that the pieces' counts add up to the text's count: before a blank, tab or line break that follows a character
+that is no white space, and, in a piece longer than ``piece_bytes``, between an ASCII letter and an ASCII digit or between a
+letter of a common script and a full stop or comma; never inside the spelling of an added token. A stretch without such a
+place stays whole. A piece that was met before has its count remembered (for so many pieces at most); new ones go to the
+encoder in batches of about ``batch_bytes`` of text whatever their number.
 
 Nulls and edges: a null or empty text has no tokens and no bytes; repeated rows are counted each for itself; a null doc_id is
 kept; an empty table gives an empty table; other columns are left alone. Bytes that are no UTF-8 count as U+FFFD.
@@ -26,12 +26,20 @@ from .common import text_slices, texts_of
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿΑ-Ρα-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
-BEFORE_BLANK = re.compile(f"(?<=[!-~{LETTERS}])(?=[ \\n])")
 INSIDE = re.compile(f"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[{LETTERS}])(?=[.,;:!?。，、！？])")
+BLANKS = " \t\n\r"
+WORD = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+BEFORE_BLANK = re.compile(f"(?<=\\S)(?=[{BLANKS}])")
+
+
+def words(text: str) -> list[str]:
+    """A text in pieces that begin with a blank, tab or line break after a character that is no white space."""
+    return BEFORE_BLANK.split(text) if OTHER_SPACE.search(text) else WORD.findall(text)
 
 
 class Pieces:
-    """Cuts texts at safe places for a tokenizer with these added tokens."""
+    """Cuts long pieces further at safe places for a tokenizer with these added tokens."""
 
     def __init__(self, added: list[str], size: int):
         self.added, self.size = [a for a in added if a], size
@@ -43,36 +51,59 @@ class Pieces:
         """Pieces of ``size`` characters or a little more; longer only where no place is safe."""
         start = 0
         while len(text) - start > self.size:
-            at = self.place(text, start + self.size)
+            safe = (m.start() for m in INSIDE.finditer(text, start + self.size))
+            at = next((k for k in safe if not self.splits_added(text, k)), None)
             if at is None:
                 break
             yield text[start:at]
             start = at
         yield text[start:]
 
-    def place(self, text: str, at: int) -> int | None:
-        """The first blank within another size, else the first inner place there, else the first of either kind after that."""
-        end = at + self.size
-        for pattern, upto in ((BEFORE_BLANK, end), (INSIDE, end), (BEFORE_BLANK, len(text)), (INSIDE, len(text))):
-            for found in pattern.finditer(text, at, upto):
-                if not self.splits_added(text, found.start()):
-                    return found.start()
-        return None
 
+class Counter:
+    """Counts of pieces by the file's tokenizer, without truncation and padding; ``bound`` of them are remembered at least, twice as many at most."""
 
-_encoders: dict[str, object] = {}
+    bound = 200_000
 
-
-def encoder(path: str):
-    """The file's tokenizer without truncation and padding, read once in a process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path)
-        _encoders[path].no_truncation()
-        _encoders[path].no_padding()
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = any(re.search(r"\s", a) for a in self.added)  # such a token could lie across pieces
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        return [text] if self.spaced else words(text)
+
+    def know(self, pieces: set[str], piece_bytes: int, batch_bytes: int) -> dict[str, int]:
+        """Counts of all of ``pieces``, and of others."""
+        if len(self.young) > self.bound:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = pieces.difference(young)
+        young.update((p, old[p]) for p in new & old.keys())
+        new = list(new.difference(young))
+        young.update(dict.fromkeys(new, 0))
+        cut = Pieces(self.added, piece_bytes)
+        for rows, parts in batched(((i, c) for i, p in enumerate(new) for c in ([p] if self.spaced else cut.cut(p))), batch_bytes):
+            for i, e in zip(rows, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+                young[new[i]] += len(e)
+        return young
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    """The file's counter, read once in a process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
 
 
 def batched(pieces: Iterator[tuple[int, str]], limit: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -89,13 +120,23 @@ def batched(pieces: Iterator[tuple[int, str]], limit: int) -> Iterator[tuple[lis
         yield rows, texts
 
 
+def segments(text: str, size: int) -> Iterator[str]:
+    """A long text in stretches of ``size`` characters or a little more, cut before blanks."""
+    start = 0
+    while len(text) - start > size and (found := BEFORE_BLANK.search(text, start + size)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 def lengths(texts: list[str], path: str, piece_bytes: int = 1 << 16, batch_bytes: int = 1 << 20) -> np.ndarray:
     """The number of tokens of each text."""
-    tokenizer = encoder(path)
-    pieces = Pieces([t.content for t in tokenizer.get_added_tokens_decoder().values()], piece_bytes)
-    counts = np.zeros(len(texts), np.int64)
-    for rows, parts in batched(((i, p) for i, t in enumerate(texts) for p in pieces.cut(t)), batch_bytes):
-        np.add.at(counts, rows, [len(e) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+    found, counts = counter(path), np.zeros(len(texts), np.int64)
+    stretches = ((i, s) for i, t in enumerate(texts) for s in ([t] if found.spaced else segments(t, batch_bytes)))
+    for rows, parts in batched(stretches, batch_bytes):
+        pieces = [found.pieces(p) for p in parts]
+        known = found.know(set().union(*pieces), piece_bytes, batch_bytes)
+        np.add.at(counts, rows, [sum(map(known.__getitem__, p)) for p in pieces])
     return counts
 
 

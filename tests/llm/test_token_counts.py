@@ -44,9 +44,20 @@ def test_pieces_add_up(piece):
     rng = random.Random(piece)
     alphabet = ["a", "B", "7", "é", "字", "。", " ", "  ", "\n", "'s", "!", "<|endoftext|>", "<|", "endof", " ", "ß", "½", "²", "ำ", "‍"]
     texts = ODD + ["".join(rng.choices(alphabet, k=400)) for _ in range(150)]
+    token_counts._counters.clear()
     assert token_counts.lengths(texts, PATH, piece, 3000).tolist() == whole(texts)
-    cut = list(token_counts.Pieces(["<|endoftext|>"], piece).cut(texts[4]))
-    assert "".join(cut) == texts[4] and (len(cut) > 1) == (piece < 2000)
+    cut = list(token_counts.Pieces(["<|endoftext|>"], piece).cut(texts[2]))
+    assert "".join(cut) == texts[2] and (len(cut) > 1) == (piece < 2000)
+    assert all("".join(token_counts.words(t)) == t for t in texts)
+
+
+def test_counts_are_remembered_within_a_bound(monkeypatch):
+    monkeypatch.setattr(token_counts.Counter, "bound", 50)
+    token_counts._counters.clear()
+    texts = [" ".join(f"word{k * 37 % 400}" for k in range(n, n + 30)) for n in range(60)]
+    assert [int(token_counts.lengths([t], PATH)[0]) for t in texts] == whole(texts)
+    found = token_counts.counter(PATH)
+    assert len(found.young) <= 90 and len(found.old) <= 90
 
 
 def test_batches_hold_about_so_much():
