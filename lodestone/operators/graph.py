@@ -6,21 +6,16 @@ rounds. Rounds go on until nothing is new or moves, which finite graphs reach, w
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder; a local session that names none gets a new temporary one (tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -28,30 +23,28 @@ def closure(edges: DataFrame) -> DataFrame:
 
     ``edges``: (source, target). A node on a cycle is its own ancestor.
     """
-    step = edges.select("source", "target").distinct()
-    seen = kept(step.select(F.col("source").alias("ancestor"), F.col("target").alias("node")))
-    frontier = seen
+    step = kept(edges.select("source", "target").distinct())
+    frontier = kept(step.select(F.col("source").alias("ancestor"), F.col("target").alias("node")))
+    seen = [frontier]
     while True:
         new = frontier.join(step, frontier["node"] == step["source"]).select("ancestor", F.col("target").alias("node")).distinct()
-        frontier = kept(new.join(seen, ["ancestor", "node"], "left_anti"))
+        frontier = kept(new.join(union_of(seen), ["ancestor", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = kept(seen.union(frontier))
-    return seen
+            return union_of(seen)
+        seen.append(frontier)
 
 
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Nodes from which a changed node is reached (source depends on target), without the changed ones."""
-    step = edges.select("source", "target").distinct()
-    start = changed.select("node").distinct()
-    seen, frontier = kept(start), start
+    step = kept(edges.select("source", "target").distinct())
+    start = frontier = kept(changed.select("node").distinct())
+    seen = [start]
     while True:
         new = frontier.join(step, frontier["node"] == step["target"]).select(F.col("source").alias("node")).distinct()
-        frontier = kept(new.join(seen, "node", "left_anti"))
+        frontier = kept(new.join(union_of(seen), "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = kept(seen.union(frontier))
-    return seen.join(start, "node", "left_anti")
+            return union_of([start.limit(0), *seen[1:]])
+        seen.append(frontier)
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,19 +52,19 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each round settles the nodes whose sources are all settled: an order that runs a level at a time.
     """
-    e = edges.select("source", "target").distinct()
+    e = kept(edges.select("source", "target").distinct())
     todo = kept(nodes.select("node").distinct())
-    done, level = None, 0
+    done: list[DataFrame] = []
+    level = 0
     while True:
         waiting = e.join(todo.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
         ready = kept(todo.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
-        done = ready if done is None else kept(done.union(ready))
+        done.append(ready)
         todo = kept(todo.join(ready.select("node"), "node", "left_anti"))
         level += 1
-    rest = todo.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.union(rest)
+    return union_of([*done, todo.withColumn("level", F.lit(None).cast("int"))])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -104,30 +97,17 @@ def paths(parents: DataFrame) -> DataFrame:
     return walk.select("node", "path")
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle. What has no edge in or no edge out is peeled off first, so that closure sees the cycles' core alone."""
-    core = kept(edges.select("source", "target").distinct())
-    while True:
-        ends = core.select(F.col("source").alias("node")).intersect(core.select("target"))
-        less = kept(core.join(ends.withColumnRenamed("node", "source"), "source", "left_semi").join(ends.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
-        same = less.count() == core.count()
-        core = less
-        if same:
-            break
-    return closure(core).where("ancestor = node").select("node")
-
-
 def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, path): of the shortest paths from any root (node) the least, as an array; nodes that none reaches are left out.
 
     Breadth first: a level's paths of equal length are compared before the next one is looked at.
     """
     step = kept(edges.select("source", "target").distinct())
-    seen = kept(roots.select("node", F.array("node").alias("path")).distinct())
-    frontier = seen
+    frontier = kept(roots.select("node", F.array("node").alias("path")).distinct())
+    seen = [frontier]
     while True:
         new = frontier.join(step, frontier["node"] == step["source"]).select(F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        frontier = kept(new.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        frontier = kept(new.groupBy("node").agg(F.min("path").alias("path")).join(union_of(seen).select("node"), "node", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = kept(seen.union(frontier))
+            return union_of(seen)
+        seen.append(frontier)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contents as C
 from . import scan as S
-from .graph import kept
+from ..sources.shared import kept
 
 
 def outline(rows: DataFrame, group: str, node: str, level: str, parts: int | None = None) -> DataFrame:

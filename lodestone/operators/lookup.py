@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import kept
+from ..sources.shared import kept
 
 
 def by_key(table: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:

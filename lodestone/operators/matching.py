@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .graph import kept
+from ..sources.shared import kept
 
 
 def grams(text: Column, size: int) -> Column:

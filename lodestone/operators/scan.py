@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .graph import kept
+from ..sources.shared import kept_in_place
 
 
 class Rule:
@@ -53,7 +53,7 @@ def in_ranges(rows: DataFrame, group: str, *order: str, parts: int | None = None
     """``rows`` dealt and sorted by group and order and kept so in the shared folder; ``parts`` tasks, or as the session has it."""
     keyed = rows.withColumn("_group", F.to_json(F.struct(F.col(group).alias("g"))))
     dealt = keyed.repartitionByRange(parts, "_group", *order) if parts else keyed.repartitionByRange("_group", *order)
-    return kept(dealt.sortWithinPartitions("_group", *order))
+    return kept_in_place(dealt.sortWithinPartitions("_group", *order))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward: bool) -> Iterator[tuple[str, pa.RecordBatch, dict[str, list]]]:

@@ -10,8 +10,10 @@ from ..operators import graph as G
 from ..operators import integrity as I
 from ..operators import lookup as L
 from ..operators import ordered as O
+from ..operators import reach as R
 from ..sources import builds as B
 from ..sources import lines as S
+from ..sources.shared import kept, session_folder
 from .base import Plans
 from .graph_plans import _SNAP, _TREE, snapshots, tree
 
@@ -48,12 +50,12 @@ def nodes(t):
  UNION ALL SELECT 'B1', c.node, CAST(c.level AS VARCHAR) FROM nodes c JOIN nodes p ON c.parent = p.node WHERE c.level <> p.level + 1""")
 def tree_rules(t):
     """Eight invariants of a tree: parents, cycles, spans, reachability, order, ids, numbers and levels."""
-    n = G.kept(nodes(t))
+    n = kept(nodes(t))
     up = n.where("parent is not null")
     p = n.select(F.col("node").alias("parent"), F.col("level").alias("above"))
     found = I.all_issues(
         I.broken_reference(n, "node", "parent", n, "node", "S1"),
-        I.issues(G.on_cycle(up.select(F.col("node").alias("source"), F.col("parent").alias("target"))), "S1_cycle", "ERROR", F.col("node"), F.lit("cycle")),
+        I.issues(R.strong_components(up.select(F.col("node").alias("source"), F.col("parent").alias("target"))), "S1_cycle", "ERROR", F.col("node"), F.lit("cycle")),
         I.span_outside(n, "S3"),
         I.unreachable(n, "world", "S4"),
         I.duplicate_entry(up, "parent", "ord", "O1"),
@@ -68,7 +70,7 @@ def tree_rules(t):
  SELECT parent AS object_id, 'declared:' || node AS detail FROM (SELECT * FROM d EXCEPT SELECT * FROM a) UNION ALL SELECT parent, 'actual:' || node FROM (SELECT * FROM a EXCEPT SELECT * FROM d)""")
 def declared_children(t):
     """Rule O2: declared and actual children."""
-    n = G.kept(nodes(t))
+    n = kept(nodes(t))
     declared = n.where("parent is not null and ord % 5 <> 1").select("parent", "node").union(n.where("ord % 6 = 2").select(F.col("node"), F.lit("ghost")))
     return I.declared_differs(n, declared, "O2").select("object_id", "detail")
 
@@ -122,7 +124,7 @@ def confidence_levels(t):
 def topological_order(t):
     """An order in which every dependency comes first: level by level, smaller ids first."""
     e = tree(t)
-    levels = G.kept(G.levels(e, e.select(F.col("source").alias("node")).union(e.select("target"))))
+    levels = kept(G.levels(e, e.select(F.col("source").alias("node")).union(e.select("target"))))
     return L.in_order(levels, ["level", "node"]).select("node", "level", F.col("position").cast("long").alias("position"))
 
 
@@ -143,7 +145,7 @@ def cycle_nodes(t):
     s = t("supplier").select("s_suppkey")
     n = s.agg(F.count("*").alias("n"))  # one row
     a = s.crossJoin(n).select(F.col("s_suppkey").alias("source"), ((F.col("s_suppkey") * F.col("s_suppkey") + 1) % F.col("n")).alias("target"))
-    return G.on_cycle(a.union(s.select("s_suppkey", F.floor(F.col("s_suppkey") / 2).cast("long"))))
+    return R.strong_components(a.union(s.select("s_suppkey", F.floor(F.col("s_suppkey") / 2).cast("long")))).select("node")
 
 
 @P.add(f"""{_RECURSIVE}, c AS (SELECT DISTINCT source AS node, [source] AS path FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target, list_append(c.path, e.target) FROM c JOIN e ON c.node = e.source)
@@ -195,10 +197,8 @@ def merged_continuations(t):
 
 
 def folder(t, name: str) -> str:
-    """A new folder beside the checkpoints."""
-    spark = t("nation").sparkSession
-    G.kept(t("region").limit(0))  # names the shared folder where a session has none
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder beside other intermediate tables."""
+    return f"{session_folder(t('nation').sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 @P.add(f"SELECT build_id, count(*) AS n_artifacts, count(DISTINCT fingerprint) AS n_fingerprints FROM ({_SNAP}) GROUP BY 1")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import contents as C
 from ..operators import layout as Y
 from ..operators import matching as M
+from ..operators import reach as R
 from ..sources import lines as S
 from .base import Plans, quoted
+from .graph_plans import _TREE, tree
 from .rule_plans import _LINES
 
 P = Plans()
@@ -152,3 +154,19 @@ def chapter_matches(t):
     heads = S.html_blocks(t("pages").select("page_id", "html")).where("tag = 'h1'").select("page_id", F.substring("line", 1, 60).alias("entry"))
     lang = t("pages").select("page_id", F.regexp_extract("url", r"://[^/]*/([a-z]{2})/", 1).alias("book"))
     return M.best_entries(titles, "doc_id", "title", heads.join(lang, "page_id"), "page_id", "entry", "book")
+
+
+_REACH = _TREE.replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT source AS a, target AS b FROM e UNION SELECT c.a, e.target FROM c JOIN e ON c.b = e.source),
+ q AS (SELECT DISTINCT 's' || (l_suppkey * 7 % (SELECT count(*) FROM supplier)) AS source, 'p' || l_partkey AS target FROM lineitem UNION SELECT 'n' || c_nationkey, 's' || (c_custkey % (SELECT count(*) FROM supplier)) FROM customer UNION SELECT 'r' || (p_partkey % 5), 'p' || p_partkey FROM part)
+ SELECT q.source, q.target FROM q JOIN c ON c.a = q.source AND c.b = q.target"""
+
+
+@P.add(_REACH)
+def reach_queries(t):
+    """Asked pairs of suppliers, nations, regions and parts that a path of dependencies joins, by labels."""
+    n = t("supplier").agg(F.count("*").alias("n"))  # one row
+    named = lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    a = t("lineitem").crossJoin(n).select(named("s", F.col("l_suppkey") * 7 % F.col("n")).alias("source"), named("p", F.col("l_partkey")).alias("target"))
+    b = t("customer").crossJoin(n).select(named("n", F.col("c_nationkey")), named("s", F.col("c_custkey") % F.col("n")))
+    c = t("part").select(named("r", F.col("p_partkey") % 5), named("p", F.col("p_partkey")))
+    return R.reached(a.union(b).union(c).distinct(), R.reach_labels(tree(t)))

@@ -9,14 +9,15 @@ from lodestone.functions import recognise as R
 from lodestone.operators import graph as G
 from lodestone.operators import lookup as L
 from lodestone.operators import ordered as O
+from lodestone.operators import reach
 
 EDGES = "source string, target string"
 
 
 def test_cycles_and_chains(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "x"), ("e", "f"), ("f", "e")], EDGES)
-    assert {r.node for r in G.on_cycle(e).collect()} == {"a", "b", "c", "x", "e", "f"}
-    assert G.on_cycle(spark.createDataFrame([], EDGES)).count() == 0
+    assert {r.node for r in reach.strong_components(e).collect()} == {"a", "b", "c", "x", "e", "f"}
+    assert reach.strong_components(spark.createDataFrame([], EDGES)).count() == 0
     e = spark.createDataFrame([("r", "b"), ("r", "a"), ("a", "z"), ("b", "z"), ("z", "y"), ("r", "y"), ("q", "p")], EDGES)
     got = {r.node: "".join(r.path) for r in G.shortest_paths(e, spark.createDataFrame([("r",)], "node string")).collect()}
     assert got == {"r": "r", "a": "ra", "b": "rb", "z": "raz", "y": "ry"}
