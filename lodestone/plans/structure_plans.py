@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contents as C
+from ..operators import fingerprint as I
 from ..operators import layout as Y
 from ..operators import matching as M
 from ..operators import reach as R
+from ..operators import statistics as T
+from ..sources import builds as B
 from ..sources import lines as S
 from .base import Plans, quoted
 from .graph_plans import _TREE, tree
-from .rule_plans import _LINES
+from .rule_plans import _LINES, folder
 
 P = Plans()
 
@@ -170,3 +173,76 @@ def reach_queries(t):
     b = t("customer").crossJoin(n).select(named("n", F.col("c_nationkey")), named("s", F.col("c_custkey") % F.col("n")))
     c = t("part").select(named("r", F.col("p_partkey") % 5), named("p", F.col("p_partkey")))
     return R.reached(a.union(b).union(c).distinct(), R.reach_labels(tree(t)))
+
+
+_MD5 = "md5(concat_ws('␟', {}))"
+_SUMS = "count(*) AS n, CAST(sum(CAST(('0x' || substr({0}, 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS low, CAST(sum(CAST(('0x' || substr({0}, 16, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS high"
+_ORDER_ROW = _MD5.format("CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), coalesce(o_orderstatus, '␀'), coalesce(o_orderpriority, '␀')")
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@P.add("SELECT o_orderpriority, CAST(n AS VARCHAR) AS n, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high FROM (SELECT o_orderpriority, " + _SUMS.format(_ORDER_ROW) + " FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1)")
+def fingerprint_by_diff(t):
+    """Fingerprints of orders by priority after a third was taken away: those of all orders less those of the third."""
+    orders = t("orders").select(*_ORDER_COLUMNS)
+    by = ["o_orderpriority"]
+    left = I.plus(I.fingerprint(orders, by, _ORDER_COLUMNS), I.fingerprint(orders.where("o_orderkey % 3 = 1"), by, _ORDER_COLUMNS), by, -1)
+    return left.select(*by, *(F.col(c).cast("string").alias(c) for c in I.PARTS))
+
+
+_CHANGED = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT') THEN '?' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders"
+
+
+@P.add(f"""WITH a AS (SELECT * FROM orders), c AS ({_CHANGED}), x AS (SELECT o_orderpriority AS artifact, list_sort(list({_ORDER_ROW})) AS rows FROM a GROUP BY 1), y AS (SELECT o_orderpriority AS artifact, list_sort(list({_ORDER_ROW})) AS rows FROM c GROUP BY 1)
+ SELECT artifact, true AS same_reordered, x.rows = y.rows AS same_changed FROM x JOIN y USING (artifact)""")
+def determinism_check(t):
+    """Whether registries (orders by priority) stay the same when their rows are dealt and sorted anew, and when one row differs."""
+    orders = t("orders").select(*_ORDER_COLUMNS)
+    by = ["o_orderpriority"]
+    last = orders.where("o_orderpriority = '1-URGENT'").agg(F.max("o_orderkey").alias("last"))  # one row
+    changed = orders.crossJoin(last).withColumn("o_orderstatus", F.when(F.col("o_orderkey") == F.col("last"), "?").otherwise(F.col("o_orderstatus"))).drop("last")
+    f = I.fingerprint(orders, by, _ORDER_COLUMNS)
+    again = I.compared(f, I.fingerprint(orders.repartition(7, "o_custkey").sortWithinPartitions(F.desc("o_orderkey")), by, _ORDER_COLUMNS), by)
+    other = I.compared(f, I.fingerprint(changed, by, _ORDER_COLUMNS), by)
+    return again.withColumnRenamed("same", "same_reordered").join(other.withColumnRenamed("same", "same_changed"), by).withColumnRenamed("o_orderpriority", "artifact")
+
+
+_COMPILED = {"total": [], "by_status": ["o_orderstatus"], "by_priority": ["o_orderpriority"], "by_segment": ["c_mktsegment"], "by_status_and_priority": ["o_orderstatus", "o_orderpriority"], "by_nation": ["c_nationkey"]}
+_SET_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS statistic, {' || '.join([quoted('')] + [quoted(c + '=') + f' || coalesce(CAST({c} AS VARCHAR), {quoted('null')}) || ' + quoted(';') for c in cols])} AS keys, count(*) AS n_objects, count(DISTINCT o_custkey) AS n_owners, round(avg(o_totalprice), 4) AS mean_size FROM j" + (f" GROUP BY {', '.join(cols)}" if cols else "")
+    for name, cols in _COMPILED.items()
+)
+
+
+def key_text(keys):
+    """A map of keys as text in the order of its entries."""
+    return F.concat(F.lit(""), F.array_join(F.transform(F.map_entries(keys), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")), F.lit(";"))), ""))
+
+
+@P.add(f"WITH j AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) {_SET_SQL}")
+def compiler_statistics(t):
+    """Counts of orders by six groupings in one scan."""
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    found = T.by_sets(j, _COMPILED, F.count("*").alias("n_objects"), F.count_distinct("o_custkey").alias("n_owners"), F.round(F.avg("o_totalprice"), 4).alias("mean_size"))
+    return found.withColumn("keys", key_text(F.col("keys")))
+
+
+@P.add(_TREE + """, k AS (SELECT substr(source, 1, 1) AS source_type, substr(target, 1, 1) AS target_type, source, target FROM e)
+ SELECT 'total' AS statistic, '' AS keys, count(*) AS n_edges, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM k UNION ALL SELECT 'edges_by_type', 'source_type=' || source_type || ';target_type=' || target_type || ';', count(*), count(DISTINCT source), count(DISTINCT target) FROM k GROUP BY source_type, target_type
+ UNION ALL SELECT 'by_source_registry', 'source_type=' || source_type || ';', count(*), count(DISTINCT source), count(DISTINCT target) FROM k GROUP BY source_type UNION ALL SELECT 'by_target_registry', 'target_type=' || target_type || ';', count(*), count(DISTINCT source), count(DISTINCT target) FROM k GROUP BY target_type""")
+def knowledge_graph_statistics(t):
+    """Edges, sources and targets in all, by type, and by registry, in one scan."""
+    k = tree(t).withColumn("source_type", F.substring("source", 1, 1)).withColumn("target_type", F.substring("target", 1, 1))
+    sets = {"total": [], "edges_by_type": ["source_type", "target_type"], "by_source_registry": ["source_type"], "by_target_registry": ["target_type"]}
+    found = T.by_sets(k, sets, F.count("*").alias("n_edges"), F.count_distinct("source").alias("n_sources"), F.count_distinct("target").alias("n_targets"))
+    return found.withColumn("keys", key_text(F.col("keys")))
+
+
+@P.add("SELECT 'b2' AS build_id, 'nodes' AS table_name, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'b2', 'edges', count(*) FROM lineitem UNION ALL SELECT 'b1', 'nodes', count(*) FROM part")
+def committed_builds(t):
+    """Two committed builds and one that was never committed: readers see the two, with the rows their manifests state."""
+    spark, root = t("nation").sparkSession, folder(t, "builds")
+    B.commit_build(root, "b1", {"nodes": t("part")})
+    B.commit_build(root, "b2", {"nodes": t("part").where("p_partkey % 2 = 0"), "edges": t("lineitem")})
+    t("part").write.parquet(f"{root}/data/never/nodes")  # a writer that stopped before its manifest
+    return B.committed(spark, root).select("build_id", "table_name", "n")
