@@ -580,14 +580,18 @@ def phrase_scores(batches: Iterator[pa.RecordBatch], mixer: Mixer) -> Iterator[p
 
 
 def looked_up(scored: DataFrame, parts: DataFrame) -> DataFrame:
-    """(row, held_out, events): the phrases of each text whose tokens before are in other training texts, in order, with their counts there."""
+    """(row, held_out, events): the phrases of each text whose tokens before are in other training texts, in order, with their counts there.
+
+    Phrases are counted over all training texts that have the tokens before, also where no text but one has them: a held-out
+    copy of that one finds them.
+    """
     train = (~F.col("held_out")).cast("long")
     phrases = scored.select("row", "held_out", F.inline("phrases"))
     keys = materialise(phrases.groupBy("key").agg(F.count("*").alias("n"), F.sum(train).alias("n_key")).where("n > 1"), "keys")
-    met = skew_join(phrases, keys, "key").where(F.col("n_key") > train)
+    met = skew_join(phrases, keys, "key")
     met = materialise(met.select("row", "held_out", "seg", "own", (F.col("n_key") - train).alias("n_key"), F.xxhash64("key", "phrase").alias("phrase")), "met")
     known = materialise(met.groupBy("phrase").agg(F.count("*").alias("n"), F.sum(train).alias("n_phrase")), "known")
-    events = skew_join(met, known, "phrase").join(parts.select("row", "seg", F.col("score").alias("tail")), ["row", "seg"], "left")
+    events = skew_join(met.where("n_key > 0"), known, "phrase").join(parts.select("row", "seg", F.col("score").alias("tail")), ["row", "seg"], "left")
     event = F.struct("seg", "n_key", (F.col("n_phrase") - train).alias("n_phrase"), (F.col("own") + F.coalesce("tail", F.lit(0.0))).alias("own"))
     return materialise(events.groupBy("row").agg(F.first("held_out").alias("held_out"), F.array_sort(F.collect_list(event)).alias("events")), "events")
 

@@ -314,6 +314,21 @@ def test_texts_that_occur_twice_are_told_apart(spark):
     assert max(copies) < 0.6 * min(clean) and np.mean(parts) < 0.85 * np.mean(clean)
 
 
+def test_held_out_copies_of_one_training_text(spark):
+    """A held-out text whose only copy is one training text: under half of the bits of clean held-out texts."""
+    import random
+
+    rng = random.Random(6)
+    held = [i for i in range(5000, 9000) if crc(i) % 10 == 0][:60]
+    training = [i for i in range(400) if crc(i) % 10][:300]
+    texts = {i: " ".join(f"w{rng.randrange(3000)}" for _ in range(150)) for i in training + held[30:]}
+    rows = [*texts.items(), *zip(held[:30], (texts[i] for i in training[:30]), strict=True)]
+    got = {r.doc_id: r for r in context_mixing.text_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].held_out for i in held) and not any(got[i].held_out for i in training)
+    copies, clean = [got[i].bits_per_byte for i in held[:30]], [got[i].bits_per_byte for i in held[30:]]
+    assert max(copies) < 0.5 * min(clean)
+
+
 def labelled(spark, n=240):
     import random
 
