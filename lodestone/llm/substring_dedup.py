@@ -250,6 +250,22 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from in_batches(rows(), ["rid", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.string()], 2000)
 
 
+def texts_of_keys(keyed: DataFrame, runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``runs`` (one for each key) with the text of their key, each once, however often its row is repeated.
+
+    ``classes`` (written) says how many rows a key may have. Keys with over a thousandth of all rows are few: their rows are
+    looked up where they are, and repeated ones go before they are dealt out.
+    """
+    limit = max(1, (classes.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    hot = F.broadcast(classes.where(F.col("copies") > limit).select("key"))
+    if hot.isEmpty():
+        return keyed.join(runs, "key").dropDuplicates(["key"]).drop("key")
+    runs = materialise(runs, "runs")
+    first = keyed.join(hot, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(runs, "key")
+    others = keyed.join(hot, "key", "left_anti").join(runs, "key").dropDuplicates(["key"])
+    return others.unionByName(first).drop("key")
+
+
 def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all documents: doc_id, rid, n_words, sha; those that lose words: rid, n_removed, kept)."""
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
@@ -262,7 +278,7 @@ def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialise(skew_join(anchors, twice, "a").drop("n").join(classes.select("rid"), "rid", "left_semi"), "shared")
     recurring = shared.groupBy("a").agg(F.count("*").alias("n"), F.min("rid").alias("owner")).where("n > 1")
     runs = skew_join(shared, materialise(recurring, "recurring"), "a").groupBy("rid").agg(F.collect_list(F.struct("i", "j", "owner")).alias("runs")).join(classes.select("rid", "key", "copies"), "rid")
-    candidates = materialise(keyed.select("key", "text").join(runs, "key").drop("key"), "candidates")
+    candidates = materialise(texts_of_keys(keyed.select("key", "text"), runs, classes), "candidates")
     windows = candidates.mapInArrow(candidate_hashes, "w long, v long, rid long")
     confirmed = windows.groupBy("w", "v").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n > 1")
     lent = materialise(confirmed.groupBy("rid").agg(F.collect_list("w").alias("lent")), "lent")
