@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_slices, texts_of
 
+SALT_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -175,17 +176,20 @@ def placements(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, salts: int = 256) -> DataFrame:
     """Pieces of all documents with sequence_id and offset. Only counts by length (``capacity`` of them at most) come to the driver.
 
-    A rank is counted within (length, salt) and moved by the counts of the salts before, so that one frequent length is no single group.
+    A rank is counted within (length, salt) and moved by the counts of the salts before, so that one frequent length is no single group;
+    salts go round by row, whatever the ids, and there is one for each ``SALT_ROWS`` pieces, ``salts`` at least.
     """
     spark = docs.sparkSession
     cut = docs.select("doc_id", "text").mapInArrow(lambda batches: cut_pieces(batches, tokenizer, capacity, end_id), PIECES)
-    pieces = materialise(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
+    pieces = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    salts = max(salts, pieces.count() // SALT_ROWS)
+    pieces = pieces.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
     by_salt = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = placements(plan_sequences(counts, capacity))
     places = spark.createDataFrame(plan, "length long, rank0 long, ranks long, sequence0 long, step int, offset long").drop("step")
     before = by_salt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = pieces.withColumn("inside", inside).join(before, ["length", "salt"]).withColumn("rank", F.col("inside") + F.col("before"))
     p = F.broadcast(places.withColumnRenamed("length", "of"))
     at = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("ranks"))
