@@ -8,7 +8,7 @@ not held out (``SAMPLE`` documents and ``SAMPLE_BYTES`` of text, those with the
 
 Nulls and edges: an empty or null text scores by the network's answer to zero features; rows with a null label teach nothing,
 a repeated label row teaches once for each; without labels of both kinds every text scores the share of 1 (0.5 without any),
-so that a filter keeps what it knows nothing about; repeated rows are scored each for itself; an empty table gives an empty table.
+so that a filter keeps what it knows nothing about; repeated rows are scored each for itself; an empty table gives an empty table; other columns are left alone and may have any names.
 """
 
 from __future__ import annotations
@@ -204,12 +204,13 @@ def texts_of_sample(docs: DataFrame, drawn: DataFrame, most: int, most_bytes: in
     """Texts and labels of the rows that ``drawn`` (id, label; few) names: at most ``most`` different ones, and ``most_bytes`` of text.
 
     Rows are taken in the order of a hash of id and text, so that reruns agree, also where an id stands on several texts.
-    Sizes are looked at first, and only the texts that are taken come to the driver.
+    Sizes are looked at first, and only the texts that are taken come to the driver. A text of over a sixteenth of ``most_bytes`` is
+    passed over, so that it does not take the place of all others.
     """
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
     keyed = rows.select("id", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.xxhash64("id", "key"), F.col("id"), F.col("key"), F.col("label")]
-    some = keyed.select("id", "label", "key", F.octet_length("text").alias("bytes")).distinct().orderBy(*order).limit(most)
+    some = keyed.select("id", "label", "key", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= most_bytes // 16).distinct().orderBy(*order).limit(most)
     upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # ``most`` rows
     taken = some.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("id", "label", "key")
     got = keyed.join(F.broadcast(taken), ["id", "label", "key"]).dropDuplicates(["id", "label", "key"]).collect()
