@@ -251,7 +251,7 @@ def without_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     keyed = docs.where(has_words).select(F.struct(*docs.columns).alias("doc"), id_key(F.xxhash64("text")))
     found = skew_join(keyed, kept, "id_key")
-    # a row alone of its id and text passes; of rows that may repeat one is taken, the first that each task has and then of those
+    # a row alone of its id and text passes; of rows that may repeat the first by its columns is taken, in each task and then of those
     once = found.where("n = 1").select("doc")
-    repeated = found.where("n > 1").groupBy("id_key").agg(F.first("doc").alias("doc")).select("doc")
+    repeated = found.where("n > 1").groupBy("id_key").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
     return once.unionByName(repeated).select("doc.*").unionByName(docs.where(~has_words))
