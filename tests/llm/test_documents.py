@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import context_mixing, near_dedup, packing, quality, source_mixing, substring_dedup, toxicity
 from lodestone.llm.queries import tokenizer_path
@@ -422,3 +423,37 @@ def test_hot_rows_everywhere(spark):
     assert sorted((str(r.doc_id), r.n_words, r.kept_sha256) for r in substring_dedup.removal_table(docs).collect()) == want
     kept = collections.Counter(t for _, t in substring_dedup.without_repeats(docs).collect())
     assert kept == collections.Counter(None if r[1] is None else " ".join(k) for r, (_, _, k) in zip(rows, removed(rows), strict=True))
+
+
+def test_one_oversized_text_does_not_empty_the_sample(spark):
+    docs = spark.createDataFrame([(i, "word " * (5000 if i == 3 else 5)) for i in range(20)], "doc_id long, text string")
+    drawn = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, label int")
+    texts, y = quality.texts_of_sample(docs, drawn, 100, 20_000)
+    assert len(texts) == len(y) == 19 and max(map(len, texts)) < 100
+
+
+def test_a_row_repeated_very_often(spark):
+    """A third of all rows are one row: it loses all its words, the others theirs, and its text goes once to the automata."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = word(60)
+    rows = [(i, " ".join(word(40) + (shared if i % 5 == 0 else []) + word(40))) for i in range(60)] + [(7, " ".join(word(30) + shared))] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.removal_table(docs).collect())
+    assert got == sorted([(i, 80 + 60 * (i % 5 == 0), 60 * (i % 5 == 0)) for i in range(60)] + [(7, 90, 90)] * 30)
+    keyed = docs.select(substring_dedup.row_key().alias("key"), "text")
+    classes = keyed.groupBy("key").agg(F.count("*").alias("copies"))
+    assert substring_dedup.texts_of_keys(keyed, keyed.select("key").distinct(), classes).count() == 61
+    assert substring_dedup.texts_of_keys(keyed, keyed.select("key").distinct(), classes.withColumn("copies", F.lit(1))).count() == 61
+
+
+def test_rows_without_ids_are_packed_evenly(spark):
+    """Null ids of one length stand in all salts, and every sequence is full without a gap."""
+
+    docs = spark.createDataFrame([(None, "the same few words")] * 3000 + [(1, "the same few words")] * 3000, "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path(), capacity=64).toPandas()
+    assert len(got) == 6000 and got.length.nunique() == 1
+    n = int(got.length[0])
+    assert sorted(got.offset.value_counts().to_dict()) == list(range(0, 64 // n * n, n)) and got.sequence_id.nunique() == -(-6000 // (64 // n))

@@ -204,7 +204,7 @@ def test_a_mined_rule_blocks(spark):
             assert needs <= tokens[r.page_id]
             has = [i for i, t in tokens.items() if needs <= t]
             own, other = (sum((label[i] == r.verdict) == yes for i in has) / sum((label[i] == r.verdict) == yes for i in held) for yes in (True, False))
-            assert abs(own / (own + other) - r.mined_confidence) < 1e-6 and r.mined_confidence >= 0.9
+            assert abs(own / (own + other) - r.mined_confidence) < 1e-6 and r.mined_confidence >= 0.8
     blocked = [i for i in got if not got[i].rule and got[i].verdict == "block"]
     assert all("spam" in urls[i] for i in blocked)
 
