@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, tokens
@@ -34,3 +34,24 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 def search_rank(confidence: Column, links: Column) -> Column:
     """0.70 of the confidence and 0.30 of up to ten links, held to 0..1, four places."""
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.7 * confidence + 0.3 * F.least(links, F.lit(10)) / 10)), 4)
+
+
+def write_index(rows: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+    """Posting rows (token, key, n_tokens) of all rows, in folders by the token's hash: a search reads those of its tokens only."""
+    words = rows.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    each = words.select(F.explode("words").alias("token"), "key", F.size("words").alias("n_tokens"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    each.withColumn("bucket", bucket).repartition(buckets, "bucket", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("bucket").parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, query_id: str, words: str, limit: int = 10, buckets: int = 64) -> DataFrame:
+    """(query_id, rank, key, score): the ``limit`` best rows (50 at most) of each query, ties by key, from posting rows.
+
+    Scores are those of ``search``. A pair of a query and a row is formed only where they share a token, and counted before it is ranked.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(words).alias("words")).where(F.size("words") > 0)
+    each = asked.select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    shared = index.join(each, ["bucket", "token"]).groupBy("query_id", "key").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("n_tokens").alias("n_tokens"))
+    scored = shared.select("query_id", "key", (F.col("n") / F.greatest("n_words", "n_tokens")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= min(limit, 50)).select("query_id", "rank", "key", "score")
