@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contents as C
 from . import scan as S
 from ..sources.shared import kept
+from .graph import union_of
 
 
 def outline(rows: DataFrame, group: str, node: str, level: str, parts: int | None = None) -> DataFrame:
@@ -22,6 +23,59 @@ def outline(rows: DataFrame, group: str, node: str, level: str, parts: int | Non
     return S.scan(S.scan(dealt, S.Nesting()), S.Closing(), backward=True, of=dealt).drop("_group")
 
 
+def node_ids(tree: DataFrame, group: str, number: str, scheme: str = "1", digits: int = 16) -> DataFrame:
+    """``tree`` (from ``outline``, with a column of printed numbers) with ``node_id``, which follows from what a heading is and where it lies, not from its place in the text.
+
+    An id is the group and the first digits of a SHA-256 of scheme, group, depth, the parent's id, and the number, or for a
+    heading without one its place among its parent's headings without one. Ids are made a depth at a time.
+    """
+    root = F.concat_ws(":", F.col(group), F.substring(F.sha2(F.concat_ws("|", F.lit("dst-node-id"), F.lit(scheme), F.col(group), F.lit("0"), F.lit("ROOT"), F.lit("root")), 256), 1, digits))
+    plain = (F.coalesce(F.col(number), F.lit("")) == "").cast("int")
+    before = F.sum(plain).over(Window.partitionBy(group, "parent").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    mark = F.when(plain == 0, F.concat(F.lit("numbered:"), F.col(number))).otherwise(F.concat(F.lit("unnumbered:"), F.coalesce(before, F.lit(0)).cast("string")))
+    rows = kept(tree.withColumn("_mark", mark))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    of = lambda parent: F.concat_ws(":", F.col(group), F.substring(F.sha2(F.concat_ws("|", F.lit("dst-node-id"), F.lit(scheme), F.col(group), F.col("depth").cast("string"), parent, F.col("_mark")), 256), 1, digits))
+    done = [kept(rows.where("depth = 1").withColumn("node_id", of(root)))]
+    for depth in range(2, deepest + 1):
+        above = done[-1].select(F.col(group).alias("_g"), F.col("node").alias("parent"), F.col("node_id").alias("_above"))
+        here = rows.where(F.col("depth") == depth).join(above, "parent").where(F.col(group).eqNullSafe(F.col("_g")))
+        done.append(kept(here.withColumn("node_id", of(F.col("_above"))).select(*done[0].columns)))
+    return union_of(done).drop("_mark")
+
+
+def sequences(entries: DataFrame, owner: list[str], page: str, position: str, given: str, parts: int | None = None) -> DataFrame:
+    """``entries`` (headings and content of their owners) with ``nth``, their place under their owner: by page, those without one last, then position, then as ``given``."""
+    keyed = entries.withColumn("_owner", F.struct(*owner)).withColumn("_page", F.coalesce(F.col(page).cast("double"), F.lit(float("inf"))))
+    return S.scan(S.in_ranges(keyed, "_owner", "_page", position, given, parts=parts), S.Counted()).drop("_group", "_owner", "_page")
+
+
+def bodies(lines: DataFrame, group: str, node: str, text: str, heading: Column, left_out: Column | None = None, parts: int | None = None) -> DataFrame:
+    """(group, node, n_lines, body): for each heading line the lines from it to the next heading, joined by blanks, without those ``left_out``.
+
+    Lines before a group's first heading belong to none; a heading without lines has an empty body.
+    """
+    rows = lines.withColumn("node", F.col(node).cast("long")).withColumn("_text", F.col(text)).withColumn("goes_on", ~F.coalesce(heading, F.lit(False))).withColumn("_out", F.lit(False) if left_out is None else F.coalesce(left_out, F.lit(False)))
+    held = S.scan(S.in_ranges(rows.select(group, "node", "_text", "goes_on", "_out"), group, "node", parts=parts), S.Chain())
+    line = F.when(F.col("goes_on") & ~F.col("_out"), F.struct("node", "_text"))
+    found = held.groupBy(group, "head").agg(F.bool_or(~F.col("goes_on") & (F.col("node") == F.col("head"))).alias("_is"), F.array_sort(F.collect_list(line)).alias("_lines")).where("_is")
+    return found.select(group, F.col("head").alias("node"), F.size("_lines").cast("long").alias("n_lines"), F.array_join(F.transform("_lines", lambda x: x["_text"]), " ").alias("body"))
+
+
+def content_regions(regions: DataFrame, book: str, page: str, rank: str, box: str, least: float = 0.7, cell: float = 50.0) -> DataFrame:
+    """``regions`` of books without those that a page's earlier ones overlap by ``least``, and without decoration: regions whose place, in whole points,
+    comes on a third of the book's pages, on two at least. Books of fewer than three pages stay as they are."""
+    n = regions.groupBy(book).agg(F.count_distinct(page).alias("_pages"))
+    known = regions.join(n, book)
+    paged = known.where("_pages >= 3").withColumn("_page", F.struct(book, page))
+    once = paged.join(suppressed(paged.select("_page", rank, box), "_page", rank, box, least, cell).withColumnRenamed("loser", rank), rank, "left_anti")
+    place = F.struct(*(F.round(F.col(f"{box}.{c}")).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    held = kept(once.withColumn("_place", place))
+    often = held.groupBy(book, "_place").agg(F.count("*").alias("_n"), F.first("_pages").alias("_pages")).where(F.col("_n") >= F.greatest(F.lit(2), F.floor(F.col("_pages") / 3)))
+    stay = held.join(often.select(book, "_place"), [book, "_place"], "left_anti").select(*regions.columns)
+    return stay.unionByName(known.where("_pages < 3").select(*regions.columns))
+
+
 def numbered_headings(rows: DataFrame, group: str, node: str, number: str, size_ratio: Column, bold: Column, parts: int | None = None) -> DataFrame:
     """Rows that are headings of a numbered sequence: set larger (1.08) or bold, and numbered above all headings taken before at their depth.
 

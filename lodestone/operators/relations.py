@@ -17,6 +17,34 @@ def edges(rows: DataFrame, kind: str, source_type: str, source: Column, target_t
     return out.withColumn("id", make_id(F.concat_ws("_", "type", "source_type", "source_id", "target_type", "target_id")))
 
 
+# What an item of a registry is to the concepts it names: its type, the relationship, and whether the concept is the source.
+CONCEPT_RELATIONSHIPS = (
+    ("definitions", "definition", "has_definition", True),
+    ("glossary", "glossary_entry", "explains", False),
+    ("glossary", "glossary_entry", "described_by", True),
+    ("equations", "equation", "uses_concept", False),
+    ("figures", "figure", "illustrates", False),
+    ("diagrams", "diagram", "illustrates", False),
+    ("tables", "table", "illustrates", False),
+    ("activities", "activity", "teaches", False),
+    ("topics", "topic", "contains", False),
+)
+
+
+def concept_relationships(items: DataFrame) -> DataFrame:
+    """Relationship rows of items (registry, item_id, concept_ids) with the concepts they name, in one pass over them.
+
+    Items without an id, null or empty concept ids, and registries that have no relationship give none; a repeated relationship is one.
+    """
+    kinds = F.array(*(F.struct(F.lit(r).alias("registry"), F.lit(t).alias("item_type"), F.lit(k).alias("type"), F.lit(c).alias("from_concept")) for r, t, k, c in CONCEPT_RELATIONSHIPS))
+    each = items.select("registry", F.col("item_id").cast("string").alias("item_id"), F.explode("concept_ids").alias("concept_id")).withColumn("concept_id", F.col("concept_id").cast("string"))
+    each = each.where("item_id <> '' and concept_id <> ''").withColumn("k", F.explode(F.filter(kinds, lambda x: x["registry"] == F.col("registry"))))
+    pick = lambda a, b: F.when(F.col("k.from_concept"), a).otherwise(b)
+    concept = F.lit("concept")
+    out = each.select("k.type", pick(concept, F.col("k.item_type")).alias("source_type"), pick(F.col("concept_id"), F.col("item_id")).alias("source_id"), pick(F.col("k.item_type"), concept).alias("target_type"), pick(F.col("item_id"), F.col("concept_id")).alias("target_id")).distinct()
+    return out.withColumn("id", make_id(F.concat_ws("_", "type", "source_type", "source_id", "target_type", "target_id")))
+
+
 def cooccurrence(memberships: DataFrame, group: str, item: str, most: int = 500) -> DataFrame:
     """(a, b, n): in how many groups two items stand together, a < b.
 

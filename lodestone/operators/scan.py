@@ -56,8 +56,8 @@ def in_ranges(rows: DataFrame, group: str, *order: str, parts: int | None = None
     return kept_in_place(dealt.sortWithinPartitions("_group", *order))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward: bool) -> Iterator[tuple[str, pa.RecordBatch, dict[str, list]]]:
-    """Stretches of rows of one group, in order; backward, a task's rows are turned round as a whole."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward: bool) -> Iterator[tuple[str, pa.RecordBatch, dict]]:
+    """Stretches of rows of one group, in order, with their number ``_n`` and their columns as lists; backward, a task's rows are turned round as a whole."""
     if backward:
         table = pa.Table.from_batches(list(batches))
         batches = table.take(pa.array(range(len(table) - 1, -1, -1), pa.int64())).combine_chunks().to_batches(1 << 16)
@@ -68,7 +68,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward:
         for end, group in zip(ends.run_ends.to_pylist(), ends.values.to_pylist(), strict=True):
             part = batch.slice(at, end - at)
             at = end
-            yield group, part, {c: part.column(c).to_pylist() for c in columns}
+            yield group, part, {"_n": part.num_rows} | {c: part.column(c).to_pylist() for c in columns}
 
 
 def scan(ranged: DataFrame, rule: Rule, backward: bool = False, of: DataFrame | None = None) -> DataFrame:
@@ -265,6 +265,28 @@ class Chain(Rule):
         return summary.get("head", summary.get("first") if state is None else state)
 
 
+class Counted(Rule):
+    """The number of each row in its group, from 1."""
+
+    columns = ()
+    output = "nth long"
+
+    def start(self):
+        return 0
+
+    empty = start
+
+    def step(self, state, rows):
+        n = rows["_n"]
+        return state + n, {"nth": list(range(state + 1, state + n + 1))}
+
+    def extend(self, summary, rows):
+        return summary + rows["_n"]
+
+    def after(self, state, summary):
+        return state + summary
+
+
 class Listing(Rule):
     """Runs of entries with at most ``gap`` fillers between two: ``kind`` is 'entry', 'filler' or another that ends a run.
 

@@ -9,11 +9,12 @@ from ..operators import fingerprint as I
 from ..operators import layout as Y
 from ..operators import matching as M
 from ..operators import reach as R
+from ..operators import relations as N
 from ..operators import statistics as T
 from ..sources import builds as B
 from ..sources import lines as S
 from .base import Plans, quoted
-from .graph_plans import _TREE, tree
+from .graph_plans import _EDGE, _TREE, tree
 from .rule_plans import _LINES, folder
 
 P = Plans()
@@ -246,3 +247,70 @@ def committed_builds(t):
     B.commit_build(root, "b2", {"nodes": t("part").where("p_partkey % 2 = 0"), "edges": t("lineitem")})
     t("part").write.parquet(f"{root}/data/never/nodes")  # a writer that stopped before its manifest
     return B.committed(spark, root).select("build_id", "table_name", "n")
+
+
+_IDS = """g0 AS (SELECT doc_id, 'd' || doc_id AS g FROM (SELECT DISTINCT doc_id FROM tr)), mk AS (SELECT tr.*, 'd' || tr.doc_id AS g, CASE WHEN num <> '' THEN 'numbered:' || num ELSE 'unnumbered:' || (sum(CASE WHEN num = '' THEN 1 ELSE 0 END) OVER (PARTITION BY tr.doc_id, parent ORDER BY ordinal) - 1) END AS mark
+  FROM (SELECT tr.*, CASE WHEN node % 3 = 0 THEN CAST(node AS VARCHAR) ELSE '' END AS num FROM tr) tr),
+ ids AS (SELECT g, node, depth, g || ':' || substr(sha256('dst-node-id|1|' || g || '|1|' || g || ':' || substr(sha256('dst-node-id|1|' || g || '|0|ROOT|root'), 1, 16) || '|' || mark), 1, 16) AS node_id FROM mk WHERE parent IS NULL
+  UNION ALL SELECT mk.g, mk.node, mk.depth, mk.g || ':' || substr(sha256('dst-node-id|1|' || mk.g || '|' || mk.depth || '|' || ids.node_id || '|' || mark), 1, 16) FROM ids JOIN mk ON mk.g = ids.g AND mk.parent = ids.node)"""
+
+
+@P.add(f"""WITH RECURSIVE {_LINES}, h AS (SELECT doc_id AS g, CAST(line_idx AS BIGINT) AS node, CASE WHEN n <= 3 THEN 1 WHEN n <= 7 THEN 2 WHEN n <= 12 THEN 3 END AS level
+ FROM (SELECT *, len(string_split(line, ' ')) AS n FROM l) WHERE n <= 12), tr AS (WITH RECURSIVE {tree_sql(3, 'doc_id')}), {_IDS} SELECT g AS chapter_id, node, node_id FROM ids""")
+def heading_ids(t):
+    """Ids of the headings of documents by what they are and where they lie; every third line has a printed number."""
+    n = F.size(F.split("line", " "))
+    lines = S.text_lines(t("documents"), "doc_id", "text").withColumn("level", F.when(n <= 3, 1).when(n <= 7, 2).when(n <= 12, 3)).withColumn("chapter_id", F.concat(F.lit("d"), "doc_id"))
+    tree_ = Y.outline(lines, "chapter_id", "line_idx", "level").withColumn("number", F.when(F.col("node") % 3 == 0, F.col("node").cast("string")))
+    return Y.node_ids(tree_, "chapter_id", "number").select("chapter_id", "node", "node_id")
+
+
+@P.add(f"""WITH {_ITEMS} SELECT l_returnflag, l_suppkey, node, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END, CASE WHEN l_partkey % 7 <> 0 THEN l_orderkey // 3 END, l_quantity, node) AS nth FROM i""")
+def content_sequence(t):
+    """Content in reading order under its owner (return flag and supplier); what has no page comes last."""
+    rows = items(t).select("l_returnflag", "l_suppkey", "node", F.when(F.col("l_partkey") % 7 != 0, F.floor(F.col("l_orderkey") / 3)).alias("page"), "l_quantity")
+    return Y.sequences(rows, ["l_returnflag", "l_suppkey"], "page", "l_quantity", "node").select("l_returnflag", "l_suppkey", "node", "nth")
+
+
+@P.add(f"""WITH {_LINES}, k AS (SELECT l.doc_id, line_idx, line, lang, len(string_split(line, ' ')) <= 3 AS is_heading FROM l JOIN documents d ON d.doc_id = l.doc_id),
+ often AS (SELECT lang, line FROM (SELECT lang, line, count(DISTINCT doc_id) AS n, any_value(size) AS size FROM k JOIN (SELECT lang AS lg, count(DISTINCT doc_id) AS size FROM k GROUP BY 1) ON lg = lang GROUP BY 1, 2) WHERE n >= greatest(3, size // 2)),
+ s AS (SELECT k.*, last_value(CASE WHEN is_heading THEN line_idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_idx) AS head, EXISTS (SELECT 1 FROM often o WHERE o.lang = k.lang AND o.line = k.line) AS gone FROM k)
+ SELECT doc_id, CAST(head AS BIGINT) AS node, count(*) FILTER (WHERE NOT is_heading AND NOT gone) AS n_lines, md5(coalesce(string_agg(line, ' ' ORDER BY line_idx) FILTER (WHERE NOT is_heading AND NOT gone), '')) AS body_md5 FROM s WHERE head IS NOT NULL GROUP BY 1, 2""")
+def section_bodies(t):
+    """The lines under each heading (a line of three words or fewer) of documents, without those that repeat in half of a language's texts."""
+    lines = S.text_lines(t("documents"), "doc_id", "text").join(t("documents").select("doc_id", "lang"), "doc_id")
+    often = S.repeated_lines(lines, "lang", "doc_id", "line").select("lang", "line", F.lit(True).alias("gone"))
+    marked = lines.join(often, ["lang", "line"], "left")
+    found = Y.bodies(marked, "doc_id", "line_idx", "line", F.size(F.split("line", " ")) <= 3, F.col("gone"))
+    return found.select("doc_id", "node", "n_lines", F.md5("body").alias("body_md5"))
+
+
+REGISTRIES = ("definitions", "glossary", "equations", "figures", "diagrams", "tables", "activities", "topics", "other")
+_REGISTRY = f"list_extract([{', '.join(quoted(r) for r in REGISTRIES)}], CAST(l_partkey % {len(REGISTRIES)} + 1 AS INT))"
+_REL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS type, {quoted('concept') if back else quoted(item)} AS source_type, {'c' if back else 'i'} AS source_id, {quoted(item) if back else quoted('concept')} AS target_type, {'i' if back else 'c'} AS target_id FROM x WHERE registry = '{registry}'" for registry, item, kind, back in N.CONCEPT_RELATIONSHIPS
+)
+
+
+@P.add(f"WITH x AS (SELECT DISTINCT {_REGISTRY} AS registry, CAST(l_partkey AS VARCHAR) AS i, CAST(l_suppkey AS VARCHAR) AS c FROM lineitem), r AS ({_REL}) SELECT *, substr({_EDGE}, 1, 60) || '-' || substr(sha1({_EDGE}), 1, 6) AS id FROM r")
+def concept_relationships(t):
+    """Relationships of the items of eight registries with the concepts they name."""
+    registry = F.element_at(F.array(*[F.lit(r) for r in REGISTRIES]), (F.col("l_partkey") % len(REGISTRIES) + 1).cast("int"))
+    rows = t("lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(F.collect_set("l_suppkey").alias("concept_ids"))
+    return N.concept_relationships(rows.withColumn("l_partkey", F.col("item_id")).withColumn("registry", registry))
+
+
+@P.add(f"""WITH RECURSIVE {_ITEMS}, b AS (SELECT o_custkey AS book, l_orderkey AS page, node, floor(l_quantity / 25) * 30 AS x0, floor(l_tax * 100 / 5) * 40 AS y0, floor(l_quantity / 25) * 30 + 60 AS x1, floor(l_tax * 100 / 5) * 40 + 60 + l_linenumber AS y1 FROM i JOIN orders ON o_orderkey = l_orderkey),
+ p AS (SELECT book, count(DISTINCT page) AS pages FROM b GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY node) AS k FROM b),
+ f AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(n BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM k UNION ALL SELECT f.page, f.k + 1, CASE WHEN len(list_filter(kept, lambda o: round(greatest(0.0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0.0, least(o.y1, k.y1) - greatest(o.y0, k.y0))
+   / ((o.x1 - o.x0) * (o.y1 - o.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(0.0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0.0, least(o.y1, k.y1) - greatest(o.y0, k.y0))), 9) >= 0.7)) > 0 THEN kept
+   ELSE list_append(kept, {{'n': CAST(k.node AS BIGINT), 'x0': CAST(k.x0 AS DOUBLE), 'y0': CAST(k.y0 AS DOUBLE), 'x1': CAST(k.x1 AS DOUBLE), 'y1': CAST(k.y1 AS DOUBLE)}}) END FROM f JOIN k ON k.page = f.page AND k.k = f.k + 1),
+ s AS (SELECT page, unnest(list_transform(arg_max(kept, k), lambda o: o.n)) AS node FROM f GROUP BY 1), o AS (SELECT b.*, pages FROM b JOIN s ON s.node = b.node JOIN p ON p.book = b.book WHERE pages >= 3),
+ r AS (SELECT book, x0, y0, x1, y1 FROM o GROUP BY ALL HAVING count(*) >= greatest(2, any_value(pages) // 3))
+ SELECT book, node FROM o WHERE (book, x0, y0, x1, y1) NOT IN (SELECT book, x0, y0, x1, y1 FROM r) UNION ALL SELECT b.book, node FROM b JOIN p ON p.book = b.book WHERE pages < 3""")
+def content_regions(t):
+    """Regions of a customer's pages (orders) without overlapping ones and decoration that comes again at its place."""
+    x0, y0 = F.floor(F.col("l_quantity") / 25) * 30, F.floor(F.col("l_tax") * 100 / 5) * 40
+    box = F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 60).cast("double").alias("x1"), (y0 + 60 + F.col("l_linenumber")).cast("double").alias("y1"))
+    rows = items(t).join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("book"), F.col("l_orderkey").alias("page"), "node", box.alias("box"))
+    return Y.content_regions(rows, "book", "page", "node", "box").select("book", "node")
