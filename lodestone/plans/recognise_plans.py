@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import recognise as R
 from .base import Plans, quoted
-from .text_plans import filled, filled_sql
+from .text_plans import LINES_SQL, filled, filled_sql, lines
 
 P = Plans()
 
@@ -59,25 +59,31 @@ _SQL = {
     "figure_with_caption": f"CASE WHEN {_says(1, V.FIGURE_CAPTION)} THEN 0.75 END",
     "generic_visual": "CASE WHEN len(b) > 0 THEN 0.5 END",
 }
-_BLOCK = f"(SELECT p_partkey, {_LINES} AS b FROM part)"
-_MATCHES = " UNION ALL ".join(f"SELECT p_partkey, '{name}' AS recognizer, {i} AS nth, round(CAST({sql} AS DOUBLE), 4) AS confidence FROM {_BLOCK}" for i, (name, sql) in enumerate(_SQL.items()))
+_STRIPPED = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_BLOCK = f"""(SELECT 'p' || p_partkey AS block_id, {_LINES} AS b FROM part UNION ALL SELECT 'd' || doc_id, {_STRIPPED} FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT 'c' || conv_id || '-' || turn, {_STRIPPED} FROM conversations WHERE text IS NOT NULL)"""
+_MATCHES = " UNION ALL ".join(f"SELECT block_id, '{name}' AS recognizer, {i} AS nth, round(CAST({sql} AS DOUBLE), 4) AS confidence FROM {_BLOCK}" for i, (name, sql) in enumerate(_SQL.items()))
 
 
 def blocks(t):
-    return t("part").select("p_partkey", R.stripped(F.split(filled(BLOCKS, F.col("p_partkey"), n=F.col("p_name"), k=F.col("p_size")), r"\|")).alias("b"))
+    """The lines of every document and conversation turn, and blocks made of part names, which have the shapes that those lack."""
+    named = lambda a, *c: F.concat(F.lit(a), *c).alias("block_id")
+    made = t("part").select(named("p", "p_partkey"), R.stripped(F.split(filled(BLOCKS, F.col("p_partkey"), n=F.col("p_name"), k=F.col("p_size")), r"\|")).alias("b"))
+    text = lambda df, key: df.where("text is not null").select(key, R.stripped(F.split("text", "\n")).alias("b"))
+    return made.union(text(t("documents"), named("d", "doc_id"))).union(text(t("conversations"), named("c", "conv_id", F.lit("-"), "turn")))
 
 
-@P.add(f"SELECT p_partkey, recognizer, confidence FROM ({_MATCHES}) WHERE confidence IS NOT NULL")
+@P.add(f"SELECT block_id, recognizer, confidence FROM ({_MATCHES}) WHERE confidence IS NOT NULL")
 def recognised_blocks(t):
     """Every recogniser that recognises a block, with its confidence."""
-    return blocks(t).select("p_partkey", F.inline(R.matched(R.block_recognisers(F.col("b")))))
+    return blocks(t).select("block_id", F.inline(R.matched(R.block_recognisers(F.col("b")))))
 
 
-@P.add(f"""SELECT p_partkey || '-eo' AS object_id, arg_min(recognizer, {{'c': -confidence, 'n': nth}}) AS recognizer, max(confidence) AS confidence, max(confidence) < 0.6 AS below_floor FROM ({_MATCHES}) WHERE confidence IS NOT NULL GROUP BY p_partkey""")
+@P.add(f"""SELECT block_id || '-eo' AS object_id, arg_min(recognizer, {{'c': -confidence, 'n': nth}}) AS recognizer, max(confidence) AS confidence, max(confidence) < 0.6 AS below_floor FROM ({_MATCHES}) WHERE confidence IS NOT NULL GROUP BY block_id""")
 def recognised_objects(t):
     """One object of each block: its surest recogniser, the first of equal ones, and whether that is below the floor."""
-    best = blocks(t).select("p_partkey", R.best_match(R.matched(R.block_recognisers(F.col("b")))).alias("m")).where("m is not null")
-    return best.select(F.concat(F.col("p_partkey").cast("string"), F.lit("-eo")).alias("object_id"), "m.recognizer", "m.confidence", (F.col("m.confidence") < 0.6).alias("below_floor"))
+    best = blocks(t).select("block_id", R.best_match(R.matched(R.block_recognisers(F.col("b")))).alias("m")).where("m is not null")
+    return best.select(F.concat("block_id", F.lit("-eo")).alias("object_id"), "m.recognizer", "m.confidence", (F.col("m.confidence") < 0.6).alias("below_floor"))
 
 
 HEADINGS = ("1.", "0", "{k}", "1.2.{k}", "IV", "iv.", "X)", "A", "(b)", "c)", "Chapter {k}", "Unit IV", "Lesson xyz", "The Living World", "Our Environment and the Sea of Stars", "plain words here", "1..2", "MMMM", "Structure: ", "", " 12 ", "Unit: 4.", "C", "DNA and RNA", "Ends with a Stop.", "1.2.3.4.5.6.7.", "12a", "Too Many Words In This One Title", "१२")
@@ -92,30 +98,32 @@ _HEADING_SQL = {
     "alphabetic": ("CASE WHEN regexp_matches(s, '^[A-Za-z]$') THEN 0.55 WHEN regexp_matches(s, '^\\(?[a-zA-Z][).]$') THEN 0.85 END", "3"),
     "chapter_title": (f"CASE WHEN {_TITLE} THEN 0.7 * CASE WHEN len(w) <= 3 THEN 1.0 ELSE greatest(0.6, 1.0 - 0.1 * (len(w) - 3)) END * 0.9 END", "1"),
 }
-_HEADING = f"(SELECT *, string_split(s, ' ') AS w, string_split_regex(regexp_replace(s, '[\\s:.\\-–—]+$', ''), '[.\\-]') AS p, regexp_extract(s, '^([A-Za-z]+)([.)])?$', 1) AS r FROM (SELECT o_orderkey, trim(regexp_replace({filled_sql(HEADINGS, 'o_orderkey', k='o_custkey')}, '\\s+', ' ', 'g')) AS s FROM orders))"
-_HEADINGS = " UNION ALL ".join(f"SELECT o_orderkey, '{n}' AS recognizer, {V.HEADING_PRIORITY[n]} AS priority, round(CAST({c} AS DOUBLE), 4) AS confidence, {level} AS level FROM {_HEADING}" for n, (c, level) in _HEADING_SQL.items())
+_HEADING = f"(SELECT *, string_split(s, ' ') AS w, string_split_regex(regexp_replace(s, '[\\s:.\\-–—]+$', ''), '[.\\-]') AS p, regexp_extract(s, '^([A-Za-z]+)([.)])?$', 1) AS r FROM (SELECT line_id, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM (SELECT 'o' || o_orderkey AS line_id, {filled_sql(HEADINGS, 'o_orderkey', k='o_custkey')} AS s FROM orders UNION ALL {LINES_SQL})))"
+_HEADINGS = " UNION ALL ".join(f"SELECT line_id, '{n}' AS recognizer, {V.HEADING_PRIORITY[n]} AS priority, round(CAST({c} AS DOUBLE), 4) AS confidence, {level} AS level FROM {_HEADING}" for n, (c, level) in _HEADING_SQL.items())
 
 
 def headings(t):
-    return t("orders").select("o_orderkey", R.clean_heading(filled(HEADINGS, F.col("o_orderkey"), k=F.col("o_custkey"))).alias("s"))
+    """All lines of documents and conversations, and lines made of orders."""
+    made = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("line_id"), filled(HEADINGS, F.col("o_orderkey"), k=F.col("o_custkey")).alias("s"))
+    return made.union(lines(t)).select("line_id", R.clean_heading(F.col("s")).alias("s"))
 
 
-@P.add(f"SELECT o_orderkey, recognizer, confidence, CAST(level AS INT) AS level FROM ({_HEADINGS}) WHERE confidence IS NOT NULL")
+@P.add(f"SELECT line_id, recognizer, confidence, CAST(level AS INT) AS level FROM ({_HEADINGS}) WHERE confidence IS NOT NULL")
 def heading_matches(t):
     """All heading recognisers that recognise a line."""
-    return headings(t).select("o_orderkey", F.inline(R.heading_matches(F.col("s")))).drop("priority")
+    return headings(t).select("line_id", F.inline(R.heading_matches(F.col("s")))).drop("priority")
 
 
-@P.add(f"""SELECT o_orderkey, count(*) AS n_matches, arg_min(recognizer, priority) AS by_priority, arg_min(recognizer, {{'c': -confidence, 'p': priority}}) AS by_confidence, string_agg(recognizer, ',' ORDER BY confidence DESC, priority) AS all_matches
+@P.add(f"""SELECT line_id, count(*) AS n_matches, arg_min(recognizer, priority) AS by_priority, arg_min(recognizer, {{'c': -confidence, 'p': priority}}) AS by_confidence, string_agg(recognizer, ',' ORDER BY confidence DESC, priority) AS all_matches
  FROM ({_HEADINGS}) WHERE confidence >= 0.5 GROUP BY 1""")
 def heading_resolved(t):
     """What each strategy of conflict resolution makes of the matches over the threshold."""
     m = F.filter(R.heading_matches(F.col("s")), lambda r: r["confidence"] >= 0.5)
     ordered = F.array_sort(F.transform(F.col("m"), lambda r: F.struct((-r["confidence"]).alias("c"), r["priority"].alias("p"), r["recognizer"].alias("r"))))
-    rows = headings(t).select("o_orderkey", m.alias("m")).where(F.size("m") > 0).withColumn("o", ordered)
-    return rows.select("o_orderkey", F.size("m").cast("long").alias("n_matches"), F.col("m")[0]["recognizer"].alias("by_priority"), F.col("o")[0]["r"].alias("by_confidence"), F.array_join(F.transform("o", lambda r: r["r"]), ",").alias("all_matches"))
+    rows = headings(t).select("line_id", m.alias("m")).where(F.size("m") > 0).withColumn("o", ordered)
+    return rows.select("line_id", F.size("m").cast("long").alias("n_matches"), F.col("m")[0]["recognizer"].alias("by_priority"), F.col("o")[0]["r"].alias("by_confidence"), F.array_join(F.transform("o", lambda r: r["r"]), ",").alias("all_matches"))
 
 
-@P.add(f"SELECT o_orderkey, CASE WHEN regexp_matches(s, '[\\x{{0900}}-\\x{{097F}}]') THEN 'DEVANAGARI' WHEN regexp_matches(s, '^[0-9]+$') THEN 'ARABIC' WHEN {_ROMAN('s')} THEN 'ROMAN' ELSE 'NONE' END AS system FROM {_HEADING}")
+@P.add(f"SELECT line_id, CASE WHEN regexp_matches(s, '[\\x{{0900}}-\\x{{097F}}]') THEN 'DEVANAGARI' WHEN regexp_matches(s, '^[0-9]+$') THEN 'ARABIC' WHEN {_ROMAN('s')} THEN 'ROMAN' ELSE 'NONE' END AS system FROM {_HEADING}")
 def numbering_systems(t):
-    return headings(t).select("o_orderkey", R.numbering_system(F.col("s")).alias("system"))
+    return headings(t).select("line_id", R.numbering_system(F.col("s")).alias("system"))

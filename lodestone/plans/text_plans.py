@@ -95,7 +95,24 @@ def script_detect(t):
     return t("documents").select("doc_id", F.round(X.script_ratio(F.col("text"), "latin"), 4).alias("latin"), X.detect_script(F.col("text")).alias("script"))
 
 
-#: Sentences in which {n} stands for a name; every row takes one by its key.
+#: All lines of documents and of conversation turns, as they stand.
+LINES_SQL = """SELECT 'd' || doc_id || ':' || i AS line_id, x[i + 1] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+ UNION ALL SELECT 'c' || conv_id || '-' || turn || ':' || i, x[i + 1] FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM conversations)"""
+#: Their distinct words.
+WORDS_SQL = "SELECT DISTINCT split_part(line_id, ':', 1) || ':' || w AS line_id, w AS s FROM (SELECT line_id, unnest(string_split(s, ' ')) AS w FROM (" + LINES_SQL + "))"
+
+
+def lines(t):
+    each = lambda table, *key: t(table).select(F.concat(*key).alias("key"), F.posexplode(F.split("text", "\n")).alias("i", "s")).select(F.concat("key", F.lit(":"), "i").alias("line_id"), "s")
+    return each("documents", F.lit("d"), "doc_id").union(each("conversations", F.lit("c"), "conv_id", F.lit("-"), "turn"))
+
+
+def line_words(t):
+    each = lines(t).select(F.split_part("line_id", F.lit(":"), F.lit(1)).alias("key"), F.explode(F.split("s", " ")).alias("s"))
+    return each.distinct().select(F.concat("key", F.lit(":"), "s").alias("line_id"), "s")
+
+
+#: Sentences in which {n} stands for a name: the lines of the tables lack such shapes, so rows made of names stand beside them.
 DEFINING = ("By {n} we mean a thing.", "{N} is defined as a thing.", "It is called the {n}, and so on.", "{N} denotes a thing.", "No term in {n} here", "They are known as which.", "it is defined as {n}", "As {n} are referred to as 7 up", "{N} is defined as what is called a {n}; so it is")
 _NAMED = "upper(substr(p_name, 1, 1)) || substr(p_name, 2)"
 
@@ -118,40 +135,48 @@ def filled_sql(templates, key, **values):
 _FORMS = [V.DEFINED_FIRST, V.DEFINED_AFTER, V.DEFINED_DENOTES, V.DEFINED_BY_MEAN]
 
 
-@P.add(f"""SELECT p_partkey, CASE WHEN length(t) >= 2 AND NOT regexp_matches(t, '^\\d') AND lower(t) NOT IN ({", ".join(quoted(w) for w in V.TERM_STOP_WORDS)}) AND len(string_split_regex(t, '\\s+')) <= 6 THEN t END AS term
- FROM (SELECT p_partkey, coalesce({", ".join(f"nullif(trim(regexp_extract(s, {quoted(f)}, 1)), '')" for f in _FORMS)}) AS t FROM (SELECT p_partkey, {filled_sql(DEFINING, "p_partkey", n="p_name", N=_NAMED)} AS s FROM part))""")
+@P.add(f"""SELECT line_id, CASE WHEN length(t) >= 2 AND NOT regexp_matches(t, '^\\d') AND lower(t) NOT IN ({", ".join(quoted(w) for w in V.TERM_STOP_WORDS)}) AND len(string_split_regex(t, '\\s+')) <= 6 THEN t END AS term
+ FROM (SELECT line_id, coalesce({", ".join(f"nullif(trim(regexp_extract(s, {quoted(f)}, 1)), '')" for f in _FORMS)}) AS t FROM (SELECT 'p' || p_partkey AS line_id, {filled_sql(DEFINING, "p_partkey", n="p_name", N=_NAMED)} AS s FROM part UNION ALL {LINES_SQL}))""")
 def definition_terms(t):
-    """Terms of definitions, from sentences made of part names."""
+    """Terms of definitions in all lines, and in sentences made of part names."""
     named = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
-    return t("part").select("p_partkey", X.defined_term(filled(DEFINING, F.col("p_partkey"), n=F.col("p_name"), N=named)).alias("term"))
+    made = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("line_id"), filled(DEFINING, F.col("p_partkey"), n=F.col("p_name"), N=named).alias("s"))
+    return made.union(lines(t)).select("line_id", X.defined_term(F.col("s")).alias("term"))
 
 
 REFERRING = ("As shown in Table {p}, and see the figure {l}.{s}.", "Using the above formula for {p}; according to the previous definition.", "As discussed earlier, referring to figure {p}", "Table {p} and Fig. {s} say nothing", "from the  following equation, as explained above, see table", "see Figure {l} see figure {s}")
 _FOUND = ", ".join(f"list_transform(regexp_extract_all(s, {quoted(p)}), lambda x: {quoted(k + ': ')} || trim(x))" for k, p in V.CROSS_REFERENCES)
 
 
-@P.add(f"""SELECT l_orderkey, l_linenumber, array_to_string(flatten([{_FOUND}]), ',') AS refs FROM (SELECT l_orderkey, l_linenumber, {filled_sql(REFERRING, "l_suppkey", p="l_partkey", l="l_linenumber", s="l_suppkey")} AS s FROM lineitem)""")
+@P.add(f"""SELECT line_id, array_to_string(flatten([{_FOUND}]), ',') AS refs FROM (SELECT 'l' || l_orderkey || ':' || l_linenumber AS line_id, {filled_sql(REFERRING, "l_suppkey", p="l_partkey", l="l_linenumber", s="l_suppkey")} AS s FROM lineitem UNION ALL {LINES_SQL})""")
 def cross_references(t):
+    """References to other parts of a text in all lines, and in lines made of order lines."""
     s = filled(REFERRING, F.col("l_suppkey"), p=F.col("l_partkey"), l=F.col("l_linenumber"), s=F.col("l_suppkey"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.array_join(X.cross_references(s), ",").alias("refs"))
+    made = t("lineitem").select(F.concat(F.lit("l"), "l_orderkey", F.lit(":"), "l_linenumber").alias("line_id"), s.alias("s"))
+    return made.union(lines(t)).select("line_id", F.array_join(X.cross_references(F.col("s")), ",").alias("refs"))
 
 
 STEPS = ("Step {k}: heat it", "{k}. heat it", "b) heat it", "Firstly heat it", "then heat it", "Then, nothing", "finally it is done", "lastly {k}", "heat it next", "step it", "First-rate", "  next: {k}", "12 heat", "theneverything")
 
 
-@P.add(f"SELECT event_id, regexp_matches(s, {quoted(V.STEP_MARKER)}) AS is_step FROM (SELECT event_id, {filled_sql(STEPS, 'event_id', k='user_id')} AS s FROM events)")
+@P.add(f"SELECT line_id, regexp_matches(s, {quoted(V.STEP_MARKER)}) AS is_step FROM (SELECT 'e' || event_id AS line_id, {filled_sql(STEPS, 'event_id', k='user_id')} AS s FROM events UNION ALL {LINES_SQL})")
 def step_markers(t):
-    return t("events").select("event_id", X.is_step(filled(STEPS, F.col("event_id"), k=F.col("user_id"))).alias("is_step"))
+    """Which lines begin a step: all lines, and lines made of events."""
+    made = t("events").select(F.concat(F.lit("e"), "event_id").alias("line_id"), filled(STEPS, F.col("event_id"), k=F.col("user_id")).alias("s"))
+    return made.union(lines(t)).select("line_id", X.is_step(F.col("s")).alias("is_step"))
 
 
+#: A word's border is at no letter, whatever its script; in RE2 it is at ASCII letters only.
+_ASCII = "regexp_replace(s, '[À-ÖØ-öø-ɏ]', 'x', 'g')"
 CODE = ("if x == {k}:\n    return x", "def run{k}(x):\n  print(x)", "public static void main() {{ System.out.println({k}); }}", "const a = {k}; console.log(a)", "SELECT a FROM t WHERE b <> {k}", "#include <x.h>\nint y{k};", "begin\n repeat {k} end", "plain words {k}", "// a {k}\nclass A", "try { x = y } catch (e) { throw e }", "a <= {k} and b != 3", "import os\nfor i in x: do")
 
 
-@P.add(f"SELECT event_id, array_to_string(list_sort({kinds_sql('s', V.CODE_CONSTRUCTS)}), ',') AS constructs, coalesce(list_extract({kinds_sql('s', V.CODE_LANGUAGES)}, 1), 'other') AS code_language FROM (SELECT event_id, {filled_sql(CODE, 'event_id', k='user_id')} AS s FROM events)")
+@P.add(f"SELECT line_id, array_to_string(list_sort({kinds_sql('s', V.CODE_CONSTRUCTS)}), ',') AS constructs, coalesce(list_extract({kinds_sql('s', V.CODE_LANGUAGES)}, 1), 'other') AS code_language FROM (SELECT 'e' || event_id AS line_id, {filled_sql(CODE, 'event_id', k='user_id')} AS s FROM events UNION ALL SELECT line_id, {_ASCII} FROM ({LINES_SQL}) UNION ALL SELECT 'h' || page_id, {_ASCII} FROM (SELECT page_id, html AS s FROM pages))")
 def code_constructs(t):
-    """Constructs and the language of program text."""
+    """Constructs and the language of program text: of all lines and whole pages, and of texts made of events."""
     s = filled(CODE, F.col("event_id"), k=F.col("user_id"))
-    return t("events").select("event_id", F.array_join(X.code_constructs(s), ",").alias("constructs"), X.code_language(s).alias("code_language"))
+    made = t("events").select(F.concat(F.lit("e"), "event_id").alias("line_id"), s.alias("s")).union(lines(t)).union(t("pages").select(F.concat(F.lit("h"), "page_id"), "html"))
+    return made.select("line_id", F.array_join(X.code_constructs(F.col("s")), ",").alias("constructs"), X.code_language(F.col("s")).alias("code_language"))
 
 
 ROMANS = ("XIV", "IIX", "MCMXCIX", "iv", "", "MMMDCCCLXXXVIII", "MMMMCMXCIX", "VX", " xl ", "CDXLIV", "IIII", "D", "mmmm", "LXXX", "abc")
@@ -159,12 +184,12 @@ _DIGITS = "map {'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100, 'D': 500, 'M': 1000}
 _ROMAN = f"CAST(list_sum(list_transform(range(1, length(u) + 1), lambda i: {_DIGITS}[substr(u, i, 1)] * CASE WHEN coalesce({_DIGITS}[substr(u, i + 1, 1)], 0) > {_DIGITS}[substr(u, i, 1)] THEN -1 ELSE 1 END)) AS INT)"
 
 
-@P.add(f"""SELECT p_partkey, CASE WHEN u <> '' AND regexp_matches(u, '^M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$') THEN {_ROMAN} END AS value,
- CASE WHEN u <> '' AND regexp_matches(u, {quoted(V.ROMAN_3999)}) THEN {_ROMAN} END AS value_3999 FROM (SELECT p_partkey, upper(trim({filled_sql(ROMANS, 'p_partkey')})) AS u FROM part)""")
+@P.add(f"""SELECT line_id, CASE WHEN u <> '' AND regexp_matches(u, '^M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$') THEN {_ROMAN} END AS value,
+ CASE WHEN u <> '' AND regexp_matches(u, {quoted(V.ROMAN_3999)}) THEN {_ROMAN} END AS value_3999 FROM (SELECT line_id, upper(trim(s)) AS u FROM (SELECT 'p' || p_partkey AS line_id, {filled_sql(ROMANS, 'p_partkey')} AS s FROM part UNION ALL {WORDS_SQL}))""")
 def roman_numerals(t):
     """Strict Roman numerals up to 4999 and up to 3999; others have no value."""
-    s = filled(ROMANS, F.col("p_partkey"))
-    return t("part").select("p_partkey", X.roman(s).alias("value"), X.roman_3999(s).alias("value_3999"))
+    made = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("line_id"), filled(ROMANS, F.col("p_partkey")).alias("s"))
+    return made.union(line_words(t)).select("line_id", X.roman(F.col("s")).alias("value"), X.roman_3999(F.col("s")).alias("value_3999"))
 
 
 NUMBERS = ("1.2.{k}", "12", " {k} ", "१२", "(b)", "C.", "a)", "1..2", "2-1-a", "IV", "1.2", "1.2.50.{k}", "", "1.10.{k}", "क", "1.A.2", "12a")
