@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import integrity as I
 from .lookup import in_order
-from .reach import strong_components
+from .reach import reaching, strong_components
 from .scan import Rule, in_ranges, scan
 
 # What a unit must have, and its weight.
@@ -204,3 +204,14 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, types: Sequence[str], stric
         rings = strong_components(edges.select("source", "target")).groupBy("component").agg(F.count("*").alias("n"))
         found.append(I.issues(rings, "GIV008", "WARNING", F.col("component"), F.col("n")))
     return I.all_issues(*found)
+
+
+def goal_paths(goals: DataFrame, labels: DataFrame, order: DataFrame) -> DataFrame:
+    """(goal, nth, concept_id): what must be learnt for each goal, directly or not, in topological order, the goal last.
+
+    ``labels``: from ``reach_labels`` over (prerequisite, concept); ``order``: (concept_id, position). A goal that the order lacks has no path.
+    """
+    needed = reaching(goals, labels).withColumnRenamed("node", "concept_id").join(order.select("concept_id", "position"), "concept_id")
+    alone = goals.select("goal").distinct().join(order.select(F.col("concept_id").alias("goal"), "position"), "goal").select("goal", F.col("goal").alias("concept_id"), "position")
+    nth = F.row_number().over(Window.partitionBy("goal").orderBy("position", "concept_id"))
+    return needed.select("goal", "concept_id", "position").union(alone).distinct().withColumn("nth", nth).select("goal", "nth", "concept_id")

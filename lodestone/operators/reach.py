@@ -179,3 +179,9 @@ def reached(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     into = labels.where("side = 'in'").select(F.col("node").alias("target"), "hub")
     met = pairs.select("source", "target").distinct().join(out, "source").join(into, ["target", "hub"]).select("source", "target").distinct()
     return pairs.join(met, ["source", "target"], "left_semi")
+
+
+def reaching(goals: DataFrame, labels: DataFrame) -> DataFrame:
+    """(goal, node): all nodes from which a goal (goal) is reached, itself included, from labels: no path is walked again."""
+    hubs = goals.select("goal").where("goal is not null").distinct().join(labels.where("side = 'in'").select(F.col("node").alias("goal"), "hub"), "goal")
+    return hubs.join(labels.where("side = 'out'").select("node", "hub"), "hub").select("goal", "node").distinct()

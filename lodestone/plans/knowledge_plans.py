@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import lookup as L
+from ..operators import reach as R
 from ..operators import search as S
 from ..sources.shared import kept
 from .base import Plans, quoted, quoted_list
@@ -150,3 +151,12 @@ def search_batch(t):
     queries = t("conversations").where("turn = 0").select("conv_id", first.alias("words"))
     found = S.search_index(t("nation").sparkSession.read.parquet(path), queries, "conv_id", "words")
     return found.select(F.col("query_id").alias("conv_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@P.add(f"""WITH RECURSIVE {_DEP}, {_ORDER}, d AS (SELECT DISTINCT source, target FROM pairs WHERE edge_type = 'REQUIRES'), c AS (SELECT s_suppkey AS goal, s_suppkey AS concept_id FROM supplier WHERE s_suppkey % 5 = 0 UNION SELECT c.goal, d.source FROM c JOIN d ON d.target = c.concept_id)
+ SELECT goal, CAST(row_number() OVER (PARTITION BY goal ORDER BY position, c.concept_id) AS INT) AS nth, c.concept_id FROM c JOIN o ON o.concept_id = c.concept_id""")
+def goal_paths(t):
+    """For every fifth concept, all that it requires, directly or not, in topological order."""
+    labels = R.reach_labels(dependencies(t).where("edge_type = 'REQUIRES'").select("source", "target"))
+    goals = t("supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("goal"))
+    return K.goal_paths(goals, labels, kept(concept_order(t).select("concept_id", "position")))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import knowledge as K
+from lodestone.operators import reach
 from lodestone.operators import search as S
 
 EDGES = "source string, target string, edge_type string, is_blocking boolean, edge_id int, confidence double"
@@ -98,3 +99,14 @@ def test_search_through_postings_equals_the_scan(spark, tmp_path):
         assert sorted(got.get(q, [])) == [(i + 1, *x) for i, x in enumerate(scan)]
     plan = S.search_index(index, asked, "q", "words", buckets=8)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search("bucket", plan)
+
+
+def test_goal_paths(spark):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "c"), ("c", "d"), ("y", "y")]
+    order = spark.createDataFrame([(c, i) for i, c in enumerate("xabcdyz")], "concept_id string, position int")
+    labels = reach.reach_labels(spark.createDataFrame(edges, "source string, target string"))
+    goals = spark.createDataFrame([("c",), ("c",), ("a",), ("z",), ("ghost",), (None,)], "goal string")
+    got = {}
+    for r in sorted(K.goal_paths(goals, labels, order).collect(), key=lambda r: (r.goal, r.nth)):
+        got.setdefault(r.goal, []).append(r.concept_id)
+    assert got == {"a": ["a"], "c": ["x", "a", "b", "c"], "z": ["z"]}
