@@ -35,19 +35,34 @@ class WordIds:
     """
 
     bound = 250_000
+    #: Signs that, after a letter or digit and up to a word's end, are split off as one piece (the apostrophe is not among them).
+    marks = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: A special token that parts words in one call of the encoder; words that may spell one go alone.
+    parting = "<|endoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.parting_id = self.encoder.token_to_id(self.parting)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> None:
+        alone = [w for w in words if b"<|" in w] if self.parting_id is not None else words
+        for w, e in zip(alone, self.encoder.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, "<u4").tobytes()
+        if len(alone) == len(words):
+            return
+        words = [w for w in words if b"<|" not in w]
         for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for w, e in zip(part, self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+            groups = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
+            texts = [self.parting.join(w.decode() for w in g) for g in groups]
+            for g, e in zip(groups, self.encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cut, raw = np.flatnonzero(ids == self.parting_id) * 4, ids.tobytes()
+                for w, a, b in zip(g, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
+                    self.young[w] = raw[a:b]
 
     def add(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of all of ``words``, and of others."""
@@ -57,17 +72,17 @@ class WordIds:
         for w in words.difference(young):
             if w in old:
                 young[w] = old[w]
-            elif w[-1:] in (b".", b",") and w[-2:-1].isalpha():  # a lone mark after a letter is a token of its own
-                marked.append(w)
+            elif (n := len(w.rstrip(self.marks))) < len(w) and w[n - 1 : n].isalnum() and b"<|" not in w:
+                marked.append((w, w[:n], w[n:]))
             else:
                 new.append(w)
         self.encode(new)
-        bare = {w[:-1] for w in marked} | {b".", b","}
+        bare = {x for _, *both in marked for x in both}
         for w in bare & old.keys():
             young[w] = old[w]
         self.encode(list(bare.difference(young)))
-        for w in marked:
-            young[w] = young[w[:-1]] + young[w[-1:]]
+        for w, base, mark in marked:
+            young[w] = young[base] + young[mark]
         return young
 
 
