@@ -79,22 +79,49 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for at most ``bound`` words."""
+class WordHashes:
+    """64-bit hashes of words (without white space), for all words of a list at once.
 
-    bound = 150_000
+    A byte stands for a number of its own; a word's hash is the polynomial of its bytes' numbers, as a difference of running
+    sums over the joined words, moved to the word's start and mixed. A word of over ``longest`` bytes is hashed by itself.
+    """
+
+    chunk, longest = 1 << 16, 1 << 20
+    _base = 0x9E3779B97F4A7C15
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
     def __init__(self, seed: int = 0):
         self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return got
+        self.numbers = mix(np.arange(256, dtype=U64) + U64(1000 * (seed + 1)))
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, ``n`` of them at least."""
+        if len(cls._powers[0]) < n:
+            found = []
+            for base in (cls._base, pow(cls._base, -1, 1 << 64)):
+                p = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+                p[0] = 1
+                found.append(np.multiply.accumulate(p))
+            cls._powers = tuple(found)
+        return cls._powers
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+        parts = [self._of(words[at : at + self.chunk]) for at in range(0, len(words), self.chunk)]
+        return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+    def _of(self, words: list[bytes]) -> np.ndarray:
+        joined = b"\n".join(words) + b"\n"
+        if len(joined) > self.longest:
+            half = len(words) // 2
+            return np.concatenate([self._of(words[:half]), self._of(words[half:])]) if half else np.array([xxhash.xxh64_intdigest(words[0], self.seed)], U64)
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        up, down = self.powers(len(raw))
+        x = self.numbers[raw]
+        x[ends] = 0
+        x *= up[: len(raw)]
+        return mix(np.diff(np.cumsum(x, dtype=U64)[ends], prepend=U64(0)) * down[np.r_[0, ends[:-1] + 1]])
 
 
 def flat(split: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
