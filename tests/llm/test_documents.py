@@ -457,3 +457,33 @@ def test_rows_without_ids_are_packed_evenly(spark):
     assert len(got) == 6000 and got.length.nunique() == 1
     n = int(got.length[0])
     assert sorted(got.offset.value_counts().to_dict()) == list(range(0, 64 // n * n, n)) and got.sequence_id.nunique() == -(-6000 // (64 // n))
+
+
+def test_ids_of_words_are_those_of_the_tokenizer():
+    """Words that are parted in one call, split at their end marks, or may spell a special token."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    signs = [*"abzé字'.,%$!<|>12½²…-_\"\\", "<|endoftext|>", "<|", "'s", "'t", "İ", "ß", "ﬁ", "é"]
+    words = {x for _ in range(4000) for x in "".join(rng.choices(signs, k=rng.randrange(1, 9))).encode().split()}
+    whole, known = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    got = known.add(words)
+    assert all(np.array(whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() == got[w] for w in words)
+
+
+def test_hashes_of_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others differ; another seed gives others."""
+    from lodestone.llm.common import WordHashes
+
+    words = [f"w{k}".encode() for k in range(50_000)] + [b"a" * n for n in range(1, 300)] + [bytes([k]) for k in range(256) if k not in b" \t\n\r\x0b\x0c"] + [b"ab", b"ba", b"a\x00", b"\x00a"]
+    words = list(dict.fromkeys(words))
+    one = WordHashes().of(words)
+    assert len(set(one.tolist())) == len(words) and (WordHashes().of(words[7:9]) == one[7:9]).all() and (WordHashes().of(words[::-1])[::-1] == one).all()
+    assert not set(WordHashes(1).of(words).tolist()) & set(one.tolist()) and len(WordHashes().of([])) == 0
+    long = [*words[:40], b"x" * (1 << 20), b"y" * 600_000, b"z" * 600_000, *words[40:90]]
+    got = WordHashes().of(long)
+    assert (np.r_[got[:40], got[43:]] == one[:90]).all() and len(set(got.tolist())) == len(long) and WordHashes().of(long[40:41])[0] == got[40]
+    monkeypatch.setattr(WordHashes, "chunk", 7)
+    assert (WordHashes().of(words[:1000]) == one[:1000]).all()
