@@ -1,6 +1,6 @@
 """Fixed values that results depend on, stated as they are.
 
-Patterns are written for Java. Where RE2, which DuckDB uses, needs another form, it stands beside.
+Patterns are written for Java. Where RE2, which DuckDB uses, needs another form, ``RE2_FORMS`` has it.
 """
 
 from __future__ import annotations
@@ -43,13 +43,18 @@ CODE_CONSTRUCTS = (
     ("function_def", r"(?i)\bdef\s+\w+\s*\(|\bfunction\s+\w+\s*\(|\bvoid\s+\w+\s*\(|\bprocedure\s+\w+"),
     ("class_def", r"(?i)\bclass\s+\w+"),
     ("import_statement", r"(?i)\bimport\s+\w+|\binclude\b"),
-    ("assignment", r"(?:^|[^=!<>])=(?:[^=]|$)"),
+    ("assignment", r"(?<![=!<>])=(?!=)"),
     ("return_statement", r"(?i)\breturn\b"),
     ("print_statement", r"(?i)\bprint\s*\(|\bprintf\s*\(|\bconsole\.log\s*\(|\bSystem\.out\.print"),
     ("exception_handling", r"(?i)\btry\b|\bcatch\b|\bexcept\b|\bfinally\b|\bthrow\b|\braise\b"),
     ("comment", r"(?m)^\s*#|^\s*//|/\*|\*/"),
 )
 
+# The same in RE2's form, where that lacks what Java's has.
+RE2_FORMS = {
+    r"(?<![=!<>])=(?!=)": r"(?:^|[^=!<>])=(?:[^=]|$)",
+}
+
 # Phrases that refer to other parts of a text.
 CROSS_REFERENCES = (
     ("figure", r"(?i)\b(?:refer(?:ring)?\s+to|as\s+shown\s+in|see)\s+(?:the\s+)?(?:figure\s*[\d.]*)"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.fixed import RE2_FORMS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +22,7 @@ def quoted_list(texts) -> str:
 
 def kinds_sql(column: str, kinds) -> str:
     """SQL for the names of all patterns that are found, in their order."""
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {quoted(p)}) THEN {quoted(n)} END" for n, p in kinds) + "], lambda x: x IS NOT NULL)"
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {quoted(RE2_FORMS.get(p, p))}) THEN {quoted(n)} END" for n, p in kinds) + "], lambda x: x IS NOT NULL)"
 
 
 class Plans:

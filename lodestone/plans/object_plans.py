@@ -32,7 +32,7 @@ def boxes(t, side):
 @P.add(f"""WITH b AS ({_BOX}), p AS (SELECT a.page, a.n AS kept, b.n AS dropped, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i FROM b a JOIN b ON a.page = b.page AND a.n < b.n)
  SELECT page, kept, dropped, round(i / (800 - i), 4) AS iou FROM p WHERE round(i / (800 - i), 6) >= 0.5""")
 def spatial_duplicates(t):
-    """Boxes of one page that overlap by half or more; the first in order is kept."""
+    """Pairs of boxes of one page that overlap by half or more; what stays when the first of each pair drops the other is in ``kept_boxes``."""
     pairs = boxes(t, "a").join(boxes(t, "b"), "page").where("a_n < b_n").withColumn("iou", X.iou("a", "b")).where("round(iou, 6) >= 0.5")
     return pairs.select("page", F.col("a_n").alias("kept"), F.col("b_n").alias("dropped"), F.round("iou", 4).alias("iou"))
 
