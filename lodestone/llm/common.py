@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,29 +14,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import session_folder
+
 #: A word is a longest run of characters other than ASCII white space; ``bytes.split()`` finds the same runs in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. A local session that names none, as in tests, gets a new temporary one; on a cluster that is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the lineage, and a lost executor costs no recomputation.
 
     Shuffle files of the jobs that made the table are let go of.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     del df
