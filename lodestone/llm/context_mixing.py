@@ -21,7 +21,8 @@ are counted. A bounded number of frequent tokens (``HEAD``) is known in every ta
 
 Nulls and edges: a null or empty text is the end token alone; a null doc_id hashes as the empty text; repeated rows are
 scored each for itself; without training texts counts are 0 and the base is the contract's formula at 0; an empty table gives
-an empty table; texts of up to ``ORDER`` tokens have no phrases; other columns are left alone.
+an empty table; texts of up to ``ORDER`` tokens have no phrases; a very long text is scored whole, in blocks,
+and is never cut; other columns are left alone and may have any names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Hot bands, large groups of copies and large components are joined where their ro
 
 Nulls and edges: a text of one to four words is one shingle; a text without words (null, empty, blank) links with nothing
 and is its own class; a null doc_id takes part, and is the class id only where there is no other; rows that repeat a doc_id
-and text are copies, of which one is kept; texts are told apart by 128-bit hashes of their words; an empty table gives an empty table; other columns are left alone.
+and text are copies, of which one is kept; texts are told apart by 128-bit hashes of their words; an empty table gives an empty table; a very long text is
+signed and compared whole; other columns are left alone and may have any names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ where their rows are (``skew_join``).
 
 Nulls and edges: a null text has no words; texts under 35 words stay as they are; rows that repeat a doc_id are documents
 of their own, so that an exactly repeated row repeats each of its windows; a null doc_id is kept; an empty table gives an
-empty table; other columns are left alone.
+empty table; a very long text is searched whole, in stretches of whole windows; other columns are left alone and
+may have any names.
 """
 
 from __future__ import annotations

@@ -368,6 +368,7 @@ def test_toxicity(spark):
     held = [(r.score, r.doc_id % 3 == 0) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 480]
     assert np.mean([a > b for (a, toxic), (b, clean) in itertools.product(held, held) if toxic and not clean]) > 0.85
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("toxic > 5")).collect()} == {0.0}
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
 def test_gradients_of_the_recurrence():
