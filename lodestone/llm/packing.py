@@ -31,7 +31,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of white-space-separated words as little-endian bytes. The tokenizer splits at white space, so a text's ids are its words' ids in order.
 
-    Words are kept in two generations: when the younger is full it becomes the elder, and what is then met again returns.
+    Words are kept in two generations: when the younger is full it becomes the elder, and what is then met again returns. Between
+    tasks only the younger is held, as a worker may go on with other work.
     """
 
     bound = 250_000
@@ -112,6 +113,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int,
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    ids.old = {}
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
