@@ -22,20 +22,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices, texts_of
+from .common import U64, WordHashes, flat, materialise, text_slices, texts_of
 
 SALT_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Known:
+    """Ids of words under their 64-bit hashes: sorted hashes, and where in ``ids`` each word's ids begin and how many there are."""
+
+    def __init__(self, hashes=(), at=(), n=(), ids=()):
+        self.hashes, self.at, self.n, self.ids = np.array(hashes, U64), np.array(at, np.int64), np.array(n, np.int64), np.array(ids, "<u4")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, place, -1)
+
+    def ids_at(self, place: int) -> bytes:
+        return self.ids[self.at[place] : self.at[place] + self.n[place]].tobytes()
+
+    def with_more(self, hashes: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Known:
+        """These and others, whose ids stand one after another."""
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        return Known(every[order], at[order], np.concatenate([self.n, n])[order], np.concatenate([self.ids, ids]))
+
+
+def gathered(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, ... at + n - 1 of each, one after another."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class WordIds:
-    """Ids of white-space-separated words as little-endian bytes. The tokenizer splits at white space, so a text's ids are its words' ids in order.
+    """Ids of white-space-separated words. The tokenizer splits at white space, so a text's ids are its words' ids in order.
 
-    Words are kept in two generations: when the younger is full it becomes the elder, and what is then met again returns. Between
-    tasks only the younger is held, as a worker may go on with other work.
+    Words are known by their hashes, in two generations: when the younger is full it becomes the elder, and what is then met again returns.
     """
 
-    bound = 250_000
+    bound = 500_000
     #: Signs that, after a letter or digit and up to a word's end, are split off as one piece (the apostrophe is not among them).
     marks = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     #: A special token that parts words in one call of the encoder; words that may spell one go alone.
@@ -46,16 +74,14 @@ class WordIds:
 
         self.encoder = Tokenizer.from_file(path)
         self.parting_id = self.encoder.token_to_id(self.parting)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.hashes = WordHashes(2)
+        self.young, self.old = Known(), Known()
 
-    def encode(self, words: list[bytes]) -> None:
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Little-endian ids of each word from the encoder."""
         alone = [w for w in words if b"<|" in w] if self.parting_id is not None else words
-        for w, e in zip(alone, self.encoder.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
-        if len(alone) == len(words):
-            return
-        words = [w for w in words if b"<|" not in w]
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.encoder.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True)}
+        words = [w for w in words if w not in found] if alone else words
         for at in range(0, len(words), 20_000):
             groups = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
             texts = [self.parting.join(w.decode() for w in g) for g in groups]
@@ -63,28 +89,44 @@ class WordIds:
                 ids = np.array(e.ids, "<u4")
                 cut, raw = np.flatnonzero(ids == self.parting_id) * 4, ids.tobytes()
                 for w, a, b in zip(g, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
-                    self.young[w] = raw[a:b]
-
-    def add(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all of ``words``, and of others."""
-        if len(self.young) > self.bound:
-            self.young, self.old = {}, self.young
-        young, old, new, marked = self.young, self.old, [], []
-        for w in words.difference(young):
-            if w in old:
-                young[w] = old[w]
-            elif (n := len(w.rstrip(self.marks))) < len(w) and w[n - 1 : n].isalnum() and b"<|" not in w:
-                marked.append((w, w[:n], w[n:]))
-            else:
-                new.append(w)
-        self.encode(new)
-        bare = {x for _, *both in marked for x in both}
-        for w in bare & old.keys():
-            young[w] = old[w]
-        self.encode(list(bare.difference(young)))
-        for w, base, mark in marked:
-            young[w] = young[base] + young[mark]
-        return young
+                    found[w] = raw[a:b]
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add different words that are not known; end marks are looked up apart."""
+        split: dict[bytes, tuple[bytes, ...]] = {}
+        for w in words:
+            n = len(w.rstrip(self.marks))
+            split[w] = (w[:n], w[n:]) if n < len(w) and w[n - 1 : n].isalnum() and b"<|" not in w else (w,)
+        parts = list({p for both in split.values() for p in both})
+        h = self.hashes.of(parts)
+        young, old = self.young.find(h), self.old.find(h)
+        new = [p for p, i, j in zip(parts, young.tolist(), old.tolist(), strict=True) if i < 0 and j < 0]
+        ids = self.encode(new)
+        for p, i, j in zip(parts, young.tolist(), old.tolist(), strict=True):
+            if i >= 0 or j >= 0:
+                ids[p] = self.young.ids_at(i) if i >= 0 else self.old.ids_at(j)
+        more = dict.fromkeys([*(p for p, i in zip(parts, young.tolist(), strict=True) if i < 0), *words])
+        raw = [ids[w] if w in ids else b"".join(ids[p] for p in split[w]) for w in more]
+        self.young = self.young.with_more(self.hashes.of(list(more)), np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.frombuffer(b"".join(raw), "<u4"))
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each word has)."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if len(self.young.hashes) > self.bound:
+            self.young, self.old = Known(), self.young
+        kinds, first, which = np.unique(self.hashes.of(words), return_index=True, return_inverse=True)
+        unknown = self.young.find(kinds) < 0
+        back = self.old.find(kinds[unknown])
+        again, lost = back[back >= 0], first[unknown][back < 0]
+        if len(again):
+            self.young = self.young.with_more(self.old.hashes[again], self.old.n[again], self.old.ids[gathered(self.old.at[again], self.old.n[again])])
+        if len(lost):
+            self.learn([words[i] for i in lost.tolist()])
+        place = self.young.find(kinds)
+        n = self.young.n[place][which]
+        return self.young.ids[gathered(self.young.at[place][which], n)], n
 
 
 def lowered(text: bytes) -> bytes:
@@ -99,21 +141,23 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int,
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if tokenizer not in _word_ids:
         _word_ids[tokenizer] = WordIds(tokenizer)
-    ids = _word_ids[tokenizer]
+    known = _word_ids[tokenizer]
     end, most = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in text_slices(batches):
         rows: list[tuple] = []
-        split = [lowered(x).split() for x in texts_of(batch)]
-        known = ids.add(set().union(*split))
-        for doc_id, words in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-            whole = b"".join(map(known.__getitem__, words)) + end
-            for k, at in enumerate(range(0, len(whole), most)):
-                part = whole[at : at + most]
-                rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+        words, lens = flat([lowered(x).split() for x in texts_of(batch)])
+        ids, n = known.of(words)
+        upto = np.r_[0, np.cumsum(n)][np.cumsum(lens)]
+        at = 0
+        for doc_id, to in zip(batch.column("doc_id").to_pylist(), upto.tolist(), strict=True):
+            whole = ids[at:to].tobytes() + end
+            at = to
+            for k, a in enumerate(range(0, len(whole), most)):
+                part = whole[a : a + most]
+                rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    ids.old = {}
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
