@@ -16,6 +16,16 @@ def range_link(points: DataFrame, point: str, spans: DataFrame, start: str, end:
     return points.withColumn("bucket", b(point)).join(placed, "bucket").where(F.col(point).between(F.col(start), F.col(end))).drop("bucket")
 
 
+def range_tally(points: DataFrame, key: str, point: str, spans: DataFrame, span: str, start: str, end: str, width: float) -> DataFrame:
+    """(key, span, n_spans): for each point that spans contain the largest span and their number.
+
+    Equal spans are counted first and met once, so work follows the points and the different spans, not the pairs.
+    """
+    once = spans.groupBy(start, end).agg(F.max(span).alias(span), F.count("*").alias("n_spans"))
+    joined = range_link(points, point, once, start, end, width)
+    return joined.groupBy(key).agg(F.max(span).alias(span), F.sum("n_spans").alias("n_spans"))
+
+
 def last_match(joined: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key: the first in ``order``."""
     return joined.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("nth = 1").drop("nth")

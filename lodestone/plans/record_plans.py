@@ -67,8 +67,7 @@ def registry_upsert(t):
 def range_link(t):
     """Events in the value spans of parts; the last part in order wins."""
     spans = t("part").select("p_partkey", (F.col("p_size") * 10.0).alias("lo"), (F.col("p_size") * 10.0 + 5).alias("hi"))
-    joined = L.range_link(t("events").select("event_id", "value"), "value", spans, "lo", "hi", 5.0)
-    return joined.groupBy("event_id").agg(F.max("p_partkey").alias("p_partkey"), F.count("*").alias("n_spans"))
+    return L.range_tally(t("events").select("event_id", "value"), "event_id", "value", spans, "p_partkey", "lo", "hi", 5.0)
 
 
 @P.add("""SELECT a.conv_id, a.turn, count(*) AS n_near, sum(length(b.text)) AS near_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 2 AND a.turn <> b.turn GROUP BY 1, 2""")

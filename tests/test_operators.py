@@ -102,3 +102,11 @@ def test_rules_between_classes_stand_for_all_pairs(spark):
     want = Counter((a[0], a[2], a[3], b[2], b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and None not in (a[2], a[3], b[2], b[3]))
     assert {(r.g, r.source_role, r.source_confidence, r.target_role, r.target_confidence): r.n_edges for r in got} == want
     assert {r.type for r in got if (r.source_role, r.target_role) == ("x", "y")} == {"leads"}
+
+
+def test_equal_spans_are_met_once(spark):
+    """40,000 points in 40,000 equal spans: 1.6 billion pairs, none of which is formed."""
+    spans = spark.range(40_000).selectExpr("id as s", "10.0D as lo", "15.0D as hi").union(spark.createDataFrame([(90_000, 14.0, 21.0), (90_001, 3.0, None)], "s long, lo double, hi double"))
+    points = spark.range(40_000).selectExpr("id as p", "12.0D as x").union(spark.createDataFrame([(50_000, 14.5), (50_001, 21.0), (50_002, 9.9), (50_003, None)], "p long, x double"))
+    got = {r.p: (r.s, r.n_spans) for r in linking.range_tally(points, "p", "x", spans, "s", "lo", "hi", 5.0).collect()}
+    assert got == {k: (39_999, 40_000) for k in range(40_000)} | {50_000: (90_000, 40_001), 50_001: (90_000, 1)}
