@@ -211,7 +211,12 @@ def goal_paths(goals: DataFrame, labels: DataFrame, order: DataFrame) -> DataFra
 
     ``labels``: from ``reach_labels`` over (prerequisite, concept); ``order``: (concept_id, position). A goal that the order lacks has no path.
     """
-    needed = reaching(goals, labels).withColumnRenamed("node", "concept_id").join(order.select("concept_id", "position"), "concept_id")
+    return ordered_paths(goals, reaching(goals, labels), order)
+
+
+def ordered_paths(goals: DataFrame, needs: DataFrame, order: DataFrame) -> DataFrame:
+    """As ``goal_paths``, from ``needs`` (goal, node): what each goal requires, directly or not."""
+    needed = needs.withColumnRenamed("node", "concept_id").join(order.select("concept_id", "position"), "concept_id")
     alone = goals.select("goal").distinct().join(order.select(F.col("concept_id").alias("goal"), "position"), "goal").select("goal", F.col("goal").alias("concept_id"), "position")
     nth = F.row_number().over(Window.partitionBy("goal").orderBy("position", "concept_id"))
     return needed.select("goal", "concept_id", "position").union(alone).distinct().withColumn("nth", nth).select("goal", "nth", "concept_id")

@@ -157,6 +157,6 @@ def search_batch(t):
  SELECT goal, CAST(row_number() OVER (PARTITION BY goal ORDER BY position, c.concept_id) AS INT) AS nth, c.concept_id FROM c JOIN o ON o.concept_id = c.concept_id""")
 def goal_paths(t):
     """For every fifth concept, all that it requires, directly or not, in topological order."""
-    labels = R.reach_labels(dependencies(t).where("edge_type = 'REQUIRES'").select("source", "target"))
+    edges = dependencies(t).where("edge_type = 'REQUIRES'").select("source", "target")
     goals = t("supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("goal"))
-    return K.goal_paths(goals, labels, kept(concept_order(t).select("concept_id", "position")))
+    return K.ordered_paths(goals, R.reaching_by_masks(goals, edges), kept(concept_order(t).select("concept_id", "position")))
