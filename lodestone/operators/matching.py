@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..sources.shared import kept
 
 
+#: So many names are broadcast (about 100 bytes each); more are joined by shuffling.
+BROADCAST_NAMES = 200_000
+
+
 def grams(text: Column, size: int) -> Column:
     """All stretches of ``size`` characters of a text, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
@@ -20,6 +26,7 @@ def grams(text: Column, size: int) -> Column:
 def containing(names: DataFrame, name_id: str, name: str, texts: DataFrame, text_id: str, text: str, size: int = 4) -> DataFrame:
     """(name_id, text_id) of every text that contains a name, letters' case aside.
 
+    Stretches are counted first and made a second time for the look-up: a text's own are never written, but where the index is too large to be broadcast.
     Each name stands in the index under the one of its stretches of ``size`` characters that the fewest texts have; texts
     look up their stretches there, and ``contains`` decides. Names shorter than that have an index of their own length.
     Empty and null names are in no text.
@@ -30,20 +37,66 @@ def containing(names: DataFrame, name_id: str, name: str, texts: DataFrame, text
     found = None
     for n in sorted(r["size"] for r in low.select("size").distinct().collect()):  # ``size`` of them at most
         mine = low.where(F.col("size") == n).select("name_id", "name", F.explode(grams(F.col("name"), n)).alias("gram"))
-        asked = mine.select("gram").distinct()
-        theirs = kept(held.select("text_id", F.explode(grams(F.col("text"), n)).alias("gram")).join(asked, "gram", "left_semi"))
-        counted = mine.join(theirs.groupBy("gram").agg(F.count("*").alias("n_texts")), "gram", "left")
-        rarest = counted.groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "gram")).alias("least"))
-        pairs = rarest.where("least.n > 0").select("name_id", "name", F.col("least.gram").alias("gram")).join(theirs, "gram").select("name_id", "name", "text_id")
+        theirs = held.select("text_id", F.explode(grams(F.col("text"), n)).alias("gram"))
+        counts = theirs.groupBy("gram").agg(F.count("*").alias("n_texts")).join(mine.select("gram").distinct(), "gram", "left_semi")
+        rarest = mine.join(counts, "gram", "left").groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "gram")).alias("least"))
+        index = kept(rarest.where("least.n > 0").select("name_id", "name", F.col("least.gram").alias("gram")))
+        few = index.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+        pairs = theirs.join(F.broadcast(index) if few else index, "gram").select("name_id", "name", "text_id")
         sure = pairs.join(held, "text_id").where(F.contains("text", "name")).select("name_id", "text_id")
         found = sure if found is None else found.union(sure)
     return found if found is not None else low.join(held).select("name_id", "text_id").limit(0)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of characters in matching stretches, twice over both lengths."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio_bounds(title: str, codes: np.ndarray, letters: dict[str, int], lengths: np.ndarray) -> np.ndarray:
+    """For each entry (a column of ``codes``, numbers of its characters by ``letters``, 0 behind its end) no less than ``difflib``'s ratio with the title.
+
+    Matching stretches are a common subsequence, so twice the longest one's length over both lengths bounds the ratio. A bit of
+    an entry's word is down where that length grows (Hyyro 2004); all entries move on by a character together. Titles of more
+    than 64 characters are bounded by the lengths alone.
+    """
+    total = np.maximum(lengths + len(title), 1)
+    if len(title) > 64:
+        return 2.0 * np.minimum(lengths, len(title)) / total
+    masks = np.zeros(len(letters) + 1, "<u8")
+    for i, c in enumerate(title):
+        if c in letters:
+            masks[letters[c]] |= np.uint64(1 << i)
+    state = np.full(len(lengths), 2**64 - 1, "<u8")
+    for row in codes:
+        met = state & masks[row]
+        state = (state + met) | (state - met)
+    common = 64 - np.unpackbits(state.view("u1").reshape(-1, 8), axis=1).sum(axis=1).astype("i8")
+    return 2.0 * common / total
+
+
+def best_in_packs(least: float):
+    """For rows (book, titles, ids, entries): the best entry of each title by ``least`` or more; entries are rated by falling bound, until the bound is under the best ratio."""
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for book, titles, ids, entries in zip(batch["book"], batch["titles"], batch["ids"], batch["entries"], strict=True):
+                letters = {c: k for k, c in enumerate(sorted(set().union(*entries)), 1)}
+                lengths = np.array([len(e) for e in entries], "i8")
+                # an entry that is longer fits no title of 64 characters
+                fits = np.flatnonzero(lengths <= math.ceil(64 * (2 - least) / least) + 1)
+                codes = np.zeros((int(lengths[fits].max()) if len(fits) else 0, len(entries)), "i4")
+                for k in fits:
+                    codes[: lengths[k], k] = [letters[c] for c in entries[k]]
+                out = []
+                for title in titles:
+                    bounds, best = ratio_bounds(title, codes, letters, lengths), None
+                    for k in np.argsort(-bounds, kind="stable"):
+                        if bounds[k] < (best[0] if best else least):
+                            break
+                        ratio = difflib.SequenceMatcher(None, title, entries[k]).ratio()
+                        if ratio >= least and (best is None or (ratio, -ids[k]) > (best[0], -best[1])):
+                            best = ratio, ids[k]
+                    if best:
+                        out.append((book, title, best[1], best[0]))
+                yield pd.DataFrame(out, columns=["book", "t", "entry_id", "ratio"])
+
+    return walk
 
 
 def normal_title(title: Column) -> Column:
@@ -76,8 +129,23 @@ def alike(titles: DataFrame, title_id: str, title: str, entries: DataFrame, entr
 
 
 def best_entries(titles: DataFrame, title_id: str, title: str, entries: DataFrame, entry_id: str, entry: str, book: str, least: float = 0.55) -> DataFrame:
-    """(book, title_id, entry_id, ratio): for each title the entry of its book that is most like it by ``least`` or more; of equals the first."""
-    pairs = alike(titles, title_id, title, entries, entry_id, entry, book, least)
-    rated = pairs.withColumn("ratio", sequence_ratio("title", "entry")).where(F.col("ratio") >= least)
-    first = rated.groupBy("book", "title_id").agg(F.max(F.struct("ratio", (-F.col("entry_id")).alias("e"))).alias("best"))
+    """(book, title_id, entry_id, ratio): for each title the entry of its book that is most like it by ``least`` or more; of equals the first.
+
+    Equal titles and equal entries of a book are taken once. Titles meet the entries of their book in packs (256 by 4,096 on the average):
+    every pair gets a bound from the longest common subsequence, and only pairs whose bound reaches the best ratio so far are rated.
+    """
+    side = lambda df, i, c: kept(df.select(F.col(book).alias("book"), F.col(i).alias("id"), normal_title(F.col(c)).alias("t")).where("t <> ''"))
+    a, b = side(titles, title_id, title), side(entries, entry_id, entry)
+    x, y = kept(a.select("book", "t").distinct()), kept(b.groupBy("book", "t").agg(F.min("id").alias("id")))
+    tile = lambda df, size: F.pmod(F.xxhash64("t"), F.lit(-(-df.count() // size) or 1)).alias("tile")
+    mine = x.select("book", "t", tile(x, 256)).groupBy("book", "tile").agg(F.collect_list("t").alias("titles"))
+    theirs = y.select("book", "t", "id", tile(y, 4096)).groupBy("book", "tile").agg(F.collect_list(F.struct("id", "t")).alias("e"))
+    theirs = theirs.select(F.col("book").alias("_book"), F.col("tile").alias("_tile"), F.col("e.id").alias("ids"), F.col("e.t").alias("entries"))
+    met = mine.join(theirs, F.col("book").eqNullSafe(F.col("_book")))
+    dealt = met.repartition(4 * titles.sparkSession.sparkContext.defaultParallelism, "book", "tile", "_tile").select("book", "titles", "ids", "entries")
+    types = dict(b.dtypes)
+    rated = kept(dealt.mapInPandas(best_in_packs(least), f"book {types['book']}, t string, entry_id {types['id']}, ratio double"))
+    rated = rated.select(F.col("book").alias("_book"), F.col("t").alias("_t"), "entry_id", "ratio")
+    found = a.join(rated, (F.col("t") == F.col("_t")) & F.col("book").eqNullSafe(F.col("_book")))
+    first = found.groupBy("book", F.col("id").alias("title_id")).agg(F.max(F.struct("ratio", (-F.col("entry_id")).alias("e"))).alias("best"))
     return first.select("book", "title_id", (-F.col("best.e")).alias("entry_id"), F.col("best.ratio").alias("ratio"))

@@ -192,3 +192,24 @@ def test_best_entries_by_loop(spark):
     assert got == want and got[93][0] == 200
     compared = {(r.title_id, r.entry_id) for r in matching.alike(a, "i", "t", b, "e", "s", "book").collect()}
     assert possible <= compared and len(compared) < 0.5 * len(titles) * len(entries)
+
+
+def test_bounds_leave_few_pairs_to_rate(monkeypatch):
+    """Among texts of common letters nearly all pairs share most of their letters; bounds by common subsequences leave few to rate."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    made = lambda n, size: ["".join(rng.choice("aeeeiinnstrdlo  ") for _ in range(rng.randint(1, size))) for _ in range(n)]
+    titles, entries = [*made(40, 64), "x" * 70, "zz"], [*made(300, 64), *made(20, 400), "x" * 69]
+    entries[7] = titles[3][:-1] + "q"
+    plain = {}
+    for t in titles:
+        rated = [(difflib.SequenceMatcher(None, t, e).ratio(), -k) for k, e in enumerate(entries)]
+        if max(rated)[0] >= 0.55:
+            plain[t] = (-max(rated)[1], max(rated)[0])
+    calls, whole = [], difflib.SequenceMatcher
+    monkeypatch.setattr(matching.difflib, "SequenceMatcher", lambda *x: calls.append(x) or whole(*x))
+    pack = pd.DataFrame({"book": [None], "titles": [titles], "ids": [list(range(len(entries)))], "entries": [entries]})
+    got = pd.concat(matching.best_in_packs(0.55)(iter([pack])))
+    assert {r.t: (r.entry_id, r.ratio) for r in got.itertuples()} == plain and len(plain) > 5
+    assert len(calls) < len(titles) * len(entries) / 5
