@@ -109,6 +109,11 @@ GIVEN_FIND = r"(?i)^\s*(?:given|find|to prove|to show|required|prove that)\b"
 ALGORITHM = r"(?i)\b(?:input|output|repeat|while|if\s+.+\s+then|algorithm|pseudocode)\b"
 JOURNAL = r"(?i)\b(?:dr\.?|cr\.?|debit|credit|journal entry|ledger)\b"
 CODE_HINT = r"(?:\bdef\s+\w+\s*\(|\bprint\s*\(|\bimport\s+\w+|\bfor\s+\w+\s+in\s+|#include|\bvoid\s+main|\bclass\s+\w+|\breturn\b|;\s*$|\{|\})"
+# The same by its alternatives, each with a word that it cannot do without; none where the word is all of it.
+CODE_HINTS = (
+    ("{", None), ("}", None), ("#include", None), (";", r";\s*$"), ("def", r"\bdef\s+\w+\s*\("), ("print", r"\bprint\s*\("), ("import", r"\bimport\s+\w+"),
+    ("for", r"\bfor\s+\w+\s+in\s+"), ("void", r"\bvoid\s+main"), ("class", r"\bclass\s+\w+"), ("return", r"\breturn\b"),
+)
 PSEUDOCODE = r"(?i)\b(?:begin|end|procedure|function|input|output)\b"
 JOURNAL_HEADER = r"(?i)\b(?:date|particulars?|l\.?\s?f\.?|debit|credit|amount)\b"
 LEDGER_HEADER = r"(?i)\b(?:dr\.?|cr\.?)\b.*\b(?:ledger|account)\b"
