@@ -76,14 +76,15 @@ def blocks(t):
 @P.add(f"SELECT block_id, recognizer, confidence FROM ({_MATCHES}) WHERE confidence IS NOT NULL")
 def recognised_blocks(t):
     """Every recogniser that recognises a block, with its confidence."""
-    return blocks(t).select("block_id", F.inline(R.matched(R.block_recognisers(F.col("b")))))
+    return blocks(t).select("block_id", F.inline(R.block_matches(F.col("b"))))
 
 
 @P.add(f"""SELECT block_id || '-eo' AS object_id, arg_min(recognizer, {{'c': -confidence, 'n': nth}}) AS recognizer, max(confidence) AS confidence, max(confidence) < 0.6 AS below_floor FROM ({_MATCHES}) WHERE confidence IS NOT NULL GROUP BY block_id""")
 def recognised_objects(t):
     """One object of each block: its surest recogniser, the first of equal ones, and whether that is below the floor."""
-    best = blocks(t).select("block_id", R.best_match(R.matched(R.block_recognisers(F.col("b")))).alias("m")).where("m is not null")
-    return best.select(F.concat("block_id", F.lit("-eo")).alias("object_id"), "m.recognizer", "m.confidence", (F.col("m.confidence") < 0.6).alias("below_floor"))
+    # as rows of a generator the recognisers are asked once; as a plain column they would be asked again by the filter and by each column drawn from it
+    best = blocks(t).select("block_id", F.inline(F.filter(F.array(R.best_match(R.block_matches(F.col("b")))), lambda m: m.isNotNull())))
+    return best.select(F.concat("block_id", F.lit("-eo")).alias("object_id"), "recognizer", "confidence", (F.col("confidence") < 0.6).alias("below_floor"))
 
 
 HEADINGS = ("1.", "0", "{k}", "1.2.{k}", "IV", "iv.", "X)", "A", "(b)", "c)", "Chapter {k}", "Unit IV", "Lesson xyz", "The Living World", "Our Environment and the Sea of Stars", "plain words here", "1..2", "MMMM", "Structure: ", "", " 12 ", "Unit: 4.", "C", "DNA and RNA", "Ends with a Stop.", "1.2.3.4.5.6.7.", "12a", "Too Many Words In This One Title", "१२")
