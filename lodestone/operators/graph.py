@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -67,9 +67,33 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return union_of([*done, todo.withColumn("level", F.lit(None).cast("int"))])
 
 
+def _hot(rows: DataFrame, column: str) -> list:
+    """Values that a thousandth of the rows or more have, and some others: under a thousand in all."""
+    return [x for x in rows.stat.freqItems([column], 0.001).first()[0] if x is not None]
+
+
+def _starred(pairs: DataFrame, hot: list) -> DataFrame:
+    """(node, other) pairs with the same components: each group of pairs with one ``node`` is hung on its least ``other``.
+
+    Groups of the ``hot`` nodes are hung in 64 shares, so that no task gets all pairs of one node.
+    """
+    share = F.when(F.col("node").isin(hot), F.pmod(F.xxhash64("other"), F.lit(64))).otherwise(0) if hot else F.lit(0)
+    least = pairs.withColumn("share", share).withColumn("hub", F.min("other").over(Window.partitionBy("node", "share")))
+    hung = F.array(F.struct(F.col("other").alias("node"), F.col("hub").alias("other")), F.when(F.col("other").eqNullSafe(F.col("hub")), F.struct("node", F.col("hub").alias("other"))))
+    return least.select(F.inline(F.array_compact(hung)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is linked, directly or not. Labels jump to their label's label in each round."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other")).union(edges.select(F.col("target"), F.col("source"))).distinct()
+    """(node, component): the smallest node that is linked, directly or not. Labels jump to their label's label in each round.
+
+    Edges first become stars about the least source of each target, then about the least of these for each node: what is
+    left is about as many edges as nodes, and the rounds go over these.
+    """
+    ends = F.when(F.col("source").isNotNull() & F.col("target").isNotNull(), F.array(F.struct(F.col("target").alias("node"), F.col("source").alias("other"))))
+    alone = F.array(F.struct(F.col("source").alias("node"), F.col("source").alias("other")), F.struct(F.col("target").alias("node"), F.col("target").alias("other")))
+    given = kept(edges.select(F.inline(F.coalesce(ends, alone))))
+    few = kept(_starred(_starred(given, _hot(given, "node")), _hot(given, "other")).distinct())
+    both = few.union(few.select(F.col("other"), F.col("node"))).distinct()
     both = kept(both)
     label = kept(both.select("node").distinct().withColumn("component", F.col("node")))
     while True:
