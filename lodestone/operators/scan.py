@@ -56,11 +56,8 @@ def in_ranges(rows: DataFrame, group: str, *order: str, parts: int | None = None
     return kept_in_place(dealt.sortWithinPartitions("_group", *order))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward: bool) -> Iterator[tuple[str, pa.RecordBatch, dict]]:
-    """Stretches of rows of one group, in order, with their number ``_n`` and their columns as lists; backward, a task's rows are turned round as a whole."""
-    if backward:
-        table = pa.Table.from_batches(list(batches))
-        batches = table.take(pa.array(range(len(table) - 1, -1, -1), pa.int64())).combine_chunks().to_batches(1 << 16)
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[str, pa.RecordBatch, dict]]:
+    """Stretches of rows of one group, in order, with their number ``_n`` and their columns as lists."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,15 +68,23 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], backward:
             yield group, part, {"_n": part.num_rows} | {c: part.column(c).to_pylist() for c in columns}
 
 
+def _turned(ranged: DataFrame) -> DataFrame:
+    """``ranged`` with each task's rows from the last to the first: sorted by their place in Spark, which spills, and not gathered in Python."""
+    return ranged.withColumn("_at", F.monotonically_increasing_id()).sortWithinPartitions(F.desc("_at")).drop("_at")
+
+
 def scan(ranged: DataFrame, rule: Rule, backward: bool = False, of: DataFrame | None = None) -> DataFrame:
     """``ranged`` (from ``in_ranges``) with the rule's output columns; ``backward`` goes from a group's last row to its first.
 
     ``of``: a table with the same rows in the same tasks that has the rule's columns, for the first pass.
     """
 
+    if backward:
+        ranged, of = _turned(ranged), None if of is None else _turned(of)
+
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = summary = None
-        for group, _, rows in _runs(batches, rule.columns, backward):
+        for group, _, rows in _runs(batches, rule.columns):
             if group != last:
                 first, last, summary = (group if first is None else first), group, rule.empty()
             summary = rule.extend(summary, rows)
@@ -103,7 +108,7 @@ def scan(ranged: DataFrame, rule: Rule, backward: bool = False, of: DataFrame |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = states.get(TaskContext.get().partitionId()), None
         state = None
-        for now, part, rows in _runs(batches, rule.columns, backward):
+        for now, part, rows in _runs(batches, rule.columns):
             if now != group:
                 state = json.loads(held) if held is not None and group is None else rule.start()
                 group = now
