@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
+#: Sizes of at most as many groups are broadcast.
+GROUPS_AT_ONCE = 100_000
+
 
 def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_idx, line): lines that are not blank, numbered as they stand; a null text has none."""
@@ -29,4 +34,6 @@ def repeated_lines(lines: DataFrame, group: str, key: str, line: str, least: int
     """Lines that stand in ``least`` or more texts of a group, and in half of them."""
     size = lines.groupBy(group).agg(F.count_distinct(key).alias("n_texts"))
     n = lines.groupBy(group, line).agg(F.count_distinct(key).alias("n"))
-    return n.join(size, group).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("n_texts") / 2))).select(group, line, "n")
+    size = kept(size)
+    small = size.count() <= GROUPS_AT_ONCE  # joined by shuffling, a few groups would put all distinct lines into as few tasks
+    return n.where(F.col("n") >= least).join(F.broadcast(size) if small else size, group).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("n_texts") / 2))).select(group, line, "n")
