@@ -50,6 +50,14 @@ CODE_CONSTRUCTS = (
     ("comment", r"(?m)^\s*#|^\s*//|/\*|\*/"),
 )
 
+# Words, in lower case, without one of which a language's or a construct's pattern is not found.
+CODE_WORDS = {
+    "python": ("def", "import", "print", "elif", ":"), "java": ("public", "system.out"), "javascript": ("function", "const", "console.log"), "sql": ("select", "insert", "update", "delete", "from", "where"),
+    "c_cpp": ("#include", "void", "printf", ";"), "pseudocode": ("begin", "end", "procedure", "function", "input", "output", "algorithm", "pseudocode"),
+    "loop": ("for", "while", "repeat", "do"), "conditional": ("if", "else", "switch", "case"), "function_def": ("def", "function", "void", "procedure"), "class_def": ("class",), "import_statement": ("import", "include"),
+    "assignment": ("=",), "return_statement": ("return",), "print_statement": ("print", "console.log"), "exception_handling": ("try", "catch", "except", "finally", "throw", "raise"), "comment": ("#", "//", "/*", "*/"),
+}
+
 # The same in RE2's form, where that lacks what Java's has.
 RE2_FORMS = {
     r"(?<![=!<>])=(?!=)": r"(?:^|[^=!<>])=(?:[^=]|$)",

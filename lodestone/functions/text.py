@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import CODE_CONSTRUCTS, CODE_LANGUAGES, CROSS_REFERENCES, DEFINED_AFTER, DEFINED_BY_MEAN, DEFINED_DENOTES, DEFINED_FIRST, LIGATURES, ROMAN_3999, SCRIPTS, STEP_MARKER, STOP_WORDS, TERM_STOP_WORDS
+from .fixed import CODE_CONSTRUCTS, CODE_LANGUAGES, CODE_WORDS, CROSS_REFERENCES, DEFINED_AFTER, DEFINED_BY_MEAN, DEFINED_DENOTES, DEFINED_FIRST, LIGATURES, ROMAN_3999, SCRIPTS, STEP_MARKER, STOP_WORDS, TERM_STOP_WORDS
 
 BLANKS = r"[ \t\r\n]+"
 
@@ -86,15 +88,25 @@ def cap_words(c: Column, n: int) -> Column:
     return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, F.lit("...")).otherwise(F.lit("")))
 
 
-def script_ratio(c: Column, script: str) -> Column:
-    """Letters of a script over all letters; 0 without letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(SCRIPTS[script])) / letters).otherwise(F.lit(0.0))
+def count_in(c: Column, signs: str) -> Column:
+    """Characters of a class such as ``[a-z]``, without making a list of them."""
+    return F.length(F.regexp_replace(c, "[^" + signs[1:-1] + "]+", ""))
+
+
+def script_counts(c: Column) -> Column:
+    """A struct of the letters of a text and its characters of each script."""
+    return F.struct(count_in(c, r"[\p{L}]").alias("letters"), *[count_in(c, signs).alias(n) for n, signs in SCRIPTS.items()])
+
 
+def script_ratio(c: Column, script: str, counts: Column | None = None) -> Column:
+    """Letters of a script over all letters; 0 without letters. ``counts``: the text's ``script_counts``, where these are at hand."""
+    counts = script_counts(c) if counts is None else counts
+    return F.when(counts["letters"] > 0, counts[script] / counts["letters"]).otherwise(F.lit(0.0))
 
-def detect_script(c: Column, least: float = 0.3) -> Column:
-    """The script with the largest ratio of at least ``least``; the first listed wins ties."""
-    ratios = [(n, script_ratio(c, n)) for n in SCRIPTS]
+
+def detect_script(c: Column, least: float = 0.3, counts: Column | None = None) -> Column:
+    """The script with the largest ratio of at least ``least``; the first listed wins ties. ``counts``: as for ``script_ratio``."""
+    ratios = [(n, script_ratio(c, n, counts)) for n in SCRIPTS]
     top = F.greatest(*[r for _, r in ratios])
     out = F.lit(None).cast("string")
     for name, r in reversed(ratios):
@@ -102,11 +114,16 @@ def detect_script(c: Column, least: float = 0.3) -> Column:
     return out
 
 
-def first_kind(c: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
-    """The first named pattern that is found."""
+def holds(text: Column, *words: str) -> Column:
+    """Whether any of the words stands in the text: far cheaper than a pattern, which is asked only where its words are."""
+    return reduce(Column.__or__, [text.contains(w) for w in words])
+
+
+def first_kind(c: Column, kinds: tuple[tuple[str, str], ...], low: Column) -> Column:
+    """The first named pattern that is found; ``low``: the text in lower case."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(kinds):
-        out = F.when(c.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(holds(low, *CODE_WORDS[name]) & c.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -115,17 +132,17 @@ def is_step(c: Column) -> Column:
     return F.coalesce(c.rlike(STEP_MARKER), F.lit(False))
 
 
-def code_language(c: Column) -> Column:
-    return F.coalesce(first_kind(c, CODE_LANGUAGES), F.lit("other"))
+def code_language(c: Column, low: Column | None = None) -> Column:
+    return F.coalesce(first_kind(c, CODE_LANGUAGES, F.lower(c) if low is None else low), F.lit("other"))
 
 
-def found_kinds(c: Column, kinds: tuple[tuple[str, str], ...]) -> Column:
-    """Sorted names of all patterns that are found."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in kinds])))
+def found_kinds(c: Column, kinds: tuple[tuple[str, str], ...], low: Column) -> Column:
+    """Sorted names of all patterns that are found; ``low``: the text in lower case."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(holds(low, *CODE_WORDS[n]) & c.rlike(p), F.lit(n)) for n, p in kinds])))
 
 
-def code_constructs(c: Column) -> Column:
-    return found_kinds(c, CODE_CONSTRUCTS)
+def code_constructs(c: Column, low: Column | None = None) -> Column:
+    return found_kinds(c, CODE_CONSTRUCTS, F.lower(c) if low is None else low)
 
 
 def cross_references(c: Column) -> Column:

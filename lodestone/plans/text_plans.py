@@ -176,7 +176,8 @@ def code_constructs(t):
     """Constructs and the language of program text: of all lines and whole pages, and of texts made of events."""
     s = filled(CODE, F.col("event_id"), k=F.col("user_id"))
     made = t("events").select(F.concat(F.lit("e"), "event_id").alias("line_id"), s.alias("s")).union(lines(t)).union(t("pages").select(F.concat(F.lit("h"), "page_id"), "html"))
-    return made.select("line_id", F.array_join(X.code_constructs(F.col("s")), ",").alias("constructs"), X.code_language(F.col("s")).alias("code_language"))
+    low = made.withColumn("low", F.lower("s"))
+    return low.select("line_id", F.array_join(X.code_constructs(F.col("s"), F.col("low")), ",").alias("constructs"), X.code_language(F.col("s"), F.col("low")).alias("code_language"))
 
 
 ROMANS = ("XIV", "IIX", "MCMXCIX", "iv", "", "MMMDCCCLXXXVIII", "MMMMCMXCIX", "VX", " xl ", "CDXLIV", "IIII", "D", "mmmm", "LXXX", "abc")
