@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .text import partial_confidence, roman_3999, segments
+from .text import holds, partial_confidence, roman_3999, segments
 
 
 def stripped(lines: Column) -> Column:
@@ -33,11 +33,6 @@ def worded(lines: Column) -> Column:
     return F.exists(lines, lambda x: ~x.rlike(V.NUMERIC_SUBSTITUTION))
 
 
-def holds(text: Column, *words: str) -> Column:
-    """Whether any of the words stands in the text: far cheaper than a pattern, which is asked only where its words are."""
-    return reduce(Column.__or__, [text.contains(w) for w in words])
-
-
 def block_texts(lines: Column) -> Column:
     """What the recognisers read of a block: its lines joined, its first three, and both in lower case."""
     code, three = F.array_join(lines, "\n"), F.array_join(F.slice(lines, 1, 3), " ")
@@ -142,7 +137,8 @@ def heading_recognisers(s: Column) -> dict[str, tuple[Column, Column]]:
 def heading_matches(s: Column) -> Column:
     """Structs (recognizer, confidence, level, priority) in the order of priorities."""
     rows = [F.struct(F.lit(n).alias("recognizer"), F.round(c, 4).alias("confidence"), level.cast("int").alias("level"), F.lit(V.HEADING_PRIORITY[n]).alias("priority")) for n, (c, level) in heading_recognisers(s).items()]
-    return F.filter(F.array(*rows), lambda r: r["confidence"].isNotNull())
+    none = F.slice(F.array(rows[0]), 1, 0)
+    return F.when(F.length(s) <= 120, F.filter(F.array(*rows), lambda r: r["confidence"].isNotNull())).otherwise(none)  # no recogniser takes a longer one
 
 
 def numbering_system(s: Column) -> Column:

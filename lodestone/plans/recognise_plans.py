@@ -120,8 +120,10 @@ def heading_matches(t):
 def heading_resolved(t):
     """What each strategy of conflict resolution makes of the matches over the threshold."""
     m = F.filter(R.heading_matches(F.col("s")), lambda r: r["confidence"] >= 0.5)
-    ordered = F.array_sort(F.transform(F.col("m"), lambda r: F.struct((-r["confidence"]).alias("c"), r["priority"].alias("p"), r["recognizer"].alias("r"))))
-    rows = headings(t).select("line_id", m.alias("m")).where(F.size("m") > 0).withColumn("o", ordered)
+    ordered = lambda m: F.array_sort(F.transform(m, lambda r: F.struct((-r["confidence"]).alias("c"), r["priority"].alias("p"), r["recognizer"].alias("r"))))
+    # as rows of a generator the recognisers are asked once, and not again by the filter and each column
+    both = F.transform(F.filter(F.array(m), lambda m: F.size(m) > 0), lambda m: F.struct(m.alias("m"), ordered(m).alias("o")))
+    rows = headings(t).select("line_id", F.inline(both))
     return rows.select("line_id", F.size("m").cast("long").alias("n_matches"), F.col("m")[0]["recognizer"].alias("by_priority"), F.col("o")[0]["r"].alias("by_confidence"), F.array_join(F.transform("o", lambda r: r["r"]), ",").alias("all_matches"))
 
 
