@@ -92,7 +92,9 @@ _RATIO = r"""SELECT doc_id, n, CASE WHEN n > 0 THEN len(regexp_extract_all(text,
 @P.add(f"SELECT doc_id, round(latin, 4) AS latin, CASE WHEN latin >= 0.3 AND latin >= greek THEN 'latin' WHEN greek >= 0.3 THEN 'greek' END AS script FROM ({_RATIO})")
 def script_detect(t):
     """Share of Latin letters, and the script of a text."""
-    return t("documents").select("doc_id", F.round(X.script_ratio(F.col("text"), "latin"), 4).alias("latin"), X.detect_script(F.col("text")).alias("script"))
+    counted = t("documents").select("doc_id", "text", F.inline(F.array(F.struct(X.script_counts(F.col("text")).alias("n")))))  # as a generator's row, made once
+    text, n = F.col("text"), F.col("n")
+    return counted.select("doc_id", F.round(X.script_ratio(text, "latin", n), 4).alias("latin"), X.detect_script(text, counts=n).alias("script"))
 
 
 #: All lines of documents and of conversation turns, as they stand.
