@@ -118,7 +118,7 @@ def tree(t):
     """region -> nation -> supplier -> part, as one edge table."""
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"))
     s = e(t("supplier"), "n", "s_nationkey", "s", "s_suppkey")
-    p = e(t("lineitem"), "s", "l_suppkey", "p", "l_partkey").distinct()
+    p = e(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "s", "l_suppkey", "p", "l_partkey")
     return e(t("nation"), "r", "n_regionkey", "n", "n_nationkey").unionByName(s).unionByName(p)
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.operators import fingerprint as I
 from lodestone.operators import statistics as T
 from lodestone.sources import builds as B
@@ -73,6 +74,23 @@ def test_groupings_in_one_scan(spark):
         T.by_sets(df, {"a": ["g"], "b": ["g"]}, F.count("*"))
 
 
+def test_distinct_values_are_counted_without_repeating_rows(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["x", "y", None]), r.choice([1, 2, None]), r.choice([None, *range(9)]), r.choice("abc")) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, h int, k int, s string")
+    sets = {"all": [], "g": ["g"], "h": ["h"], "both": ["g", "h"]}
+    found = T.by_sets(df, sets, F.count("*").alias("n"), distinct={"kinds": "k", "signs": "s", "hs": "h"})
+    plain = T.by_sets(df, sets, F.count("*").alias("n"), F.count_distinct("k").alias("kinds"), F.count_distinct("s").alias("signs"), F.count_distinct("h").alias("hs"))
+    assert found.columns == plain.columns
+    of = lambda t: {(x.statistic, tuple(sorted(x["keys"].items()))): (x.n, x.kinds, x.signs, x.hs) for x in t.collect()}
+    assert of(found) == of(plain) and len(of(found)) == 1 + 3 + 3 + 9
+
+
+def test_graph_statistics_repeat_distinct_values_and_not_edges(spark, data):
+    plan = catalog.QUERIES["knowledge_graph_statistics"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 2 and "gid#" not in plan  # gid: Spark's own repetition of all rows for each count of distinct values
+
+
 def test_a_build_is_seen_whole_or_not_at_all(spark, tmp_path):
     root, df = str(tmp_path), spark.range(20)
     assert B.committed(spark, root).count() == 0
