@@ -21,17 +21,22 @@ def union_of(tables: list[DataFrame]) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, node) for all paths of one edge or more; pairs that are known are not followed again.
 
-    ``edges``: (source, target). A node on a cycle is its own ancestor.
+    ``edges``: (source, target). A node on a cycle is its own ancestor. Rounds go over the edges between nodes that have edges
+    of their own; edges to the others, which end every path, are joined once behind them.
     """
     step = kept(edges.select("source", "target").distinct())
-    frontier = kept(step.select(F.col("source").alias("ancestor"), F.col("target").alias("node")))
+    sources = kept(step.select("source").distinct()).select(F.col("source").alias("target"))
+    inner = kept(step.join(sources, "target", "left_semi").select("source", "target"))
+    last = step.join(sources, "target", "left_anti").select("source", "target")
+    frontier = inner.select(F.col("source").alias("ancestor"), F.col("target").alias("node"))
     seen = [frontier]
-    while True:
-        new = frontier.join(step, frontier["node"] == step["source"]).select("ancestor", F.col("target").alias("node")).distinct()
+    while not frontier.isEmpty():
+        new = frontier.join(inner, frontier["node"] == inner["source"]).select("ancestor", F.col("target").alias("node")).distinct()
         frontier = kept(new.join(union_of(seen), ["ancestor", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return union_of(seen)
         seen.append(frontier)
+    known = union_of(seen)
+    behind = known.join(last, known["node"] == last["source"]).select("ancestor", F.col("target").alias("node"))
+    return known.unionByName(last.select(F.col("source").alias("ancestor"), F.col("target").alias("node")).unionByName(behind).distinct())
 
 
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
