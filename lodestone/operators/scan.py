@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..sources.shared import kept_in_place
+from ..sources.shared import kept, kept_in_place
 
 
 class Rule:
@@ -56,16 +56,17 @@ def in_ranges(rows: DataFrame, group: str, *order: str, parts: int | None = None
     return kept_in_place(dealt.sortWithinPartitions("_group", *order))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[str, pa.RecordBatch, dict]]:
-    """Stretches of rows of one group, in order, with their number ``_n`` and their columns as lists."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, dict]]]]:
+    """Batches with their stretches of rows of one group, in order: the group, and the rows' number ``_n`` and columns as lists."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends, at = pc.run_end_encode(batch.column("_group")), 0
+        ends, at, parts = pc.run_end_encode(batch.column("_group")), 0, []
+        lists = {c: batch.column(c).to_pylist() for c in columns}
         for end, group in zip(ends.run_ends.to_pylist(), ends.values.to_pylist(), strict=True):
-            part = batch.slice(at, end - at)
+            parts.append((group, {"_n": end - at} | {c: x[at:end] for c, x in lists.items()}))
             at = end
-            yield group, part, {"_n": part.num_rows} | {c: part.column(c).to_pylist() for c in columns}
+        yield batch, parts
 
 
 def _turned(ranged: DataFrame) -> DataFrame:
@@ -84,10 +85,11 @@ def scan(ranged: DataFrame, rule: Rule, backward: bool = False, of: DataFrame |
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = summary = None
-        for group, _, rows in _runs(batches, rule.columns):
-            if group != last:
-                first, last, summary = (group if first is None else first), group, rule.empty()
-            summary = rule.extend(summary, rows)
+        for _, parts in _runs(batches, rule.columns):
+            for group, rows in parts:
+                if group != last:
+                    first, last, summary = (group if first is None else first), group, rule.empty()
+                summary = rule.extend(summary, rows)
         if last is not None:
             row = {"part": TaskContext.get().partitionId(), "first": first, "last": last, "summary": json.dumps(summary)}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("summary", pa.string())]))
@@ -100,25 +102,52 @@ def scan(ranged: DataFrame, rule: Rule, backward: bool = False, of: DataFrame |
             incoming[row.part] = state
         start = state if row.last == group else rule.start()
         group, state = row.last, rule.after(start, json.loads(row.summary))
-    states = {k: json.dumps(v) for k, v in incoming.items()}
+    return _passed(ranged, rule, {k: json.dumps(v) for k, v in incoming.items()})
+
+
+def _passed(ranged: DataFrame, rule: Rule, states: dict[int, str]) -> DataFrame:
+    """The second pass: ``ranged`` with the rule's columns, a task's first group beginning in the task's state of ``states``, if it has one."""
     plain = ranged.schema
     schema = StructType([*plain.fields, *StructType.fromDDL(rule.output).fields])
     names = StructType.fromDDL(rule.output).names
+    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(rule.output).fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = states.get(TaskContext.get().partitionId()), None
+        held, group = states.get(TaskContext.get().partitionId()) if states else None, None
         state = None
-        for now, part, rows in _runs(batches, rule.columns):
-            if now != group:
-                state = json.loads(held) if held is not None and group is None else rule.start()
-                group = now
-            state, out = rule.step(state, rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[n], type=kinds[n]) for n in names)], [*part.schema.names, *names])
+        for batch, parts in _runs(batches, rule.columns):
+            found = {n: [] for n in names}
+            for now, rows in parts:
+                if now != group:
+                    state = json.loads(held) if held is not None and group is None else rule.start()
+                    group = now
+                state, out = rule.step(state, rows)
+                for n in names:
+                    found[n] += out[n]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[n], type=kinds[n]) for n in names)], [*batch.schema.names, *names])
 
-    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(rule.output).fields}
     return ranged.mapInArrow(run, schema)
 
 
+def scanned(rows: DataFrame, rule: Rule, group: str, *order: str, parts: int | None = None, most: int = 200_000) -> DataFrame:
+    """``rows`` with the rule's output columns, each group in the given order.
+
+    Groups of up to ``most`` rows are dealt whole, and one pass over them is enough; larger ones, which are counted first, are
+    dealt by ranges and scanned in two levels, as are all if ``parts`` is given.
+    """
+    if parts:
+        return scan(in_ranges(rows, group, *order, parts=parts), rule).drop("_group")
+    given = kept(rows.withColumn("_group", F.to_json(F.struct(F.col(group).alias("g")))))
+    large = kept(given.groupBy("_group").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_group"))
+    any_large = not large.isEmpty()
+    small = given.join(large, "_group", "left_anti") if any_large else given
+    found = _passed(small.select(*given.columns).repartition("_group").sortWithinPartitions("_group", *order), rule, {})
+    if any_large:
+        rest = given.join(large, "_group", "left_semi").select(*rows.columns)
+        found = found.unionByName(scan(in_ranges(rest, group, *order), rule))
+    return found.drop("_group")
+
+
 class Nesting(Rule):
     """Parent, depth and ordinal of rows with a level: a row lies under the nearest row before it of a lesser level.
 
@@ -270,6 +299,47 @@ class Chain(Rule):
         return summary.get("head", summary.get("first") if state is None else state)
 
 
+class Pages(Rule):
+    """The head of each piece's chain over pages: a page's first piece that goes on belongs to the chain of the last piece of the page just before.
+
+    All other pieces begin chains. The state is the last piece's page and head; a summary has its first piece and the state it
+    leaves, without a head if that is its first piece's.
+    """
+
+    columns = ("_page", "_node", "_on")
+    output = "head long"
+
+    def start(self):
+        return [None, None]
+
+    def empty(self):
+        return {}
+
+    def joined(self, state, page, node, on):
+        return state[1] if on and page is not None and state[0] is not None and state[0] == page - 1 else node
+
+    def step(self, state, rows):
+        at, head, out = *state, []
+        for page, node, on in zip(rows["_page"], rows["_node"], rows["_on"], strict=True):
+            if not (on and at is not None and page is not None and at == page - 1):
+                head = node
+            at = page
+            out.append(head)
+        return [at, head], {"head": out}
+
+    def extend(self, summary, rows):
+        s = summary
+        for page, node, on in zip(rows["_page"], rows["_node"], rows["_on"], strict=True):
+            if not s:
+                s |= {"first": [page, node, on], "page": page, "head": None}
+            else:
+                s |= {"head": s["head"] if on and page is not None and s["page"] is not None and s["page"] == page - 1 else node, "page": page}
+        return s
+
+    def after(self, state, summary):
+        return [summary["page"], self.joined(state, *summary["first"]) if summary["head"] is None else summary["head"]]
+
+
 class Counted(Rule):
     """The number of each row in its group, from 1."""
 
