@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 # Page tokens, item numbers, dotted leaders and the bounds of a row.
 PAGE_TOKEN = r"^(?:\d{1,4}|(?i:[ivxlcdm]{1,6}))$"
 LEADING_NUMBER = r"^(?:[^\d\s]+\s+)?(\d+)(?:\.\d+)*[.\-:)]?\s+\S"
+ENTRY_NUMBER = r"^(?:[^\d\s]+\s+)?0*1?\d{1,2}(?:\.\d+)*[.\-:)]?\s+\S"  # LEADING_NUMBER with a number below 200
 RUN_NUMBER = r"^(?:[^\d\s]+\s+)?(\d+)"
 DOTTED_LEADER = r"(?:\.\s*){3,}"
 SENTENCE_END = ".,;:?!"
-MOST_NUMBER, LEAST_BODY, MOST_HEADING = 200, 3, 60
+LEAST_BODY, MOST_HEADING = 3, 60
 
 
 def stripped(text: Column) -> Column:
@@ -26,26 +27,40 @@ def is_contents_heading(text: Column) -> Column:
 
 def page_token(text: Column) -> Column:
     """The last word, if it looks like a page number and three characters or more stand before it; else null."""
-    last = F.regexp_extract(stripped(text), r"\s(\S+)$", 1)
-    body = F.regexp_replace(F.regexp_replace(stripped(text), r"\s+\S+$", ""), r"^[ .]+|[ .]+$", "")
+    return _token(stripped(text))
+
+
+def _token(s: Column) -> Column:
+    last = F.regexp_extract(s, r"\s(\S+)$", 1)
+    body = F.regexp_replace(F.regexp_replace(s, r"\s+\S+$", ""), r"^[ .]+|[ .]+$", "")
     return F.when((last != "") & last.rlike(PAGE_TOKEN) & (F.length(F.regexp_replace(body, r"\s+", " ")) >= LEAST_BODY), last)
 
 
 def is_entry(text: Column) -> Column:
     """A row with a page number and either an item number below 200 or a dotted leader."""
-    number = F.regexp_extract(stripped(text), LEADING_NUMBER, 1)
-    numbered = (number != "") & (F.length(F.regexp_replace(number, "^0+", "")) <= 3) & (number.try_cast("int") < MOST_NUMBER)
-    return page_token(text).isNotNull() & (F.coalesce(numbered, F.lit(False)) | text.rlike(DOTTED_LEADER))
+    return _entry(stripped(text))
+
+
+def _entry(s: Column) -> Column:
+    return (s.rlike(ENTRY_NUMBER) | s.rlike(DOTTED_LEADER)) & _token(s).isNotNull()
 
 
 def is_heading_shaped(text: Column) -> Column:
     """Short, no entry, and without the mark of a sentence's end."""
-    s = stripped(text)
-    return (s != "") & (F.length(s) <= MOST_HEADING) & ~is_entry(text) & ~F.lit(SENTENCE_END).contains(F.right(s, F.lit(1)))
+    return _short(stripped(text)) & ~is_entry(text)
+
+
+def _short(s: Column) -> Column:
+    return (s != "") & (F.length(s) <= MOST_HEADING) & ~F.lit(SENTENCE_END).contains(F.right(s, F.lit(1)))
 
 
 def row_kind(text: Column) -> Column:
     """'entry', 'filler' (what may stand between two entries) or 'other'."""
-    s = stripped(text)
+    return kind_of_stripped(stripped(text))
+
+
+def kind_of_stripped(s: Column) -> Column:
+    """``row_kind`` of a line without white space at its ends; whether it is an entry is asked once."""
     lone = s.rlike(r"^\d{1,4}$") | s.rlike(r"^(?i:[ivxlcdm]{1,6})$")
-    return F.when(is_entry(text), "entry").when(is_contents_heading(text), "other").when((s == "") | lone | is_heading_shaped(text), "filler").otherwise("other")
+    low = F.lower(s)
+    return F.when(_entry(s), "entry").when(low.startswith("content") | (low == "table of contents"), "other").when((s == "") | _short(s) | lone, "filler").otherwise("other")
