@@ -110,8 +110,15 @@ def lines(t):
 
 
 def line_words(t):
-    each = lines(t).select(F.split_part("line_id", F.lit(":"), F.lit(1)).alias("key"), F.explode(F.split("s", " ")).alias("s"))
-    return each.distinct().select(F.concat("key", F.lit(":"), "s").alias("line_id"), "s")
+    """The distinct words of each key's lines: a text's own are made distinct where it stands, only those of keys with several texts meet."""
+    of = lambda table, *key: t(table).select(F.split_part(F.concat(*key), F.lit(":"), F.lit(1)).alias("key"), "text")
+    texts = of("documents", F.lit("d"), "doc_id").union(of("conversations", F.lit("c"), "conv_id", F.lit("-"), "turn"))
+    words = lambda some: some.select("key", F.explode(F.array_distinct(F.split(F.translate("text", "\n", " "), " "))).alias("s"))
+    several = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null").select("key")
+    same = F.col("a.key").eqNullSafe(F.col("b.key"))
+    of_one = words(texts.alias("a").join(several.alias("b"), same, "left_anti"))
+    of_more = words(texts.alias("a").join(several.alias("b"), same, "left_semi")).distinct()
+    return of_one.union(of_more).select(F.concat("key", F.lit(":"), "s").alias("line_id"), "s")
 
 
 #: Sentences in which {n} stands for a name: the lines of the tables lack such shapes, so rows made of names stand beside them.
