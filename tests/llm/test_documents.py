@@ -272,6 +272,58 @@ def test_blocks_whose_tokens_have_no_bits():
         assert len(got) == lens.sum() and (got[ids == 2] == 0).all() and (got[ids < 2] < 0).all()
 
 
+def test_bits_come_level_by_level():
+    """Against a walk along each token's code: nodes, bits, slots, what is laid out and summed; texts score the same alone and together."""
+    import random
+
+    rng = random.Random(7)
+    index = [f"w{i}x".encode() for i in range(40)] + [b""]
+    head = [(w, 1 + 99 // (i + 1)) for i, w in enumerate(index)]
+    tokens = context_mixing.Tokens(head, [(b"0x", 99, 0), (b"1x", 60, 2), (b"2x", 40, 2), (b"", 3, 0)], 200, 41)
+    worder = context_mixing.Mixer.fresh(tokens.word_slots, 64).ready()
+    worder.logit[:] = np.random.default_rng(7).normal(size=len(worder.logit))
+    texts = [b" ".join(rng.choice(index) for _ in range(n)) for n in (300, 0, 5, 97, 700, 96, 40)]
+    ids, kind, lens, _ = tokens.read(texts)
+    codes = tokens.word_codes(ids, kind, tokens.contexts(ids, kind, lens))
+    part = np.array([3, 9, 400, 5, 7, 8, 301])
+    bits = codes.bits(part, worder.sizes)
+    laid = bits.laid(part[bits.order]).tolist()
+    got = sorted(zip(laid, bits.at[0].tolist(), bits.bit.tolist(), bits.at[2].tolist(), bits.node.tolist(), strict=True))
+    want = []
+    for t in part.tolist():
+        for step in codes.steps[codes.first[t] : codes.first[t] + int(codes.depth[t])].tolist():
+            want.append((t, step >> 1, step & 1, (int(codes.contexts[1, t]) + (step >> 1) * 40_503) % worder.sizes[2], int(kind[t])))
+    assert got == sorted(want) and bits.n == len(want) > 20
+    assert bits.summed(np.ones((1, bits.n)))[0].tolist() == codes.depth[part].tolist()
+    together, alone = context_mixing.word_scores(tokens, worder, ids, kind, lens), []
+    for text in texts:
+        i, k, n, _ = tokens.read([text])
+        alone.append(context_mixing.word_scores(tokens, worder, i, k, n))
+    assert np.allclose(together, np.concatenate(alone), atol=1e-4) and together.std() > 0.1
+
+
+def test_memory_of_mixing_does_not_hold_all_bits():
+    """A megabyte of text is spelled a batch at a time: training and scoring hold well under what its 64-bit slots would take."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    index = [f"{i}{e}".encode() for i in range(500) for e in ("xx", "yy")]
+    tokens = context_mixing.Tokens([(w, 5) for w in index] + [(b"", 9)], [(b"xx", 2500, 0), (b"yy", 2500, 0), (b"", 9, 0)], 5009, 1001)
+    text = [b" ".join(rng.choice(index) for _ in range(2000)).decode() for _ in range(90)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(90)), "text": text, "held_out": [False] * 90, "row": list(range(90))})
+    mixers = context_mixing.Mixer.fresh(context_mixing.CLASS_SLOTS, 64).ready(), context_mixing.Mixer.fresh(tokens.word_slots, 64).ready()
+    peaks = []
+    for step in (lambda: sum(b.num_rows for b in context_mixing.train_classes(iter([batch]), tokens)), lambda: sum(b.num_rows for b in context_mixing.score_texts(iter([batch]), tokens, *mixers))):
+        tracemalloc.start()
+        assert step()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 140, peaks
+
+
 def test_phrases_end_where_the_next_starts():
     """Against a loop over the tokens: places, tokens before and phrases agree wherever these have equal tokens, and only there."""
     import random
