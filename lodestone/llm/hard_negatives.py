@@ -36,6 +36,8 @@ from .vectors import chunks, finite, length_most_have, matrix
 
 OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long, positive_rank int"
 PACK_ROWS, PACK_ANCHORS, TOGETHER = 4096, 4096, 128
+#: Packs of anchors (under a megabyte each at 64 dimensions) that a task of tiles holds.
+TOGETHER_PACKS = 32
 
 
 class Codebook:
@@ -152,19 +154,24 @@ def anchor_packs(anchors: DataFrame, n: int) -> DataFrame:
     return anchors.select("anchor", "vec_id", "label", "embedding", "scores").repartition(-(-n // PACK_ANCHORS)).mapInArrow(packer(PACK_ANCHORS, made), pack_schema(ANCHORS))
 
 
-def over_tiles(packs: DataFrame, anchors: DataFrame, slots: int, tiles: int, work: Callable[[dict, dict], Iterator[dict[str, np.ndarray]]], schema: str) -> DataFrame:
-    """``work`` on each pack of anchors with each pack of rows."""
+def over_tiles(packs: DataFrame, anchors: DataFrame, slots: int, count: int, work: Callable[[dict, dict], Iterator[dict[str, np.ndarray]]], schema: str) -> DataFrame:
+    """``work`` on each pack of anchors with each pack of rows.
+
+    A task has one pack of rows and up to ``TOGETHER_PACKS`` packs of anchors, which it reads where they were dealt: no pack is repeated
+    for its tiles, and none is broadcast, whatever Spark takes its table's size to be.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 mine = unpacked({k[2:]: v for k, v in row.items() if k.startswith("a_")}, ANCHORS)
                 for out in work(mine, unpacked(row, ROWS)):
                     yield pa.RecordBatch.from_arrays([pa.array(out[name]) for name in names], names)
 
-    theirs = anchors.select(*(F.col(c).alias(f"a_{c}") for c in anchors.columns)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return theirs.join(packs, "slot").repartition(tiles).mapInArrow(run, schema)
+    theirs = anchors.select(*(F.col(c).alias(f"a_{c}") for c in anchors.columns)).repartition(-(-count // (PACK_ANCHORS * TOGETHER_PACKS)))
+    return packs.repartition(slots).crossJoin(theirs.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
 
 
 class Tile:
@@ -262,6 +269,18 @@ def negatives_of(book: Codebook, most: int, least: int, below: int):
     return work
 
 
+def first_by_hash(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """The vectors of the first ``most`` of ``n`` rows by a hash of their id. Each task sends its own first to the driver, so rows are picked
+    by that hash before: about twice as many as asked for; where ids repeat and too few are met, all rows are asked."""
+    order = [F.xxhash64("vec_id"), F.col("vec_id")]
+    first = lambda some: some.orderBy(*order).limit(most).select("embedding").collect()
+    below = min(2.0 * most / n, 1.0) * 2.0**64 - 2.0**63
+    found = first(rows.where(order[0].cast("double") < below))
+    if len(found) < min(most, n):
+        found = first(rows)
+    return np.array([r.embedding for r in found])
+
+
 def hard_negatives(vectors: DataFrame, anchor: F.Column, label: F.Column | None = None, positives: int = 5, negatives: int = 3, least: int = 50, below: int = 95, width: int = 2, sample: int = 4096) -> DataFrame:
     """For each row that ``anchor`` picks and each of its first ``positives``, the first ``negatives`` rows of other labels whose
     score is from ``least`` to ``below`` hundredths of the positive's. ``label``: the label to use instead of the column's.
@@ -278,21 +297,20 @@ def hard_negatives(vectors: DataFrame, anchor: F.Column, label: F.Column | None
     n = rows.count()
     if not n:
         return spark.createDataFrame([], OUT)
-    book = Codebook(np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()]), width)
+    book = Codebook(first_by_hash(rows, n, sample), width)
     packs, slots = materialise(row_packs(rows, book, n), "packs"), -(-n // PACK_ROWS)
     anchors = materialise(rows.where(anchor).dropDuplicates(["vec_id", "label", "embedding"]).withColumn("anchor", F.monotonically_increasing_id()), "anchors")
     count = anchors.count()
     if not count:
         return spark.createDataFrame([], OUT)
-    tiles = slots * -(-count // PACK_ANCHORS)
     asked = anchor_packs(anchors.withColumn("scores", F.array().cast("array<long>")), count)
-    found = over_tiles(packs, asked, slots, tiles, positives_of(book, positives), "anchor long, anchor_id long, positive_id long, positive_score long")
+    found = over_tiles(packs, asked, slots, count, positives_of(book, positives), "anchor long, anchor_id long, positive_id long, positive_score long")
     nearest = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id"))
     found = materialise(found.withColumn("positive_rank", nearest).where(F.col("positive_rank") <= positives), "positives")
     scores = found.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("positive_rank", "positive_score"))).alias("s"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda k: F.coalesce(F.get(F.col("s.positive_score"), k), F.lit(-1)))
     asked = anchor_packs(anchors.join(scores, "anchor").withColumn("scores", filled), count)
-    hard = over_tiles(packs, asked, slots, tiles, negatives_of(book, negatives, least, below), "anchor long, positive_rank int, negative_id long, negative_score long")
+    hard = over_tiles(packs, asked, slots, count, negatives_of(book, negatives, least, below), "anchor long, positive_rank int, negative_id long, negative_score long")
     first = F.row_number().over(Window.partitionBy("anchor", "positive_rank").orderBy(F.desc("negative_score"), "negative_id"))
     hard = hard.withColumn("rank", first).where(F.col("rank") <= negatives)
     return hard.join(found, ["anchor", "positive_rank"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank")

@@ -88,3 +88,29 @@ def test_bounds_hold_and_leave_rows_out():
 def test_query_over_the_whole_table_and_its_sql(spark, duck, data):
     got = sorted(tuple(r) for r in op13_hard_negatives(spark, data).collect())
     assert got == sorted(duck.execute(hard_negatives.MINED_SQL).fetchall()) and got
+
+
+def test_tiles_repeat_and_broadcast_no_packs(spark, monkeypatch):
+    """Packs of anchors, which Spark takes for small, were repeated for each pack of rows and broadcast: a table that grew with the square of the rows."""
+    plans, tiles = [], hard_negatives.over_tiles
+
+    def seen(*given):
+        plans.append(tiles(*given))
+        return plans[-1]
+
+    for name, value in (("over_tiles", seen), ("PACK_ROWS", 32), ("PACK_ANCHORS", 8)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = rows_of(400, 9)
+    assert mined(spark, rows) == brute(rows)
+    first, second = (p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert "CartesianProduct" in first and "Generate" not in first and "Broadcast" not in first
+    assert "CartesianProduct" in second and "Generate" not in second
+
+
+def test_the_sample_is_picked_before_it_is_ordered(spark):
+    """Each task sent its first 4,096 rows to the driver."""
+    rows = spark.range(20_000).selectExpr("id as vec_id", "array(cast(id as int)) as embedding")
+    want = [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(100).collect()]
+    assert hard_negatives.first_by_hash(rows, 20_000, 100)[:, 0].tolist() == want
+    same = spark.range(500).selectExpr("7L as vec_id", "array(cast(id as int)) as embedding")
+    assert len(hard_negatives.first_by_hash(same, 500, 100)) == 100 and len(hard_negatives.first_by_hash(same, 500, 1000)) == 500
