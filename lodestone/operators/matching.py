@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import kept
 
 
-#: So many names are broadcast (about 100 bytes each); more are joined by shuffling.
+#: So many names are broadcast at once (about 100 bytes each).
 BROADCAST_NAMES = 200_000
 
 
@@ -23,29 +23,46 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def containing(names: DataFrame, name_id: str, name: str, texts: DataFrame, text_id: str, text: str, size: int = 4) -> DataFrame:
+def upto(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """``rows`` with a ``gram`` for each stretch of a text of one of these lengths, each once.
+
+    Shorter ones are beginnings of the longest ones, which are taken once; for those at the text's end it is filled up with NUL.
+    """
+    most = max(lengths, default=1)
+    longest = rows.withColumn("longest", grams(F.concat(text, F.lit("\0" * (most - 1))), most))
+    begun = lambda n: F.array_distinct(F.transform("longest", lambda g: F.substring(g, 1, n)))
+    return longest.withColumn("gram", F.explode(F.concat(*[F.col("longest") if n == most else begun(n) for n in lengths or [1]]))).drop("longest")
+
+
+def containing(names: DataFrame, name_id: str, name: str, texts: DataFrame, text_id: str, text: str, size: int = 6) -> DataFrame:
     """(name_id, text_id) of every text that contains a name, letters' case aside.
 
-    Stretches are counted first and made a second time for the look-up: a text's own are never written, but where the index is too large to be broadcast.
-    Each name stands in the index under the one of its stretches of ``size`` characters that the fewest texts have; texts
-    look up their stretches there, and ``contains`` decides. Names shorter than that have an index of their own length.
-    Empty and null names are in no text.
+    Each name stands in an index under the one of its stretches of ``size`` characters that the fewest texts have; a name of up to ``size``
+    characters stands under itself. Texts look up their stretches of all these lengths where they are read, and ``contains`` decides there:
+    neither texts nor their stretches are shuffled or written. The index is broadcast, in parts of about ``BROADCAST_NAMES`` names if it is larger, each with a
+    reading of its own. Empty and null names are in no text.
     """
     low = names.select(F.col(name_id).alias("name_id"), F.lower(name).alias("name")).where("length(name) > 0")
     low = kept(low.withColumn("size", F.least(F.length("name"), F.lit(size))))
     held = texts.select(F.col(text_id).alias("text_id"), F.lower(text).alias("text")).where(F.col("text").isNotNull())
+    long = low.where(F.length("name") > size).select("name_id", "name", F.explode(grams(F.col("name"), size)).alias("gram"))
+    wanted = kept(long.select("gram").distinct())
+    counts = held.select(F.explode(grams(F.col("text"), size)).alias("gram"))
+    if wanted.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        counts = counts.join(F.broadcast(wanted), "gram", "left_semi")
+    counts = counts.groupBy("gram").agg(F.count("*").alias("n_texts")).join(wanted, "gram", "left_semi")
+    rarest = long.join(counts, "gram", "left").groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "gram")).alias("least"))
+    short = low.where(F.length("name") <= size).select("name_id", "name", F.col("name").alias("gram"))
+    index = kept(short.union(rarest.where("least.n > 0").select("name_id", "name", F.col("least.gram").alias("gram"))))
+    lengths = sorted(r["size"] for r in low.select("size").distinct().collect())  # ``size`` of them at most
+    theirs = upto(held, "text", lengths)
+    parts = -(-index.count() // BROADCAST_NAMES)
     found = None
-    for n in sorted(r["size"] for r in low.select("size").distinct().collect()):  # ``size`` of them at most
-        mine = low.where(F.col("size") == n).select("name_id", "name", F.explode(grams(F.col("name"), n)).alias("gram"))
-        theirs = held.select("text_id", F.explode(grams(F.col("text"), n)).alias("gram"))
-        counts = theirs.groupBy("gram").agg(F.count("*").alias("n_texts")).join(mine.select("gram").distinct(), "gram", "left_semi")
-        rarest = mine.join(counts, "gram", "left").groupBy("name_id", "name").agg(F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "gram")).alias("least"))
-        index = kept(rarest.where("least.n > 0").select("name_id", "name", F.col("least.gram").alias("gram")))
-        few = index.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-        pairs = theirs.join(F.broadcast(index) if few else index, "gram").select("name_id", "name", "text_id")
-        sure = pairs.join(held, "text_id").where(F.contains("text", "name")).select("name_id", "text_id")
+    for k in range(max(parts, 1)):
+        mine = index if parts < 2 else index.where(F.pmod(F.xxhash64("name_id", "name"), F.lit(parts)) == k)
+        sure = theirs.join(F.broadcast(mine), "gram").where(((F.col("gram") == F.col("name")) & ~F.contains("name", F.lit("\0"))) | F.contains("text", "name")).select("name_id", "text_id")
         found = sure if found is None else found.union(sure)
-    return found if found is not None else low.join(held).select("name_id", "text_id").limit(0)
+    return found
 
 
 def ratio_bounds(title: str, codes: np.ndarray, letters: dict[str, int], lengths: np.ndarray) -> np.ndarray:

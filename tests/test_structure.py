@@ -170,6 +170,22 @@ def test_texts_that_contain_names(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_texts_are_not_shuffled_for_names(spark, monkeypatch, most):
+    """Texts were dealt once for each length of stretches; names of all lengths stand at both ends and in the middle, the index is broadcast whole or in parts."""
+    monkeypatch.setattr(matching, "BROADCAST_NAMES", most)
+    texts = [(1, "abcdefghijkl"), (2, "xyz \U0001f600\U0001f601 end"), (3, "a"), (4, "ab\0"), (5, "zzabcdefgabcdefgzz"), (6, None), (7, "Ghijkl"), (8, "")]
+    names = sorted({a[i:j] for _, a in texts if a for i in (0, 3, 9) for j in range(i + 1, len(a) + 1)} | {"abcdefghijkm", "d\0", "\0", "kl\0", "bcdefgz", "GHI"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = matching.containing(spark.createDataFrame(list(enumerate(names)), "n int, name string"), "n", "name", spark.createDataFrame(texts, "t int, text string"), "t", "text")
+        got, plan = [tuple(r) for r in found.collect()], found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(set(got)) and set(got) == {(n, t) for n, a in enumerate(names) for t, b in texts if b and a.lower() in b.lower()}
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_best_entries_by_loop(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 7)))
