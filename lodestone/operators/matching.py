@@ -80,42 +80,66 @@ def ratio_bounds(title: str, codes: np.ndarray, letters: dict[str, int], lengths
         if c in letters:
             masks[letters[c]] |= np.uint64(1 << i)
     state = np.full(len(lengths), 2**64 - 1, "<u8")
+    met, others = np.empty_like(state), np.empty_like(state)
     for row in codes:
-        met = state & masks[row]
-        state = (state + met) | (state - met)
-    common = 64 - np.unpackbits(state.view("u1").reshape(-1, 8), axis=1).sum(axis=1).astype("i8")
+        masks.take(row, out=met, mode="clip")
+        np.bitwise_and(met, state, out=met)
+        np.bitwise_xor(met, state, out=others)
+        state += met
+        state |= others
+    common = 64 - np.bitwise_count(state).astype("i8")
     return 2.0 * common / total
 
 
 def best_in_packs(least: float):
-    """For rows (book, titles, ids, entries): the best entry of each title by ``least`` or more; entries are rated by falling bound, until the bound is under the best ratio."""
+    """For rows (book, titles, ids, entries): the best entry of each title by ``least`` or more; entries are rated by falling bound, until the bound is under the best ratio.
+
+    Rows of the same titles that follow each other go on from what their entries before gave, and give only what is better.
+    """
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, best = None, {}
         for batch in batches:
             for book, titles, ids, entries in zip(batch["book"], batch["titles"], batch["ids"], batch["entries"], strict=True):
+                if held != (book, list(titles)):
+                    held, best = (book, list(titles)), {}
                 letters = {c: k for k, c in enumerate(sorted(set().union(*entries)), 1)}
                 lengths = np.array([len(e) for e in entries], "i8")
                 # an entry that is longer fits no title of 64 characters
                 fits = np.flatnonzero(lengths <= math.ceil(64 * (2 - least) / least) + 1)
-                codes = np.zeros((int(lengths[fits].max()) if len(fits) else 0, len(entries)), "i4")
-                for k in fits:
-                    codes[: lengths[k], k] = [letters[c] for c in entries[k]]
+                codes = numbered([entries[k] for k in fits], lengths[fits], letters)
+                places = np.zeros((len(codes), len(entries)), "i8")
+                places[:, fits] = codes
                 out = []
                 for title in titles:
-                    bounds, best = ratio_bounds(title, codes, letters, lengths), None
-                    for k in np.argsort(-bounds, kind="stable"):
-                        if bounds[k] < (best[0] if best else least):
+                    had = now = best.get(title)
+                    bounds = ratio_bounds(title, places, letters, lengths)
+                    near = np.flatnonzero(bounds >= (now[0] if now else least))
+                    for k in near[np.argsort(-bounds[near], kind="stable")]:
+                        if bounds[k] < (now[0] if now else least):
                             break
                         ratio = difflib.SequenceMatcher(None, title, entries[k]).ratio()
-                        if ratio >= least and (best is None or (ratio, -ids[k]) > (best[0], -best[1])):
-                            best = ratio, ids[k]
-                    if best:
-                        out.append((book, title, best[1], best[0]))
+                        if ratio >= least and (now is None or (ratio, -ids[k]) > (now[0], -now[1])):
+                            now = ratio, ids[k]
+                    if now != had:
+                        best[title] = now
+                        out.append((book, title, now[1], now[0]))
                 yield pd.DataFrame(out, columns=["book", "t", "entry_id", "ratio"])
 
     return walk
 
 
+def numbered(entries: list[str], lengths: np.ndarray, letters: dict[str, int]) -> np.ndarray:
+    """The numbers of the entries' characters, a column for each entry, 0 behind its end."""
+    n = int(lengths.max()) if len(lengths) else 0
+    if not n:
+        return np.zeros((0, len(entries)), "i8")
+    signs = np.array(entries, f"<U{n}").view("<u4").reshape(len(entries), n).T
+    table = np.zeros(int(max(map(ord, letters))) + 1, "i8")
+    table[[ord(c) for c in letters]] = list(letters.values())
+    return np.where(np.arange(n)[:, None] < lengths, table[signs], 0)
+
+
 def normal_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", ""))
 
@@ -145,24 +169,39 @@ def alike(titles: DataFrame, title_id: str, title: str, entries: DataFrame, entr
     return both.where(F.round(2 * shared - least * (F.size("ta") + F.size("tb")), 6) >= 0).select("book", "title_id", "title", "entry_id", "entry")
 
 
+def in_tiles(rows: DataFrame, size: int, *items: Column) -> DataFrame:
+    """(book, and a list for each of ``items``) of about ``size`` rows (book, t, ...) of a book at most, dealt by a hash of t."""
+    sizes = kept(rows.groupBy("book").agg(F.ceil(F.count("*") / size).alias("tiles")).withColumnRenamed("book", "_book"))
+    few = sizes.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    dealt = rows.join(F.broadcast(sizes) if few else sizes, F.col("book").eqNullSafe(F.col("_book"))).withColumn("tile", F.pmod(F.xxhash64("t"), "tiles"))
+    return kept(dealt.groupBy("book", "tile").agg(F.collect_list(F.struct(*items)).alias("e")).select("book", "e"))
+
+
+#: Packs of entries (about 300 KB each) that a task holds.
+PACKS_AT_ONCE = 32
+
+
 def best_entries(titles: DataFrame, title_id: str, title: str, entries: DataFrame, entry_id: str, entry: str, book: str, least: float = 0.55) -> DataFrame:
     """(book, title_id, entry_id, ratio): for each title the entry of its book that is most like it by ``least`` or more; of equals the first.
 
-    Equal titles and equal entries of a book are taken once. Titles meet the entries of their book in packs (256 by 4,096 on the average):
-    every pair gets a bound from the longest common subsequence, and only pairs whose bound reaches the best ratio so far are rated.
+    Equal titles and equal entries of a book are taken once; a title that is an entry of its book is joined with it, as nothing is more like it. The
+    others meet the entries of their book in packs (256 by 4,096): every pair gets a bound from the longest common subsequence, and only pairs
+    whose bound reaches the best ratio so far are rated. A task has its titles and reads the packs where they were dealt: no pack is repeated for the titles it meets.
     """
     side = lambda df, i, c: kept(df.select(F.col(book).alias("book"), F.col(i).alias("id"), normal_title(F.col(c)).alias("t")).where("t <> ''"))
     a, b = side(titles, title_id, title), side(entries, entry_id, entry)
-    x, y = kept(a.select("book", "t").distinct()), kept(b.groupBy("book", "t").agg(F.min("id").alias("id")))
-    tile = lambda df, size: F.pmod(F.xxhash64("t"), F.lit(-(-df.count() // size) or 1)).alias("tile")
-    mine = x.select("book", "t", tile(x, 256)).groupBy("book", "tile").agg(F.collect_list("t").alias("titles"))
-    theirs = y.select("book", "t", "id", tile(y, 4096)).groupBy("book", "tile").agg(F.collect_list(F.struct("id", "t")).alias("e"))
-    theirs = theirs.select(F.col("book").alias("_book"), F.col("tile").alias("_tile"), F.col("e.id").alias("ids"), F.col("e.t").alias("entries"))
-    met = mine.join(theirs, F.col("book").eqNullSafe(F.col("_book")))
-    dealt = met.repartition(4 * titles.sparkSession.sparkContext.defaultParallelism, "book", "tile", "_tile").select("book", "titles", "ids", "entries")
     types = dict(b.dtypes)
-    rated = kept(dealt.mapInPandas(best_in_packs(least), f"book {types['book']}, t string, entry_id {types['id']}, ratio double"))
+    y = kept(b.groupBy("book", "t").agg(F.min("id").alias("id")))
+    equal = y.select(F.col("book").alias("_book"), F.col("t").alias("_t"), F.col("id").alias("entry_id"))
+    same = (F.col("t") == F.col("_t")) & F.col("book").eqNullSafe(F.col("_book"))
+    x = kept(a.select("book", "t").distinct().join(equal, same, "left").select("book", "t", "entry_id"))
+    mine = in_tiles(x.where("entry_id is null").select("book", "t"), 256, F.col("t")).select("book", F.col("e.t").alias("titles"))
+    theirs = in_tiles(y, 4096, F.col("id"), F.col("t")).select(F.col("book").alias("_book"), F.col("e.id").alias("ids"), F.col("e.t").alias("entries"))
+    held = theirs.repartition(-(-theirs.count() // PACKS_AT_ONCE) or 1).hint("shuffle_replicate_nl")
+    met = mine.repartition(mine.count() or 1).join(held, F.col("book").eqNullSafe(F.col("_book"))).select("book", "titles", "ids", "entries")
+    rated = met.mapInPandas(best_in_packs(least), f"book {types['book']}, t string, entry_id {types['id']}, ratio double")
+    rated = kept(rated.unionByName(x.where("entry_id is not null").withColumn("ratio", F.lit(1.0))))
     rated = rated.select(F.col("book").alias("_book"), F.col("t").alias("_t"), "entry_id", "ratio")
-    found = a.join(rated, (F.col("t") == F.col("_t")) & F.col("book").eqNullSafe(F.col("_book")))
+    found = a.join(rated, same)
     first = found.groupBy("book", F.col("id").alias("title_id")).agg(F.max(F.struct("ratio", (-F.col("entry_id")).alias("e"))).alias("best"))
     return first.select("book", "title_id", (-F.col("best.e")).alias("entry_id"), F.col("best.ratio").alias("ratio"))

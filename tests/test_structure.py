@@ -229,3 +229,29 @@ def test_bounds_leave_few_pairs_to_rate(monkeypatch):
     got = pd.concat(matching.best_in_packs(0.55)(iter([pack])))
     assert {r.t: (r.entry_id, r.ratio) for r in got.itertuples()} == plain and len(plain) > 5
     assert len(calls) < len(titles) * len(entries) / 5
+
+
+def test_packs_go_on_from_the_best_before(monkeypatch):
+    """The same titles with five packs of entries, as a task meets them: all are rated by what the packs before gave, and other titles begin anew."""
+    import pandas as pd
+
+    rng = random.Random(6)
+    made = lambda n: ["".join(rng.choice("aens ") for _ in range(rng.randint(30, 60))) for _ in range(n)]
+    titles, others, entries = made(10), made(3), made(500)
+    entries[3:13] = [t[:-4] + "qqqq" for t in titles]
+    entries[450] = entries[3]  # as like, behind it
+    calls, whole = [], difflib.SequenceMatcher
+    monkeypatch.setattr(matching.difflib, "SequenceMatcher", lambda *x: calls.append(x) or whole(*x))
+    rows = [("b", t, list(range(k, 500, 5)), entries[k::5]) for t in (titles, others) for k in range(5)]
+    table = pd.DataFrame(rows, columns=["book", "titles", "ids", "entries"])
+    got = {}
+    for r in pd.concat(matching.best_in_packs(0.55)(iter([table.iloc[:3], table.iloc[3:]]))).itertuples():
+        assert r.t not in got or (r.ratio, -r.entry_id) > (got[r.t][0], -got[r.t][1])
+        got[r.t] = r.ratio, r.entry_id
+    together = len(calls)
+    best = {t: max((whole(None, t, e).ratio(), -k) for k, e in enumerate(entries)) for t in titles + others}
+    assert got == {t: (r, -k) for t, (r, k) in best.items() if r >= 0.55} and got[titles[0]][1] == 3
+    calls.clear()
+    for k in range(len(table)):
+        list(matching.best_in_packs(0.55)(iter([table.iloc[k : k + 1]])))
+    assert together < 0.75 * len(calls)
